@@ -85,3 +85,56 @@ FROM ({scans}) AS scans"""
 def type_sql(src: str, columns) -> str:
     scans = "\nUNION ALL\n".join(_scan_sql(src, c, k) for c, k in columns)
     return f"SELECT column_name, data_type, {_personal_sql()} AS is_pii FROM ({scans}) AS scans"
+
+
+def long_sql(src: str, keys: list[str], cols: list[str], cast: str = "DOUBLE") -> str:
+    """(keys, column, value) as a union of one select per column."""
+    k = "".join(f"{x}, " for x in keys)
+    return "\nUNION ALL\n".join(f"SELECT {k}'{c}' AS \"column\", CAST({c} AS {cast}) AS value FROM {src}" for c in cols)
+
+
+def bin_sql(v: str, lo: str, hi: str, bins: str) -> str:
+    return (f"CASE WHEN {hi} > {lo} THEN least(floor(({v} - {lo}) * {bins} / nullif({hi} - {lo}, 0)), {bins} - 1) "
+            f"ELSE floor({bins} * 0.5) END")
+
+
+def numeric_window_sql(src: str, ts: str, period: str, cols: list[str]) -> str:
+    """All number metrics per (period, column), the same list as the Spark operator."""
+    return f"""WITH base AS (SELECT date_trunc('{period}', {ts}) AS period, * FROM ({src}) AS s0),
+long AS ({long_sql('base', ['period'], cols)}),
+facts AS (SELECT period, "column", count(*) AS n, count(value) AS cnt, avg(value) AS mean, median(value) AS med,
+    CASE WHEN count(value) > 1 THEN stddev_samp(value) END AS sd, min(value) AS mn, max(value) AS mx,
+    quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.95) AS q95,
+    quantile_cont(value, 0.99) AS q99,
+    CASE WHEN count(value) > 2 AND max(value) > min(value) THEN skewness(value) END AS skew,
+    CASE WHEN count(value) > 3 AND max(value) > min(value) THEN kurtosis(value) END AS kurt,
+    count(*) FILTER (WHERE value = 0) AS zeros, count(*) FILTER (WHERE value < 0) AS negs,
+    count(DISTINCT value) AS uniq FROM long GROUP BY 1, 2),
+overall AS (SELECT "column", avg(value) AS gm, stddev_samp(value) AS gs FROM long GROUP BY 1),
+shape AS (SELECT *, CASE WHEN mx > mn THEN ceil((mx - mn) / (CASE WHEN q3 - q1 > 0
+      THEN least((mx - mn) / (log2(cnt) + 1), 2 * (q3 - q1) / cbrt(cnt)) ELSE (mx - mn) / (log2(cnt) + 1) END)) ELSE 1 END AS bins
+  FROM facts),
+cells AS (SELECT l.period, l."column", l.value, s.cnt, s.q1, s.q3, s.bins,
+    CASE WHEN s.mx > s.mn THEN (s.mx - s.mn) / s.bins ELSE 1.0 END AS width,
+    {bin_sql('l.value', 's.mn', 's.mx', 's.bins')} AS bin
+  FROM long l JOIN shape s ON l.period = s.period AND l."column" = s."column" WHERE l.value IS NOT NULL),
+bars AS (SELECT period, "column", bin, any_value(cnt) AS cnt, any_value(width) AS width, count(*) AS c,
+    count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outs
+  FROM cells GROUP BY 1, 2, 3),
+spread AS (SELECT period, "column", sum(outs) AS outs, -sum((c / (cnt * width)) * ln(c / (cnt * width))) AS ent
+  FROM bars GROUP BY 1, 2)
+SELECT f.period, f."column", cnt AS count, n - cnt AS missing_count, (n - cnt) * 100.0 / n AS missing_pct, mean,
+  med AS median, sd AS std, mn AS min, mx AS max, mx - mn AS range, q1 AS p25, q3 AS p75, q95 AS p95, q99 AS p99,
+  q3 - q1 AS iqr, skew, kurt, CASE WHEN gm <> 0 THEN (mean - gm) / gm ELSE 0 END AS mean_vs_global,
+  CASE WHEN gs <> 0 THEN (sd - gs) / gs ELSE 0 END AS std_vs_global,
+  CASE WHEN gs > 0 THEN (mean - gm) / gs ELSE 0 END AS zscore, outs AS outliers_count,
+  outs * 100.0 / nullif(cnt, 0) AS outliers_pct, ent AS entropy, uniq AS unique_count,
+  uniq * 100.0 / nullif(cnt, 0) AS unique_pct, zeros AS zero_count, zeros * 100.0 / nullif(cnt, 0) AS zero_pct,
+  negs AS negative_count, negs * 100.0 / nullif(cnt, 0) AS negative_pct, sd / nullif(abs(mean), 0) AS cv
+FROM facts f JOIN overall o ON f."column" = o."column"
+LEFT JOIN spread p ON f.period = p.period AND f."column" = p."column\""""
+
+
+def corr_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) > 0 AND "
+            f"stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END) > 0 THEN corr({a}, {b}) END")
