@@ -55,31 +55,37 @@ def cumulative_counts(
             *[F.sum(w).over(run).alias(f"cum_{w}") for w in weights],
             *[F.sum(w).over(whole).alias(f"total_{w}") for w in weights],
         )
+    placed, offsets = _bucketed(counts, keys, value, weights, buckets)
+    run = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return null_safe_join(placed, offsets, [*keys, "_bucket"]).select(
+        *counts.columns,
+        *[(F.col(f"_before_{w}") + F.sum(w).over(run)).alias(f"cum_{w}") for w in weights],
+        *[f"total_{w}" for w in weights],
+    )
+
+
+def _bucketed(counts, keys, value, weights, buckets) -> tuple[DataFrame, DataFrame]:
+    """``counts`` with a bucket number per value, and (keys, bucket) with the weight before and inside the bucket.
+
+    Bucket borders are approximate quantiles of the distinct values; they only balance the work, ranks stay exact.
+    """
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, cuts, SKETCH_ACCURACY)).alias("_bounds")
+        F.array_distinct(F.percentile_approx(value, cuts, SKETCH_ACCURACY)).alias("_bounds"),
+        *[F.sum(w).alias(f"total_{w}") for w in weights],
     )
     placed = null_safe_join(counts, bounds, keys).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     ).drop("_bounds")
+    sizes = placed.groupBy(*keys, "_bucket").agg(
+        *[F.sum(w).alias(f"_size_{w}") for w in weights], *[F.first(f"total_{w}").alias(f"total_{w}") for w in weights]
+    )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    sizes = placed.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_size_{w}") for w in weights])
     offsets = sizes.select(
-        *keys,
-        "_bucket",
+        *keys, "_bucket", *[f"total_{w}" for w in weights], *[f"_size_{w}" for w in weights],
         *[F.coalesce(F.sum(f"_size_{w}").over(before), F.lit(0)).alias(f"_before_{w}") for w in weights],
-        *[F.sum(f"_size_{w}").over(whole).alias(f"total_{w}") for w in weights],
-    )
-    run = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        null_safe_join(placed, offsets, [*keys, "_bucket"])
-        .select(
-            *counts.columns,
-            *[(F.col(f"_before_{w}") + F.sum(w).over(run)).alias(f"cum_{w}") for w in weights],
-            *[f"total_{w}" for w in weights],
-        )
     )
+    return placed.drop(*[f"total_{w}" for w in weights]), offsets
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -106,7 +112,19 @@ def quantiles_of(
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """(keys, name...): exact linearly interpolated quantiles, one column per name in ``probs``."""
-    cum = cumulative_counts(counts, keys, value, buckets=buckets)
+    if buckets <= 1:
+        cum = cumulative_counts(counts, keys, value, buckets=1)
+    else:
+        placed, offsets = _bucketed(counts, keys, value, ("n",), buckets)
+        holds = F.lit(False)
+        for p in probs.values():
+            k = F.floor(F.lit(float(p)) * (F.col("total_n") - 1))
+            end = F.col("_before_n") + F.col("_size_n")
+            holds = holds | ((F.col("_before_n") <= k) & (k < end)) | ((F.col("_before_n") <= k + 1) & (k + 1 < end))
+        run = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        cum = null_safe_join(placed, offsets.where(holds), [*keys, "_bucket"]).withColumn(
+            "cum_n", F.col("_before_n") + F.sum("n").over(run)
+        )
     picks = []
     for name, p in probs.items():
         frac, at_low, at_high = _rank_pick(p)

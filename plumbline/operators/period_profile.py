@@ -6,12 +6,12 @@ Tables stay long, one row per (period, column); :func:`to_metrics` gives (period
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.functions.calendar import period_label
-from plumbline.functions.nulls import hits, number, ratio
+from plumbline.functions.nulls import number, ratio
 from plumbline.operators.counts import (
     null_safe_join, numeric_long, quantiles_of, text_long, top_values, value_counts,
 )
@@ -53,21 +53,19 @@ def numeric_metrics(
     """One row per (period, column): counts, moments, quantiles, drift against the whole table, outliers, entropy."""
     cols = list(columns or columns_by_kind(df, (ts,)).numeric)
     long = numeric_long(with_period(df, ts, period, label), ["period"], cols)
-    v = F.col("value")
-    moments = long.groupBy(*PC).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count(v).alias("count"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        stats.skew(v).alias("skew"), stats.kurtosis(v).alias("kurt"),
-        hits(v == 0).alias("zero_count"), hits(v < 0).alias("negative_count"),
+    counts = value_counts(long, PC, keep_null=True).withColumn(
+        "n_all", F.col("n")
+    ).withColumn("n", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0)))
+    v, w = F.col("value"), F.col("n")
+    basics = counts.groupBy(*PC).agg(
+        F.sum("n_all").alias("_rows"), F.sum(w).alias("count"),
+        F.try_divide(F.sum(v * w), F.sum(w)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.count(v).alias("unique_count"),
+        F.sum(F.when(v == 0, w).otherwise(F.lit(0))).alias("zero_count"),
+        F.sum(F.when(v < 0, w).otherwise(F.lit(0))).alias("negative_count"),
     )
-    overall = long.groupBy("column").agg(F.avg(v).alias("_gmean"), F.stddev_samp(v).alias("_gstd"))
-    counts = value_counts(long, PC)
-    facts = null_safe_join(moments, quantiles_of(counts, PC, QUANTILES), PC, "left").withColumn(
-        "iqr", F.col("p75") - F.col("p25")
-    )
-    shape = null_safe_join(counts, facts.select(*PC, "count", "min", "max", "p25", "p75", "iqr"), PC)
-    facts = null_safe_join(facts, _spread(shape), PC, "left").join(overall, "column")
+    facts = null_safe_join(basics, quantiles_of(counts, PC, QUANTILES), PC).withColumn("iqr", F.col("p75") - F.col("p25"))
+    facts = _with_overall(_spread(counts, facts))
     n = F.col("count")
     pct = lambda c: ratio(c * 100.0, n)
     drift = lambda a, g: F.when(F.col(g) != 0, (F.col(a) - F.col(g)) / F.col(g)).otherwise(0.0)
@@ -94,26 +92,51 @@ def auto_bins(n: Column, lo: Column, hi: Column, iqr: Column) -> Column:
     return F.when(hi > lo, F.ceil((hi - lo) / width)).otherwise(F.lit(1)).cast("bigint")
 
 
-def _spread(shape: DataFrame) -> DataFrame:
-    """Outlier count, distinct count and density entropy per (period, column) from value counts with their bounds."""
-    v, lo, hi = F.col("value"), F.col("min"), F.col("max")
-    binned = shape.withColumn("_bins", auto_bins(F.col("count"), lo, hi, F.col("iqr"))).withColumn(
-        "_bin", stats.equal_width_bin(v, lo, hi, F.col("_bins"))
-    )
+def _spread(counts: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds central moments, outlier count and density entropy, read from the value counts with their facts."""
+    carried = [c for c in facts.columns if c not in PC]
+    v, lo, hi, w = F.col("value"), F.col("min"), F.col("max"), F.col("n")
+    cells = null_safe_join(counts, facts, PC).withColumn("_bins", auto_bins(F.col("count"), lo, hi, F.col("iqr")))
+    cells = cells.withColumn("_bin", stats.equal_width_bin(v, lo, hi, F.col("_bins")))
     outside = (v < F.col("p25") - 1.5 * F.col("iqr")) | (v > F.col("p75") + 1.5 * F.col("iqr"))
-    bars = binned.groupBy(*PC, "_bin").agg(
-        F.sum("n").alias("_n"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("_out"),
-        F.count(F.lit(1)).alias("_distinct"),
-        F.first("count").alias("_total"),
-        F.first(F.when(hi > lo, (hi - lo) / F.col("_bins")).otherwise(1.0)).alias("_width"),
+    gap = v - F.col("mean")
+    bars = cells.groupBy(*PC, "_bin").agg(
+        F.sum(w).alias("_n"), F.sum(F.when(outside, w).otherwise(F.lit(0))).alias("_out"),
+        *[F.sum(w * F.pow(gap, F.lit(float(k)))).alias(f"_m{k}") for k in (2, 3, 4)],
+        F.first(F.when(hi > lo, (hi - lo) / F.col("_bins")).otherwise(F.lit(1.0))).alias("_width"),
+        *[F.first(c).alias(c) for c in carried],
     )
-    density = F.col("_n") / (F.col("_total") * F.col("_width"))
-    return bars.groupBy(*PC).agg(
-        F.sum("_out").alias("outliers_count"), F.sum("_distinct").alias("unique_count"),
-        (-F.sum(density * F.ln(density))).alias("entropy"),
+    density = F.col("_n") / (F.col("count") * F.col("_width"))
+    out = bars.groupBy(*PC).agg(
+        F.sum("_out").alias("outliers_count"),
+        (-F.sum(F.when(F.col("_n") > 0, density * F.ln(density)))).alias("entropy"),
+        *[F.sum(f"_m{k}").alias(f"_m{k}") for k in (2, 3, 4)],
+        *[F.first(c).alias(c) for c in carried],
+    )
+    n = F.col("count").cast("double")
+    spread = F.col("max") > F.col("min")
+    m2 = F.col("_m2") / n
+    g1 = F.col("_m3") / n / F.pow(m2, F.lit(1.5))
+    g2 = F.col("_m4") / n / (m2 * m2) - 3
+    return out.select(
+        *PC, *carried, "outliers_count", "entropy",
+        F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))).alias("std"),
+        F.when((n > 2) & spread, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+        F.when((n > 3) & spread, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurt"),
     )
 
 
+def _with_overall(facts: DataFrame) -> DataFrame:
+    """Mean and deviation of the whole column, merged from the windows (one row per window, so the frames are small)."""
+    whole = Window.partitionBy("column")
+    n = F.col("count")
+    mean = F.try_divide(F.sum(n * F.col("mean")).over(whole), F.sum(n).over(whole))
+    out = facts.withColumn("_gmean", mean)
+    inner = F.coalesce((n - 1) * F.col("std") * F.col("std"), F.lit(0.0)) + n * F.pow(F.col("mean") - F.col("_gmean"), F.lit(2.0))
+    total = F.sum(n).over(whole)
+    return out.withColumn("_gstd", F.when(total > 1, F.sqrt(F.sum(inner).over(whole) / (total - 1))))
+
+
 def velocity(
     df: DataFrame, ts: str, columns: list[str], key: str, period: str = "day", label: str = "start"
 ) -> DataFrame:
