@@ -95,7 +95,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     for k in keys:
         c = left[k].eqNullSafe(r[f"_r_{k}"])
         cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+    out = left.join(r, cond, how)
+    return out if how in ("left_anti", "left_semi") else out.drop(*[f"_r_{k}" for k in keys])
 
 
 def _rank_pick(p: float) -> tuple[Column, Column, Column]:

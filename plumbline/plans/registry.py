@@ -12,6 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Averages of cents often end exactly half way between two rounded values; both sides are moved off that point before
+# rounding, so that the last bit of a floating-point sum does not decide.
+NUDGE = 3.3e-7
+
 
 class Tables:
     """Parquet tables of one folder."""
@@ -46,8 +50,8 @@ def shape(df: DataFrame, layout: str) -> DataFrame:
     casts = {
         "s": lambda c: c.cast("string"),
         "i": lambda c: c.cast("bigint"),
-        "f": lambda c: F.round(c.cast("double"), 4) + F.lit(0.0),
-        "g": lambda c: F.round(c.cast("double"), 2) + F.lit(0.0),
+        "f": lambda c: F.round(c.cast("double") + F.lit(NUDGE), 4) + F.lit(0.0),
+        "g": lambda c: F.round(c.cast("double") + F.lit(100 * NUDGE), 2) + F.lit(0.0),
         "b": lambda c: c.cast("boolean"),
         "d": lambda c: F.date_format(c, "yyyy-MM-dd"),
         "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
@@ -59,8 +63,8 @@ def shape_sql(sql: str, layout: str) -> str:
     casts = {
         "s": "CAST({c} AS VARCHAR)",
         "i": "CAST({c} AS BIGINT)",
-        "f": "round(CAST({c} AS DOUBLE), 4) + 0.0",
-        "g": "round(CAST({c} AS DOUBLE), 2) + 0.0",
+        "f": f"round(CAST({{c}} AS DOUBLE) + {NUDGE:.8f}, 4) + 0.0",
+        "g": f"round(CAST({{c}} AS DOUBLE) + {100 * NUDGE:.8f}, 2) + 0.0",
         "b": "CAST({c} AS BOOLEAN)",
         "d": "strftime({c}, '%Y-%m-%d')",
         "t": "strftime({c}, '%Y-%m-%d %H:%M:%S')",
