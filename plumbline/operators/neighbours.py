@@ -1,54 +1,64 @@
 """Local outlier factor with exact nearest neighbours, without comparing all pairs.
 
-Points are placed on a line by their distance to one reference point. Two points cannot be nearer to each other than
-their places on the line, so once each point has an upper bound for the distance to its k-th neighbour, only points
-inside that bound on the line are compared, by an equality join on line cells.
+Each point first gets an upper bound for the distance to its k-th neighbour from points that lie next to it in a strip
+order over its first two features. Nothing outside that distance in either feature can be among its neighbours, so
+points are then compared by an equality join on the grid cells the bound reaches.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.nulls import bounded
+from plumbline.sources.checkpoint import cut
+
+GRID = 64
 
 
-def _distance(a: Column | str, b: Column | str) -> Column:
-    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
+def _distance(columns: list[str], a: str, b: str) -> Column:
+    return F.sqrt(reduce(lambda x, y: x + y, [(F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in columns]))
 
 
 def nearest(df: DataFrame, key: str, features: list[str], k: int = 20) -> DataFrame:
     """(key, other, distance, rank): the exact k nearest other points; ties by key."""
-    pts = df.select(key, F.array(*[bounded(F.col(f)) for f in features]).alias("_x"))
-    low = df.agg(F.array(*[F.min(bounded(F.col(f))) for f in features])).scalar()
-    pts = pts.withColumn("_low", low).withColumn("_d", _distance("_x", "_low")).drop("_low")
-    span = pts.agg(F.struct(F.min("_d").alias("lo"), F.max("_d").alias("hi"), F.count(F.lit(1)).alias("n"))).scalar()
-    # Strips of about 1024 points (if places are even) bound the work of one task; the bound itself needs no exact strip.
-    strips = F.ceil(span["n"] / 1024)
-    pts = pts.withColumn("_strip", F.coalesce(F.floor(F.try_divide((F.col("_d") - span["lo"]) * strips, span["hi"] - span["lo"])), F.lit(0)))
-    line = Window.partitionBy("_strip").orderBy("_d", key)
-    near = pts.withColumn("_near", F.collect_list(F.struct(F.col(key).alias("o"), F.col("_x").alias("y"))).over(line.rowsBetween(-k, k)))
-    gaps = F.array_sort(F.transform(F.filter("_near", lambda s: s["o"] != F.col(key)), lambda s: _distance("_x", s["y"])))
-    reach = F.when(F.size(gaps) >= k, F.get(gaps, F.lit(k - 1))).otherwise(span["hi"] - span["lo"])
-    bounds = near.select(key, "_x", "_d", (reach * (1 + 1e-9)).alias("_reach"))
-    width = bounds.agg(F.greatest(F.percentile_approx("_reach", 0.5), (span["hi"] - span["lo"]) / 4096, F.lit(1e-12))).scalar()
+    names = [str(i) for i in range(len(features))]
+    pts = df.select(key, *[bounded(F.col(f)).alias(f"a{i}") for i, f in zip(names, features)])
+    if len(features) == 1:
+        names = [*names, "1"]
+        pts = pts.withColumn("a1", F.lit(0.0))
+    box = pts.agg(F.struct(F.min("a0").alias("lo0"), F.max("a0").alias("hi0"), F.min("a1").alias("lo1"), F.max("a1").alias("hi1"),
+                           F.count(F.lit(1)).alias("n"), *[(F.max(f"a{i}") - F.min(f"a{i}")).alias(f"w{i}") for i in names])).scalar()
+    diagonal = F.sqrt(reduce(lambda x, y: x + y, [box[f"w{i}"] * box[f"w{i}"] for i in names]))
+    strips = F.greatest(F.lit(1.0), F.ceil(F.sqrt(box["n"] / k)).cast("double"))
+    strip = F.floor(F.coalesce(F.try_divide((F.col("a0") - box["lo0"]) * strips, box["hi0"] - box["lo0"]), F.lit(0.0)))
+    line = Window.partitionBy("_strip").orderBy("a1", key).rowsBetween(-k, k)
+    near = pts.withColumn("_strip", strip).withColumn("_near", F.collect_list(F.struct(key, *[f"a{i}" for i in names])).over(line))
+    gap = lambda s: F.sqrt(reduce(lambda x, y: x + y, [(F.col(f"a{i}") - s[f"a{i}"]) * (F.col(f"a{i}") - s[f"a{i}"]) for i in names]))
+    gaps = F.array_sort(F.transform(F.filter("_near", lambda s: s[key] != F.col(key)), gap))
+    reach = F.when(F.size(gaps) >= k, F.get(gaps, F.lit(k - 1)))
+    bounds = cut(near.select(key, *[f"a{i}" for i in names], reach.alias("_reach")).withColumn("_reach", F.coalesce("_reach", diagonal) * (1 + 1e-9)))
+    width = bounds.agg(F.greatest(F.percentile_approx("_reach", 0.5), (F.max("a0") - F.min("a0")) / GRID, (F.max("a1") - F.min("a1")) / GRID,
+                                  F.lit(1e-12))).scalar()
     cells = bounds.withColumn("_w", width)
-    ask = cells.withColumn("_cell", F.explode(F.sequence(
-        F.floor((F.col("_d") - F.col("_reach")) / F.col("_w")), F.floor((F.col("_d") + F.col("_reach")) / F.col("_w")))))
-    have = cells.select(F.col(key).alias("other"), F.col("_x").alias("_y"), F.col("_d").alias("_e"), F.floor(F.col("_d") / F.col("_w")).alias("_cell"))
-    pairs = ask.join(have, "_cell").where((F.col(key) != F.col("other")) & (F.abs(F.col("_d") - F.col("_e")) <= F.col("_reach")))
-    pairs = pairs.select(key, "other", _distance("_x", "_y").alias("distance"))
+    reached = lambda c: F.sequence(F.floor((F.col(c) - F.col("_reach")) / F.col("_w")), F.floor((F.col(c) + F.col("_reach")) / F.col("_w")))
+    ask = cells.withColumn("_c0", F.explode(reached("a0"))).withColumn("_c1", F.explode(reached("a1")))
+    have = cells.select(F.col(key).alias("other"), *[F.col(f"a{i}").alias(f"b{i}") for i in names],
+                        F.floor(F.col("a0") / F.col("_w")).alias("_c0"), F.floor(F.col("a1") / F.col("_w")).alias("_c1"))
+    within = (F.abs(F.col("a0") - F.col("b0")) <= F.col("_reach")) & (F.abs(F.col("a1") - F.col("b1")) <= F.col("_reach"))
+    pairs = ask.join(have, ["_c0", "_c1"]).where((F.col(key) != F.col("other")) & within)
+    pairs = pairs.select(key, "other", "_reach", _distance(names, "a", "b").alias("distance")).where(F.col("distance") <= F.col("_reach"))
     best = Window.partitionBy(key).orderBy("distance", "other")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return pairs.drop("_reach").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int = 20) -> DataFrame:
     """(key, score): mean local density of the neighbours over the own one; about 1 inside a cluster, larger outside."""
-    nn = nearest(df, key, features, k)
-    kth = nn.groupBy(key).agg(F.max("distance").alias("_k"))
-    other_kth = kth.select(F.col(key).alias("other"), F.col("_k").alias("_ok"))
-    reach = nn.join(other_kth, "other").withColumn("_reach", F.greatest("distance", "_ok"))
+    nn = cut(nearest(df, key, features, k))
+    kth = nn.groupBy(F.col(key).alias("other")).agg(F.max("distance").alias("_ok"))
+    reach = nn.join(kth, "other").withColumn("_reach", F.greatest("distance", "_ok"))
     density = reach.groupBy(key).agg((1 / (F.avg("_reach") + 1e-10)).alias("_lrd"))
     other = density.select(F.col(key).alias("other"), F.col("_lrd").alias("_olrd"))
     return nn.join(other, "other").groupBy(key).agg(F.avg("_olrd").alias("_m")).join(density, key).select(
