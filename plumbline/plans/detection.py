@@ -13,7 +13,7 @@ from plumbline.operators import cleaning, counts, density, fusion, layers, panel
 
 @dataclass(frozen=True)
 class DetectionConfig:
-    """Settings of :func:`detect_periods`; the defaults are those of the reference detector."""
+    """Settings of :func:`detect_periods`."""
 
     length: int = 14
     percentile: float = 0.95
