@@ -57,7 +57,7 @@ def cumulative_counts(
         )
     placed, offsets = _bucketed(counts, keys, value, weights, buckets)
     run = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return null_safe_join(placed, offsets, [*keys, "_bucket"]).select(
+    return on_keys(placed, offsets, [*keys, "_bucket"]).select(
         *counts.columns,
         *[(F.col(f"_before_{w}") + F.sum(w).over(run)).alias(f"cum_{w}") for w in weights],
         *[f"total_{w}" for w in weights],
@@ -74,7 +74,7 @@ def _bucketed(counts, keys, value, weights, buckets) -> tuple[DataFrame, DataFra
         F.array_distinct(F.percentile_approx(value, cuts, SKETCH_ACCURACY)).alias("_bounds"),
         *[F.sum(w).alias(f"total_{w}") for w in weights],
     )
-    placed = null_safe_join(counts, bounds, keys).withColumn(
+    placed = on_keys(counts, bounds, keys).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     ).drop("_bounds")
     sizes = placed.groupBy(*keys, "_bucket").agg(
@@ -88,8 +88,13 @@ def _bucketed(counts, keys, value, weights, buckets) -> tuple[DataFrame, DataFra
     return placed.drop(*[f"total_{w}" for w in weights]), offsets
 
 
+def on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join on keys that are never NULL; plain equality keeps the partitioning an aggregate on them has left."""
+    return left.join(right, keys, how)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equality join on ``keys`` where NULL keys meet."""
+    """Equality join on ``keys`` where NULL keys meet. It needs its own shuffle, so it is kept for keys that can be NULL."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = None
     for k in keys:
@@ -123,7 +128,7 @@ def quantiles_of(
             end = F.col("_before_n") + F.col("_size_n")
             holds = holds | ((F.col("_before_n") <= k) & (k < end)) | ((F.col("_before_n") <= k + 1) & (k + 1 < end))
         run = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        cum = null_safe_join(placed, offsets.where(holds), [*keys, "_bucket"]).withColumn(
+        cum = on_keys(placed, offsets.where(holds), [*keys, "_bucket"]).withColumn(
             "cum_n", F.col("_before_n") + F.sum("n").over(run)
         )
     picks = []

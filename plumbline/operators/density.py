@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.nulls import bounded, ratio
-from plumbline.operators.counts import BUCKETS, cumulative_counts, null_safe_join, quantiles
+from plumbline.operators.counts import BUCKETS, cumulative_counts, on_keys, quantiles
+from plumbline.sources.checkpoint import cut
 
 METHODS = ("ecod", "copod")
 
@@ -35,15 +36,17 @@ def _combined(method: str, left: Column, right: Column, skew: Column) -> Column:
     return F.greatest(by_skew, (left + right) / 2)
 
 
-def tail_scores(df: DataFrame, keys: list[str], features: list[str], split: str, splits: list[int], method: str = "ecod",
+def tail_scores(df: DataFrame, keys: list[str], features: list[str], split: str, splits: list[int], method: str | tuple[str, ...] = "ecod",
                 buckets: int = BUCKETS) -> DataFrame:
     """(keys, split, score, train_<s>...): tail score per row, and for each ``s`` its score among rows outside split ``s``.
 
     ``score`` uses the distribution of all rows; ``train_s`` that of the rows with another split, and is NULL inside it.
-    Missing values count as 0 and infinities are bounded.
+    Missing values count as 0 and infinities are bounded. Several methods share the tails; their scores over all rows
+    then come under the methods' names.
     """
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {METHODS}")
+    methods = (method,) if isinstance(method, str) else tuple(method)
+    if not set(methods) <= set(METHODS):
+        raise ValueError(f"method must be among {METHODS}")
     long = df.select(*keys, split, *[bounded(F.col(f)).alias(f) for f in features]).unpivot(
         [*keys, split], features, "_feature", "_value"
     )
@@ -56,10 +59,12 @@ def tail_scores(df: DataFrame, keys: list[str], features: list[str], split: str,
         F.skewness("_value").alias("s_n"), *[F.skewness(F.when(c, F.col("_value"))).alias(f"s_n{s}") for s, c in outside.items()]
     )
     cum = cumulative_counts(counts, ["_feature"], "_value", tuple(weights), buckets).join(skews, "_feature")
-    tails = cum.select("_feature", "_value", *[_outlyingness(method, w).alias(f"o_{w}") for w in weights])
-    rows = null_safe_join(long, tails, ["_feature", "_value"])
+    named = {"score": methods[0]} if len(methods) == 1 else {m: m for m in methods}
+    tails = cum.select("_feature", "_value", *[_outlyingness(m, "n").alias(f"o_{c}") for c, m in named.items()],
+                       *[_outlyingness(methods[0], f"n{s}").alias(f"o_n{s}") for s in splits])
+    rows = on_keys(long, tails, ["_feature", "_value"])
     return rows.groupBy(*keys, split).agg(
-        F.sum("o_n").alias("score"),
+        *[F.sum(f"o_{c}").alias(c) for c in named],
         *[F.sum(F.when(outside[s], F.col(f"o_n{s}"))).alias(f"train_{s}") for s in splits],
     )
 
@@ -83,7 +88,7 @@ def out_of_fold(df: DataFrame, key: str, features: list[str], method: str = "eco
     """(key, fold, score, threshold, flag): each row against the threshold learned without its fold."""
     src = df.withColumn("fold", fold_of(F.col(key), folds))
     splits = list(range(folds))
-    scores = tail_scores(src, [key], features, "fold", splits, method)
+    scores = cut(tail_scores(src, [key], features, "fold", splits, method))  # read for the limits and for the flags
     limits = split_thresholds(scores, splits, contamination)
     return scores.join(F.broadcast(limits), F.col("fold") == F.col("split_no")).select(  # one row per fold
         key, "fold", "score", "threshold", (F.col("score") > F.col("threshold")).cast("int").alias("flag")
@@ -93,9 +98,7 @@ def out_of_fold(df: DataFrame, key: str, features: list[str], method: str = "eco
 def ensemble(df: DataFrame, key: str, features: list[str], contamination: float = 0.01, folds: int = 5) -> DataFrame:
     """(key, fold, ecod, copod, score, threshold, flag): both scores min-max scaled inside each fold and averaged."""
     src = df.withColumn("fold", fold_of(F.col(key), folds))
-    both = tail_scores(src, [key], features, "fold", [], "ecod").withColumnRenamed("score", "ecod").join(
-        tail_scores(src, [key], features, "fold", [], "copod").select(key, F.col("score").alias("copod")), key
-    )
+    both = cut(tail_scores(src, [key], features, "fold", [], METHODS))  # read for the edges, the limits and the flags
     edges = both.groupBy("fold").agg(*[f(c).alias(f"{n}_{c}") for c in METHODS for n, f in (("lo", F.min), ("hi", F.max))])
     scaled = both.join(F.broadcast(edges), "fold")  # one row per fold
     norm = [(F.col(c) - F.col(f"lo_{c}")) / F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(1e-10)) for c in METHODS]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline import vocab
 from plumbline.functions.nulls import ratio
-from plumbline.operators.counts import quantiles
 
 HIGHEST_NULL_SHARE = 0.3
 
@@ -18,62 +17,77 @@ def _without(metrics: DataFrame, exclude) -> DataFrame:
     return reduce(lambda df, x: df.where(~F.col("metric").contains(x)), exclude, metrics)
 
 
-def _dense_enough(metrics: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts of metrics that are present in at least 70% of all periods of the table."""
+def _scored(metrics: DataFrame, exclude=()) -> DataFrame:
+    """Every metric row with the facts all flags need, from one shuffle by metric.
+
+    A metric has one row per period, so these windows stay small. Metrics that miss more than 30% of all periods go.
+    """
+    whole = Window.partitionBy("metric")
+    line = whole.orderBy("period")
+    v = F.col("value")
     periods = metrics.select("period").distinct().agg(F.count(F.lit(1)).cast("double")).scalar()
-    return facts.where(F.lit(1.0) - F.col("_present") / periods <= HIGHEST_NULL_SHARE)
+    rows = _without(metrics, exclude).withColumns({
+        "_present": F.count(v).over(whole), "_mean": F.avg(v).over(whole), "_std": F.stddev_samp(v).over(whole),
+        "_q": F.percentile(v, [0.25, 0.75]).over(whole), "change": _change(line),
+    })
+    rows = rows.withColumns({"_cmean": F.avg("change").over(whole), "_cstd": F.stddev_samp("change").over(whole)})
+    return rows.where(F.lit(1.0) - F.col("_present") / periods <= HIGHEST_NULL_SHARE)
 
 
-def zscore_flags(metrics: DataFrame, threshold: float = 3.0, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(period, metric, score, flag): distance from the metric's mean in deviations; flat or sparse metrics are left out."""
-    src = _without(metrics, exclude)
-    facts = src.groupBy("metric").agg(
-        F.count("value").alias("_present"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std")
-    )
-    facts = _dense_enough(metrics, facts).where(F.col("_std") > 0)
-    z = F.abs((F.col("value") - F.col("_mean")) / F.col("_std"))
-    return src.join(facts, "metric").select("period", "metric", z.alias("score"), _flag(z > threshold))
+def _change(line) -> Column:
+    now = F.last("value", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.last("value", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    return ratio(now - before, before)
 
 
 def _flag(cond: Column) -> Column:
     return F.coalesce(cond.cast("int"), F.lit(0)).alias("flag")
 
 
+def _zscore(threshold: float) -> tuple[Column, Column, Column]:
+    """(applies, score, flag)"""
+    z = F.abs((F.col("value") - F.col("_mean")) / F.nullif("_std", F.lit(0.0)))
+    return F.col("_std") > 0, z, _flag(z > threshold)
+
+
+def _iqr(factor: float = 1.5) -> tuple[Column, Column, Column]:
+    v, q1, q3 = F.col("value"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
+    distance = F.when(v.isNotNull(), F.greatest(low - v, v - high, F.lit(0.0)) / F.nullif(q3 - q1, F.lit(0.0)))
+    return q3 > q1, distance, _flag((v < low) | (v > high))
+
+
+def _rate(threshold: float, marked_only: bool) -> tuple[Column, Column, Column]:
+    z = F.abs((F.col("change") - F.col("_cmean")) / F.nullif("_cstd", F.lit(0.0)))
+    applies = F.col("_cstd") > 0
+    if marked_only:
+        applies = applies & reduce(lambda a, b: a | b, [F.col("metric").contains(m) for m in vocab.RATE_MARKS])
+    return applies, z, _flag(z > threshold)
+
+
+def _only(metrics: DataFrame, exclude, kind: tuple[Column, Column, Column]) -> DataFrame:
+    applies, score, flag = kind
+    return _scored(metrics, exclude).where(applies).select("period", "metric", score.alias("score"), flag)
+
+
+def zscore_flags(metrics: DataFrame, threshold: float = 3.0, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(period, metric, score, flag): distance from the metric's mean in deviations; flat or sparse metrics are left out."""
+    return _only(metrics, exclude, _zscore(threshold))
+
+
 def iqr_flags(metrics: DataFrame, exclude: tuple[str, ...] = (), factor: float = 1.5) -> DataFrame:
     """(period, metric, score, flag): distance beyond the quartile fences in units of the quartile range."""
-    src = _without(metrics, exclude)
-    present = src.groupBy("metric").agg(F.count("value").alias("_present"))
-    q = quantiles(src, ["metric"], {"_q1": 0.25, "_q3": 0.75}, buckets=1)
-    facts = _dense_enough(metrics, present.join(q, "metric")).withColumn("_iqr", F.col("_q3") - F.col("_q1")).where(F.col("_iqr") > 0)
-    v = F.col("value")
-    low, high = F.col("_q1") - factor * F.col("_iqr"), F.col("_q3") + factor * F.col("_iqr")
-    distance = F.when(v.isNotNull(), F.greatest(low - v, v - high, F.lit(0.0)) / F.col("_iqr"))
-    return src.join(facts, "metric").select("period", "metric", distance.alias("score"), _flag((v < low) | (v > high)))
+    return _only(metrics, exclude, _iqr(factor))
 
 
 def relative_changes(metrics: DataFrame) -> DataFrame:
     """Adds ``change``: relative change to the period before, over forward-filled values; NULL on a zero base."""
-    order = Window.partitionBy("metric").orderBy("period")
-    now = F.last("value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.last("value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return metrics.withColumns({"_now": now, "_before": before}).withColumn(
-        "change", ratio(F.col("_now") - F.col("_before"), F.col("_before"))
-    ).drop("_now", "_before")
+    return metrics.withColumn("change", _change(Window.partitionBy("metric").orderBy("period")))
 
 
 def rate_flags(metrics: DataFrame, threshold: float = 3.0, exclude: tuple[str, ...] = (), marked_only: bool = True) -> DataFrame:
     """(period, metric, score, flag): unusual relative change; ``marked_only`` limits to rate-like metric names."""
-    src = _without(metrics, exclude)
-    if marked_only:
-        marked = reduce(lambda a, b: a | b, [F.col("metric").contains(m) for m in vocab.RATE_MARKS])
-        src = src.where(marked)
-    changes = relative_changes(src)
-    facts = changes.groupBy("metric").agg(
-        F.count("value").alias("_present"), F.avg("change").alias("_mean"), F.stddev_samp("change").alias("_std")
-    )
-    facts = _dense_enough(metrics, facts).where(F.col("_std") > 0)
-    z = F.abs((F.col("change") - F.col("_mean")) / F.col("_std"))
-    return changes.join(facts, "metric").select("period", "metric", z.alias("score"), _flag(z > threshold))
+    return _only(metrics, exclude, _rate(threshold, marked_only))
 
 
 def correlation_flags(metrics: DataFrame, threshold: float = 3.0, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -83,11 +97,11 @@ def correlation_flags(metrics: DataFrame, threshold: float = 3.0, exclude: tuple
 
 def all_flags(metrics: DataFrame, threshold: float = 3.0, exclude: tuple[str, ...] = ()) -> DataFrame:
     """The four kinds of flags in one table with ``kind``. Correlation metrics count under z-score and correlation."""
-    kinds = {
-        "zscore": zscore_flags(metrics, threshold, exclude), "iqr": iqr_flags(metrics, exclude),
-        "change": rate_flags(metrics, threshold, exclude), "correlation": correlation_flags(metrics, threshold, exclude),
-    }
-    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(k)) for k, df in kinds.items()])
+    z, q, r = _zscore(threshold), _iqr(), _rate(threshold, True)
+    kinds = {"zscore": z, "iqr": q, "change": r, "correlation": (z[0] & F.col("metric").startswith("corr_"), z[1], z[2])}
+    items = [F.when(applies, F.struct(F.lit(k).alias("kind"), score.alias("score"), flag)) for k, (applies, score, flag) in kinds.items()]
+    rows = _scored(metrics, exclude).withColumn("_k", F.array_compact(F.array(*items)))
+    return rows.select("period", "metric", F.inline("_k"))
 
 
 def combine_flags(metrics: DataFrame, flags: DataFrame, min_flags: int = 3, weighted: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.functions.nulls import number, ratio
-from plumbline.operators.counts import null_safe_join, numeric_long, quantiles_of, text_long, top_values, value_counts
+from plumbline.operators.counts import on_keys, numeric_long, quantiles_of, text_long, top_values, value_counts
 from plumbline.operators.period_profile import PC
 
 WINDOWS = (7, 14, 30, 90)
@@ -19,9 +19,13 @@ EPS = 1e-8
 TINY = 1e-10
 
 
+def _dated(df: DataFrame, date: str) -> DataFrame:
+    return df.where(F.col(date).isNotNull()).withColumn("period", F.to_date(date))
+
+
 def numeric_by_date(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
     """mean, median, std, min, max, range, iqr, skew, kurtosis, zeros_pct, nulls_pct per (period, column)."""
-    long = numeric_long(df.withColumn("period", F.to_date(date)), ["period"], columns, infinities=True)
+    long = numeric_long(_dated(df, date), ["period"], columns, infinities=True)
     v = F.col("value")
     rows = F.count(F.lit(1)).cast("double")
     facts = long.groupBy(*PC).agg(
@@ -30,7 +34,7 @@ def numeric_by_date(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
         (F.count_if(v == 0) / rows * 100).alias("zeros_pct"), (F.count_if(v.isNull()) / rows * 100).alias("nulls_pct"),
     )
     q = quantiles_of(value_counts(long, PC), PC, {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
-    return null_safe_join(facts, q, PC, "left").select(
+    return on_keys(facts, q, PC, "left").select(
         *PC, "mean", "median", "std", "min", "max", (F.col("max") - F.col("min")).alias("range"),
         (F.col("_q3") - F.col("_q1")).alias("iqr"), "skew", "kurtosis", "zeros_pct", "nulls_pct",
     )
@@ -38,7 +42,7 @@ def numeric_by_date(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
 
 def _newest(df: DataFrame, date: str, key: str, columns: list[str], most: int) -> DataFrame:
     """The newest ``most`` rows of each date with ``_last`` on the very last one."""
-    rows = df.select(F.to_date(date).alias("period"), F.col(date).alias("_t"), F.col(key).alias("_k"), *columns)
+    rows = df.where(F.col(date).isNotNull()).select(F.to_date(date).alias("period"), F.col(date).alias("_t"), F.col(key).alias("_k"), *columns)
     w = Window.partitionBy("period").orderBy(F.desc("_t"), F.desc("_k"))
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
 
@@ -65,7 +69,7 @@ def numeric_history(df: DataFrame, date: str, key: str, columns: list[str], wind
     past = past.where(F.col("have") == F.col("window"))
     now = numeric_by_date(df, date, columns)
     at_least = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(EPS)))
-    return null_safe_join(past, now.select(*PC, "mean", "median", "std", "range"), PC).select(
+    return on_keys(past, now.select(*PC, "mean", "median", "std", "range"), PC).select(
         *PC, "window", (F.col("mean") - F.col("hmean")).alias("mean_diff"), (F.col("median") - F.col("hmedian")).alias("median_diff"),
         (F.col("std") / at_least(F.col("hstd"))).alias("std_ratio"), (F.col("range") / at_least(F.col("hrange"))).alias("range_ratio"),
         ((F.col("mean") - F.col("hmean")) / at_least(F.col("hstd"))).alias("zscore"),
@@ -74,7 +78,7 @@ def numeric_history(df: DataFrame, date: str, key: str, columns: list[str], wind
 
 def numeric_history_days(df: DataFrame, date: str, columns: list[str], windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """The same against the last N calendar days, from mergeable day sums; without the median."""
-    long = numeric_long(df.withColumn("period", F.to_date(date)), ["period"], columns, infinities=True)
+    long = numeric_long(_dated(df, date), ["period"], columns, infinities=True)
     v = F.col("value")
     day = long.groupBy(*PC).agg(F.count(v).cast("double").alias("n"), F.avg(v).alias("m"), F.stddev_samp(v).alias("s"),
                                 F.min(v).alias("lo"), F.max(v).alias("hi"))
@@ -105,15 +109,15 @@ def category_by_date(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("_nulls"),
     )
     p = F.col("n") / F.col("_total")
-    entropy = null_safe_join(counts, totals, PC).groupBy(*PC).agg((-F.sum(p * F.log2(p + TINY))).alias("entropy"))
+    entropy = on_keys(counts, totals, PC).groupBy(*PC).agg((-F.sum(p * F.log2(p + TINY))).alias("entropy"))
     best = top_values(counts.where(F.col("value").isNotNull()), PC, 1).select(*PC, F.col("value").alias("mode"))
-    return null_safe_join(null_safe_join(totals, entropy, PC), best, PC, "left").select(
+    return on_keys(on_keys(totals, entropy, PC), best, PC, "left").select(
         *PC, "unique_count", "mode", "entropy", (F.col("_nulls") * 100.0 / F.col("_total")).alias("nulls_pct")
     )
 
 
 def _date_counts(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
-    return value_counts(text_long(df.withColumn("period", F.to_date(date)), ["period"], columns), PC, keep_null=True)
+    return value_counts(text_long(_dated(df, date), ["period"], columns), PC, keep_null=True)
 
 
 def divergence_term(p: Column, q: Column) -> Column:
@@ -137,13 +141,13 @@ def category_history(df: DataFrame, date: str, key: str, columns: list[str], win
     keys = [*PC, "window"]
     before = past.select(*keys, F.inline("rows")).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     counts = _date_counts(df, date, columns)
-    today = null_safe_join(counts, past.select(*keys), PC).select(*keys, "value", "n")
+    today = on_keys(counts, past.select(*keys), PC).select(*keys, "value", "n")
     zero = F.lit(0).cast("bigint")
     both = today.select(*keys, "value", F.col("n").alias("a"), zero.alias("b")).unionByName(
         before.select(*keys, "value", zero.alias("a"), F.col("n").alias("b"))
     ).groupBy(*keys, "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = counts.groupBy(*PC).agg(F.sum("n").alias("_total"))
-    both = null_safe_join(both, totals, PC)
+    both = on_keys(both, totals, PC)
     p, q = ratio(F.col("a"), F.col("_total")), F.col("b") / F.col("window")
     known = F.col("value").isNotNull()
     return both.groupBy(*keys).agg(

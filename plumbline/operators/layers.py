@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import season_position
-from plumbline.operators.counts import null_safe_join, quantiles
+from plumbline.operators.counts import BUCKETS, on_keys, quantiles
 
 
 def statistical_layer(series: DataFrame, keys: list[str], order: str, value: str = "value", window: int = 20, sigma: float = 3.0) -> DataFrame:
@@ -56,16 +56,16 @@ def seasonal_layer(df: DataFrame, keys: list[str], ts: str, value: str = "value"
         totals = facts.groupBy(*keys).agg(F.sum("_n").alias("_total")) if keys else facts.agg(F.sum("_n").alias("_total")).withColumn("_one", F.lit(1))
         if not keys:
             facts = facts.withColumn("_one", F.lit(1))
-        facts = null_safe_join(facts, totals, keys or ["_one"]).where((F.col("_n") >= least) & (F.col("_total") >= 2 * p))
+        facts = on_keys(facts, totals, keys or ["_one"]).where((F.col("_n") >= least) & (F.col("_total") >= 2 * p))
         far = F.abs(F.col(value) - F.col("_m")) / F.greatest(F.col("_s"), F.lit(1e-8)) > sigma
-        joined = null_safe_join(placed, facts.select(*keys, "_pos", "_m", "_s"), [*keys, "_pos"], "left")
+        joined = on_keys(placed, facts.select(*keys, "_pos", "_m", "_s"), [*keys, "_pos"], "left")
         out = joined.withColumn(name, F.coalesce(far, F.lit(False))).drop("_pos", "_m", "_s")
     hit = reduce(lambda a, b: a | b, [F.col(n) for n in names])
     return out.withColumn("seasonal_anomaly", hit).drop(*names)
 
 
 def error_threshold(errors: DataFrame, keys: list[str], error: str = "error", method: str = "gaussian", contamination: float = 0.01,
-                    sigma: float = 3.0, buckets: int = 1) -> DataFrame:
+                    sigma: float = 3.0, buckets: int = BUCKETS) -> DataFrame:
     """(keys, threshold): mean + sigma deviations, or the (1 - contamination) quantile."""
     if method == "gaussian":
         return errors.groupBy(*keys).agg((F.avg(error) + sigma * F.stddev_pop(error)).alias("threshold"))
@@ -77,7 +77,7 @@ def error_threshold(errors: DataFrame, keys: list[str], error: str = "error", me
 def error_layer(errors: DataFrame, keys: list[str], error: str = "error", **how) -> DataFrame:
     """Adds threshold and error_anomaly (strictly above)."""
     limit = error_threshold(errors, keys, error, **how)
-    return null_safe_join(errors, limit, keys).withColumn("error_anomaly", F.col(error) > F.col("threshold"))
+    return on_keys(errors, limit, keys).withColumn("error_anomaly", F.col(error) > F.col("threshold"))
 
 
 def all_layers(statistical: DataFrame, seasonal: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,4 +97,4 @@ def all_layers(statistical: DataFrame, seasonal: DataFrame, errors: DataFrame, k
 def enough_rows(df: DataFrame, group: list[str], least: int = 30) -> DataFrame:
     """Rows of groups with at least ``least`` rows."""
     big = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return null_safe_join(df, big, group, "left_semi")
+    return on_keys(df, big, group, "left_semi")

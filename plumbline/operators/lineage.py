@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
@@ -26,12 +26,17 @@ def schema_changes(snapshots: DataFrame) -> DataFrame:
     was = snapshots.select("job", F.col("stage_no").alias("_before"), "column", F.col("type").alias("_was"))
     before = was.join(steps, ["job", "_before"]).select("job", "stage_no", "column", "_was")
     both = before.join(after, ["job", "stage_no", "column"], "full_outer")
-    old, new = F.col("_was").isNotNull(), F.col("_after").isNotNull()
-    names = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("column"))))
-    return both.groupBy("job", "stage_no").agg(
-        names(old).alias("input_columns"), names(new).alias("output_columns"), names(new & ~old).alias("new_columns"),
-        names(old & ~new).alias("dropped_columns"), names(old & new).alias("kept_columns"),
-        names(old & new & (F.col("_was") != F.col("_after"))).alias("retyped_columns"),
+    seen = both.groupBy("job", "stage_no").agg(F.array_sort(F.collect_list(F.struct("column", "_was", "_after"))).alias("_c"))
+
+    def names(test) -> Column:
+        return F.transform(F.filter("_c", test), lambda x: x["column"])
+
+    old, new = (lambda x: x["_was"].isNotNull()), (lambda x: x["_after"].isNotNull())
+    return seen.select(
+        "job", "stage_no", names(old).alias("input_columns"), names(new).alias("output_columns"),
+        names(lambda x: new(x) & ~old(x)).alias("new_columns"), names(lambda x: old(x) & ~new(x)).alias("dropped_columns"),
+        names(lambda x: old(x) & new(x)).alias("kept_columns"),
+        names(lambda x: old(x) & new(x) & (x["_was"] != x["_after"])).alias("retyped_columns"),
     )
 
 

@@ -27,19 +27,23 @@ def gap_fill(df: DataFrame, entity: str, ts: str, values: list[str], key: str, a
     ).where(F.col("_rows") > 1).drop("_rows")
     spine = entities.withColumn("day", F.explode(F.sequence(span["lo"], span["hi"], F.expr("interval 1 day"))))
     at = lambda v: F.when(F.col(v).isNotNull(), F.struct("_ts", key))
-    daily = rows.groupBy(entity, "day").agg(*[
+    daily = rows.groupBy(entity, "day").agg(F.lit(True).alias("_seen"), *[
         f for v in values for f in (F.max_by(v, at(v)).alias(f"_last_{v}"), F.min_by(v, at(v)).alias(f"_first_{v}"))
     ])
     back = Window.partitionBy(entity).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(entity).orderBy("day").rowsBetween(0, Window.unboundedFollowing)
     fills = spine.join(daily, [entity, "day"], "left").select(
-        entity, "day", *[f"_{a}" for a in attributes],
+        entity, "day", "_seen", *[f"_{a}" for a in attributes],
         *[F.coalesce(F.last(f"_last_{v}", ignorenulls=True).over(back),
                      F.first(f"_first_{v}", ignorenulls=True).over(ahead)).alias(f"_fill_{v}") for v in values],
     )
-    out = fills.join(rows, [entity, "day"], "left")
-    return out.select(entity, "day", key, *[F.coalesce(a, f"_{a}").alias(a) for a in attributes],
-                      *[F.coalesce(v, f"_fill_{v}").alias(v) for v in values])
+    # Rows on the left of an inner join: a day with very many rows can then be split by adaptive execution.
+    seen = rows.join(fills, [entity, "day"]).select(
+        entity, "day", key, *[F.coalesce(a, f"_{a}").alias(a) for a in attributes], *[F.coalesce(v, f"_fill_{v}").alias(v) for v in values])
+    gaps = fills.where(F.col("_seen").isNull()).select(
+        entity, "day", F.lit(None).cast(df.schema[key].dataType).alias(key), *[F.col(f"_{a}").alias(a) for a in attributes],
+        *[F.col(f"_fill_{v}").alias(v) for v in values])
+    return seen.unionByName(gaps)
 
 
 def keep_long_series(df: DataFrame, entity: str, day: str, min_days: int = 30) -> DataFrame:

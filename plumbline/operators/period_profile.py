@@ -13,7 +13,7 @@ from plumbline.functions import stats
 from plumbline.functions.calendar import period_label
 from plumbline.functions.nulls import number, ratio
 from plumbline.operators.counts import (
-    null_safe_join, numeric_long, quantiles_of, text_long, top_values, value_counts,
+    on_keys, numeric_long, quantiles_of, text_long, top_values, value_counts,
 )
 from plumbline.types import columns_by_kind
 
@@ -22,7 +22,8 @@ PC = ["period", "column"]
 
 
 def with_period(df: DataFrame, ts: str, period: str, label: str = "start") -> DataFrame:
-    return df.withColumn("period", period_label(F.col(ts).cast("timestamp"), period, label))
+    """Adds ``period``; rows without a time belong to no window and are left out."""
+    return df.where(F.col(ts).isNotNull()).withColumn("period", period_label(F.col(ts).cast("timestamp"), period, label))
 
 
 def table_metrics(df: DataFrame, ts: str, period: str = "day", label: str = "start") -> DataFrame:
@@ -64,7 +65,7 @@ def numeric_metrics(
         F.sum(F.when(v == 0, w).otherwise(F.lit(0))).alias("zero_count"),
         F.sum(F.when(v < 0, w).otherwise(F.lit(0))).alias("negative_count"),
     )
-    facts = null_safe_join(basics, quantiles_of(counts, PC, QUANTILES), PC).withColumn("iqr", F.col("p75") - F.col("p25"))
+    facts = on_keys(basics, quantiles_of(counts, PC, QUANTILES), PC).withColumn("iqr", F.col("p75") - F.col("p25"))
     facts = _with_overall(_spread(counts, facts))
     n = F.col("count")
     pct = lambda c: ratio(c * 100.0, n)
@@ -96,7 +97,7 @@ def _spread(counts: DataFrame, facts: DataFrame) -> DataFrame:
     """Adds central moments, outlier count and density entropy, read from the value counts with their facts."""
     carried = [c for c in facts.columns if c not in PC]
     v, lo, hi, w = F.col("value"), F.col("min"), F.col("max"), F.col("n")
-    cells = null_safe_join(counts, facts, PC).withColumn("_bins", auto_bins(F.col("count"), lo, hi, F.col("iqr")))
+    cells = on_keys(counts, facts, PC).withColumn("_bins", auto_bins(F.col("count"), lo, hi, F.col("iqr")))
     cells = cells.withColumn("_bin", stats.equal_width_bin(v, lo, hi, F.col("_bins")))
     outside = (v < F.col("p25") - 1.5 * F.col("iqr")) | (v > F.col("p75") + 1.5 * F.col("iqr"))
     gap = v - F.col("mean")
@@ -166,7 +167,7 @@ def category_metrics(
         *PC, F.col("value").alias("most_common"), F.col("n").alias("most_common_count")
     )
     n = F.col("count")
-    return null_safe_join(facts, best, PC, "left").select(
+    return on_keys(facts, best, PC, "left").select(
         *PC, "count", (F.col("_rows") - n).alias("missing_count"),
         ((F.col("_rows") - n) * 100.0 / F.col("_rows")).alias("missing_pct"),
         "unique_count", ratio(F.col("unique_count") * 100.0, n).alias("unique_pct"),
@@ -186,7 +187,7 @@ def top_categories(
     """(period, column, rank, category, pct): the ``k`` most frequent values with their share of non-null rows."""
     counts = _category_counts(df, ts, period, columns, label).where(F.col("value").isNotNull())
     totals = counts.groupBy(*PC).agg(F.sum("n").alias("_total"))
-    return null_safe_join(top_values(counts, PC, k), totals, PC).select(
+    return on_keys(top_values(counts, PC, k), totals, PC).select(
         *PC, "rank", F.col("value").alias("category"), (F.col("n") * 100.0 / F.col("_total")).alias("pct")
     )
 

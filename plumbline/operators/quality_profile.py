@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.functions.nulls import number, ratio
-from plumbline.operators.counts import null_safe_join, numeric_long, quantiles_of, text_long, value_counts
+from plumbline.operators.counts import on_keys, numeric_long, quantiles_of, text_long, value_counts
 from plumbline.operators.period_profile import PC, with_period
 from plumbline.types import columns_by_kind, quality_type_label
 
@@ -61,7 +61,7 @@ def _counts_with_range(df, ts, period, columns) -> DataFrame:
     edges = counts.groupBy(*PC).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
     )
-    return null_safe_join(counts, edges, PC)
+    return on_keys(counts, edges, PC)
 
 
 def distribution_metrics(df: DataFrame, ts: str, period: str = "day", columns: list[str] | None = None) -> DataFrame:
@@ -84,7 +84,7 @@ def distribution_metrics(df: DataFrame, ts: str, period: str = "day", columns: l
         F.first("distinct").alias("CountDistinct"), F.first("present").alias("_present"),
     )
     share = ratio(F.col("CountDistinct"), F.col("_present"))
-    return null_safe_join(entropy, histogram, PC).select(
+    return on_keys(entropy, histogram, PC).select(
         *PC, "CountDistinct", share.alias("Uniqueness"), share.alias("UniqueValueRatio"), share.alias("Distinctness"),
         "Entropy", "counts", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("Histogram"),
     )
@@ -151,14 +151,14 @@ def mutual_information(df: DataFrame, ts: str, columns: list[str], period: str =
         F.col("x").isNotNull() & F.col("y").isNotNull()
     )
     edges = pairs.groupBy(*PC).agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
-    binned = null_safe_join(pairs, edges, PC).select(
+    binned = on_keys(pairs, edges, PC).select(
         *PC, *[stats.right_closed_bin(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), bins).alias(f"b{c}") for c in "xy"]
     )
     joint = binned.groupBy(*PC, "bx", "by").agg(F.count(F.lit(1)).alias("n"))
     xs = joint.groupBy(*PC, "bx").agg(F.sum("n").alias("nx"))
     ys = joint.groupBy(*PC, "by").agg(F.sum("n").alias("ny"))
     totals = joint.groupBy(*PC).agg(F.sum("n").alias("total"))
-    full = null_safe_join(null_safe_join(null_safe_join(joint, xs, [*PC, "bx"]), ys, [*PC, "by"]), totals, PC)
+    full = on_keys(on_keys(on_keys(joint, xs, [*PC, "bx"]), ys, [*PC, "by"]), totals, PC)
     n, total = F.col("n"), F.col("total")
     return full.groupBy(*PC).agg(F.sum(n / total * F.log2(n * total / (F.col("nx") * F.col("ny")))).alias("MutualInformation"))
 
