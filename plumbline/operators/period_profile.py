@@ -65,7 +65,7 @@ def numeric_metrics(
         F.sum(F.when(v == 0, w).otherwise(F.lit(0))).alias("zero_count"),
         F.sum(F.when(v < 0, w).otherwise(F.lit(0))).alias("negative_count"),
     )
-    facts = on_keys(basics, quantiles_of(counts, PC, QUANTILES), PC).withColumn("iqr", F.col("p75") - F.col("p25"))
+    facts = on_keys(basics, quantiles_of(counts, PC, QUANTILES), PC, "left").withColumn("iqr", F.col("p75") - F.col("p25"))
     facts = _with_overall(_spread(counts, facts))
     n = F.col("count")
     pct = lambda c: ratio(c * 100.0, n)

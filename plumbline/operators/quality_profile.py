@@ -123,7 +123,7 @@ def quantile_metrics(
         counts = value_counts(long, PC, keep_null=True).withColumn(
             "n", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0))
         )
-        out = quantiles_of(counts, PC, QUANTILES)
+        out = on_keys(counts.select(*PC).distinct(), quantiles_of(counts, PC, QUANTILES), PC, "left")
     return out.select(*PC, *[F.coalesce(n, F.lit(0.0)).alias(f"ApproxQuantiles_{p}") for n, p in QUANTILES.items()])
 
 

@@ -77,7 +77,7 @@ def _attach(rows: DataFrame, table: DataFrame) -> DataFrame:
 def format_recommendations(suggested: DataFrame) -> DataFrame:
     """One row per column: its suggestions as an array of structs, best first."""
     item = F.struct("position", "rule_name", "description", "category", "confidence", "severity", "parameters", "pii_type")
-    return suggested.groupBy("column_name").agg(F.array_sort(F.collect_list(item)).alias("recommendations"))
+    return suggested.groupBy("column_name").agg(F.array_sort(F.collect_list(item), lambda a, b: a["position"] - b["position"]).alias("recommendations"))
 
 
 def rules_json(suggested: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def parse_scores(df: DataFrame, model_text: str) -> DataFrame:
     return df.select(
         "*",
         F.coalesce(
-            F.map_filter(F.from_json(body, "map<string,double>"), lambda k, v: v.isNotNull()), empty
+            F.map_filter(F.transform_values(F.from_json(body, "map<string,string>"), lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull()), empty
         ).alias("scores"),
         F.get_json_object(F.nullif(block, F.lit("")), "$.regex_pattern").alias("regex_pattern"),
         F.from_json(
