@@ -1,7 +1,8 @@
 """Profile of each date against the rows before it: numeric drift, category drift, new categories.
 
 History means the last N rows before a date, in (date, key) order. Only the newest rows of each date can matter, so the
-table is first cut to that many rows per date; a rank filter does this below the shuffle.
+table is first cut to that many rows per date; a rank filter does this below the shuffle. Rows without a date are left
+out.
 """
 
 from __future__ import annotations
@@ -40,36 +41,41 @@ def numeric_by_date(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
     )
 
 
-def _newest(df: DataFrame, date: str, key: str, columns: list[str], most: int) -> DataFrame:
-    """The newest ``most`` rows of each date with ``_last`` on the very last one."""
-    rows = df.where(F.col(date).isNotNull()).select(F.to_date(date).alias("period"), F.col(date).alias("_t"), F.col(key).alias("_k"), *columns)
-    w = Window.partitionBy("period").orderBy(F.desc("_t"), F.desc("_k"))
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+def past_rows(df: DataFrame, date: str, key: str, columns: list[str], most: int) -> DataFrame:
+    """(period, age, columns...): for each date the ``most`` rows before it, the newest with age 0.
+
+    Rows are cut to the newest ``most`` of each date and numbered through by date totals, so no window spans all dates
+    but the one over one row per date. Date and numbers then meet by an equality join.
+    """
+    rows = df.where(F.col(date).isNotNull()).select(F.to_date(date).alias("_day"), F.col(date).alias("_t"), F.col(key).alias("_k"), *columns)
+    newest = Window.partitionBy("_day").orderBy(F.desc("_t"), F.desc("_k"))
+    tails = rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= most)
+    by_date = Window.partitionBy("_one").orderBy("_day")
+    dates = rows.groupBy("_day").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("_n")).withColumn("_one", F.lit(1))
+    dates = dates.withColumn("_end", F.sum("_n").over(by_date)).drop("_one")
+    numbered = tails.join(dates, "_day").withColumn("_no", F.col("_end") - F.col("_r") + 1).drop("_day", "_t", "_k", "_r", "_n", "_end")
+    ages = F.sequence(F.lit(0), F.least(F.lit(most), F.col("_end") - F.col("_n")).cast("int") - 1)
+    wanted = dates.where(F.col("_end") > F.col("_n")).select(F.col("_day").alias("period"), (F.col("_end") - F.col("_n")).alias("_before"), F.explode(ages).alias("age"))
+    wanted = wanted.withColumn("_no", F.col("_before") - F.col("age")).drop("_before")
+    return wanted.join(numbered, "_no").drop("_no")
 
 
 def numeric_history(df: DataFrame, date: str, key: str, columns: list[str], windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """(period, column, window, mean_diff, median_diff, std_ratio, range_ratio, zscore): date against its last N rows."""
-    tails = _newest(df, date, key, columns, max(windows))
-    wide = tails.select("period", "_t", "_k", "_r", *[number(F.col(c), True).alias(c) for c in columns])
-    long = wide.unpivot(["period", "_t", "_k", "_r"], columns, "column", "value")
-    order = Window.partitionBy("column").orderBy("period", "_t", "_k")
-    v = F.col("value")
-    items = []
+    past = past_rows(df, date, key, columns, max(windows))
+    long = past.select("period", "age", *[number(F.col(c), True).alias(c) for c in columns]).unpivot(["period", "age"], columns, "column", "value")
+    sized = []
     for n in windows:
-        f = order.rowsBetween(-(n - 1), 0)
-        items.append(F.struct(
-            F.lit(n).alias("window"), F.count(F.lit(1)).over(f).alias("have"), F.avg(v).over(f).alias("hmean"),
-            F.percentile(v, 0.5).over(f).alias("hmedian"), F.stddev_samp(v).over(f).alias("hstd"),
-            (F.max(v).over(f) - F.min(v).over(f)).alias("hrange"),
+        inside = F.col("age") < n
+        v = F.when(inside, F.col("value"))
+        sized.append(F.struct(
+            F.lit(n).alias("window"), F.count_if(inside).alias("have"), F.avg(v).alias("hmean"), F.percentile(v, 0.5).alias("hmedian"),
+            F.stddev_samp(v).alias("hstd"), (F.max(v) - F.min(v)).alias("hrange"),
         ))
-    past = long.withColumns({f"_h{i}": x for i, x in enumerate(items)}).where(F.col("_r") == 1)
-    nxt = F.lead("period").over(Window.partitionBy("column").orderBy("period"))
-    past = past.withColumn("_for", nxt).where(F.col("_for").isNotNull())
-    past = past.select(F.col("_for").alias("period"), "column", F.inline(F.array(*[f"_h{i}" for i in range(len(items))])))
-    past = past.where(F.col("have") == F.col("window"))
+    facts = long.groupBy(*PC).agg(F.array(*sized).alias("_h")).select(*PC, F.inline("_h")).where(F.col("have") == F.col("window"))
     now = numeric_by_date(df, date, columns)
     at_least = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(EPS)))
-    return on_keys(past, now.select(*PC, "mean", "median", "std", "range"), PC).select(
+    return on_keys(facts, now.select(*PC, "mean", "median", "std", "range"), PC).select(
         *PC, "window", (F.col("mean") - F.col("hmean")).alias("mean_diff"), (F.col("median") - F.col("hmedian")).alias("median_diff"),
         (F.col("std") / at_least(F.col("hstd"))).alias("std_ratio"), (F.col("range") / at_least(F.col("hrange"))).alias("range_ratio"),
         ((F.col("mean") - F.col("hmean")) / at_least(F.col("hstd"))).alias("zscore"),
@@ -128,20 +134,15 @@ def divergence_term(p: Column, q: Column) -> Column:
 
 def category_history(df: DataFrame, date: str, key: str, columns: list[str], windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """(period, column, window, unique_diff, js_distance, new_categories): date against its last N rows."""
-    tails = _newest(df, date, key, columns, max(windows))
-    wide = tails.select("period", "_t", "_k", "_r", *[F.col(c).cast("string").alias(c) for c in columns])
-    long = wide.unpivot(["period", "_t", "_k", "_r"], columns, "column", "value")
-    order = Window.partitionBy("column").orderBy("period", "_t", "_k")
-    frame = order.rowsBetween(-(max(windows) - 1), 0)
-    past = long.withColumn("_rows", F.collect_list(F.struct("value")).over(frame)).where(F.col("_r") == 1)
-    nxt = F.lead("period").over(Window.partitionBy("column").orderBy("period"))
-    past = past.withColumn("_for", nxt).where(F.col("_for").isNotNull())
-    sized = [F.when(F.size("_rows") >= n, F.struct(F.lit(n).alias("window"), F.slice("_rows", -n, n).alias("rows"))) for n in windows]
-    past = past.select(F.col("_for").alias("period"), "column", F.inline(F.array_compact(F.array(*sized))))
+    past = past_rows(df, date, key, columns, max(windows))
+    long = past.select("period", "age", *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(["period", "age"], columns, "column", "value")
+    sized = long.withColumn("window", F.explode(F.array(*[F.lit(n) for n in windows]))).where(F.col("age") < F.col("window"))
     keys = [*PC, "window"]
-    before = past.select(*keys, F.inline("rows")).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    before = sized.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    full = before.groupBy(*keys).agg(F.sum("n").alias("_rows")).where(F.col("_rows") == F.col("window")).select(*keys)
+    before = on_keys(before, full, keys)
     counts = _date_counts(df, date, columns)
-    today = on_keys(counts, past.select(*keys), PC).select(*keys, "value", "n")
+    today = on_keys(counts, full, PC).select(*keys, "value", "n")
     zero = F.lit(0).cast("bigint")
     both = today.select(*keys, "value", F.col("n").alias("a"), zero.alias("b")).unionByName(
         before.select(*keys, "value", zero.alias("a"), F.col("n").alias("b"))

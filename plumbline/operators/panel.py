@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import calendar
 from plumbline.functions.nulls import number, ratio
+from plumbline.sources.checkpoint import cut
 
 
 def gap_fill(df: DataFrame, entity: str, ts: str, values: list[str], key: str, attributes: tuple[str, ...] = ()) -> DataFrame:
@@ -19,21 +20,22 @@ def gap_fill(df: DataFrame, entity: str, ts: str, values: list[str], key: str, a
     Several rows on one day stay several rows. A missing value takes the last value of its day, else the last value
     before, else the next one. Entities with a single row are left out, as they form no series.
     """
-    rows = df.select(entity, F.to_date(ts).alias("day"), F.col(ts).alias("_ts"), key, *attributes,
-                     *[number(F.col(v)).alias(v) for v in values])
-    span = df.agg(F.struct(F.min(F.to_date(ts)).alias("lo"), F.max(F.to_date(ts)).alias("hi"))).scalar()
-    entities = rows.groupBy(entity).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.min_by(a, F.struct("_ts", key)).alias(f"_{a}") for a in attributes]
+    rows = df.where(F.col(ts).isNotNull()).select(
+        entity, F.to_date(ts).alias("day"), F.col(ts).alias("_ts"), key, *attributes, *[number(F.col(v)).alias(v) for v in values])
+    # One row per (entity, day) carries all that filling needs; spine, span and fills come from it, not from the rows.
+    at = lambda v: F.when(F.col(v).isNotNull(), F.struct("_ts", key))
+    daily = rows.groupBy(entity, "day").agg(
+        F.count(F.lit(1)).alias("_seen"), *[F.min_by(F.struct(a), F.struct("_ts", key))[a].alias(f"_{a}") for a in attributes],
+        *[f for v in values for f in (F.max_by(v, at(v)).alias(f"_last_{v}"), F.min_by(v, at(v)).alias(f"_first_{v}"))])
+    span = daily.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"))).scalar()
+    entities = daily.groupBy(entity).agg(
+        F.sum("_seen").alias("_rows"), *[F.min_by(F.struct(f"_{a}"), "day")[f"_{a}"].alias(f"_all_{a}") for a in attributes]
     ).where(F.col("_rows") > 1).drop("_rows")
     spine = entities.withColumn("day", F.explode(F.sequence(span["lo"], span["hi"], F.expr("interval 1 day"))))
-    at = lambda v: F.when(F.col(v).isNotNull(), F.struct("_ts", key))
-    daily = rows.groupBy(entity, "day").agg(F.lit(True).alias("_seen"), *[
-        f for v in values for f in (F.max_by(v, at(v)).alias(f"_last_{v}"), F.min_by(v, at(v)).alias(f"_first_{v}"))
-    ])
     back = Window.partitionBy(entity).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(entity).orderBy("day").rowsBetween(0, Window.unboundedFollowing)
     fills = spine.join(daily, [entity, "day"], "left").select(
-        entity, "day", "_seen", *[f"_{a}" for a in attributes],
+        entity, "day", "_seen", *[F.col(f"_all_{a}").alias(f"_{a}") for a in attributes],
         *[F.coalesce(F.last(f"_last_{v}", ignorenulls=True).over(back),
                      F.first(f"_first_{v}", ignorenulls=True).over(ahead)).alias(f"_fill_{v}") for v in values],
     )
@@ -52,16 +54,23 @@ def keep_long_series(df: DataFrame, entity: str, day: str, min_days: int = 30) -
     return df.join(enough, entity, "left_semi")
 
 
-def with_halo(df: DataFrame, part: list[str], chunk: str, order: list[str], back: int) -> DataFrame:
-    """``df`` plus, in each chunk, copies of the ``back`` rows before it (``_halo`` true).
+def chunk_tails(df: DataFrame, part: list[str], chunk: str, order: list[str], back: int) -> DataFrame:
+    """The last ``back`` rows of each chunk, numbered through each part in ``_no``.
 
-    Row frames of up to ``back`` preceding rows over (part, chunk) then equal frames over the whole part. The last rows
-    of each chunk are numbered through; a chunk that starts after T of them needs numbers T - back + 1 .. T.
+    The rank filter works below the shuffle. The result is small and read twice, so it is cut at a checkpoint.
     """
     newest = Window.partitionBy(*part, chunk).orderBy(*[F.desc(c) for c in order])
     tails = df.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= back)
     through = Window.partitionBy(*part).orderBy(chunk, F.desc("_r"))
-    tails = tails.withColumn("_no", F.row_number().over(through)).drop("_r")
+    return cut(tails.withColumn("_no", F.row_number().over(through)).drop("_r"))
+
+
+def with_halo(df: DataFrame, tails: DataFrame, part: list[str], chunk: str, back: int) -> DataFrame:
+    """``df`` plus, in each chunk, copies of the ``back`` rows before it (``_halo`` true).
+
+    Row frames of up to ``back`` preceding rows over (part, chunk) then equal frames over the whole part. A chunk with T
+    tail rows before it needs those numbered T - back + 1 .. T.
+    """
     before = Window.partitionBy(*part).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     starts = tails.groupBy(*part, chunk).agg(F.count(F.lit(1)).alias("_k")).select(
         *part, F.col(chunk).alias("_to"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start")
@@ -76,19 +85,21 @@ def with_halo(df: DataFrame, part: list[str], chunk: str, order: list[str], back
 def derived_features(panel: DataFrame, entity: str, day: str, value: str, key: str, window: int = 7) -> DataFrame:
     """Calendar parts, rolling mean and deviation of ``window`` rows, change, percent change and z-score per entity.
 
-    Value features exist for entities with at least ``window`` rows.
+    Value features exist for entities with at least ``window`` rows. The panel is read twice.
     """
     base = panel.withColumn("_chunk", F.trunc(day, "month"))
-    sizes = panel.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
-    rows = with_halo(base, [entity], "_chunk", [day, key], window - 1)
+    tails = chunk_tails(base, [entity], "_chunk", [day, key], window)
+    # An entity has ``window`` rows exactly if its tails do, as each chunk keeps that many.
+    enough = tails.groupBy(entity).agg((F.count(F.lit(1)) >= window).alias("_enough"))
+    rows = with_halo(base, tails, [entity], "_chunk", window)
     order = Window.partitionBy(entity, "_chunk").orderBy(day, key)
     frame = order.rowsBetween(-(window - 1), 0)
     v, prev = F.col(value), F.lag(value).over(order)
     rolled = rows.withColumns({
         "_mean": F.avg(v).over(frame), "_std": F.stddev_samp(v).over(frame), "_prev": prev,
     }).where(~F.col("_halo"))
-    gate = lambda c: F.when(F.col("_n") >= window, c)
-    out = rolled.join(sizes, entity)
+    gate = lambda c: F.when(F.col("_enough"), c)
+    out = rolled.join(enough, entity)
     name = lambda s: f"{value}_{s}"
     spread = F.when(F.col("_std") == 0, F.lit(1.0)).otherwise(F.col("_std"))
     first = F.col("_prev").isNull()

@@ -100,13 +100,11 @@ def reconstruction_errors(sequences: DataFrame, keys: list[str], features: list[
     return out.select(*keys, total.alias("error"), named.alias("feature_errors"))
 
 
-def reconstruction_scores(errors: DataFrame, order: str, tail: float = 0.2, percentile: float = 0.95) -> DataFrame:
-    """Adds threshold (quantile over the last ``tail`` of the sequences), score and is_anomaly."""
-    line = Window.orderBy(order)  # sequences of one series: one row per period
-    placed = errors.withColumn("_r", F.percent_rank().over(line))
-    last = placed.where(F.col("_r") >= 1 - tail).select(F.lit(0).alias("_k"), F.col("error").alias("value"))
-    limit = quantiles(last, ["_k"], {"t": percentile}, buckets=1).select("t").scalar()
-    out = placed.drop("_r").withColumn("threshold", limit)
+def reconstruction_scores(errors: DataFrame, series: list[str], order: str, tail: float = 0.2, percentile: float = 0.95) -> DataFrame:
+    """Adds threshold (quantile over the last ``tail`` of the series' sequences), score and is_anomaly."""
+    placed = errors.withColumn("_r", F.percent_rank().over(Window.partitionBy(*series).orderBy(order)))
+    last = placed.where(F.col("_r") >= 1 - tail).select(*series, F.col("error").alias("value"))
+    out = placed.drop("_r").join(quantiles(last, series, {"threshold": percentile}, buckets=1), series)
     return out.withColumn("score", ratio(F.col("error"), F.col("threshold"))).withColumn("is_anomaly", F.col("error") > F.col("threshold"))
 
 

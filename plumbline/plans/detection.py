@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.nulls import ratio
 from plumbline.operators import cleaning, counts, density, fusion, layers, panel, sequence
+from plumbline.sources.checkpoint import cut
 
 
 @dataclass(frozen=True)
@@ -74,14 +75,14 @@ def detect_panel(df: DataFrame, entity: str, ts: str, key: str, value: str, min_
     """
     kept = panel.keep_long_series(df, entity, ts, min_days)
     filled = panel.gap_fill(kept, entity, ts, [value], key)
-    days = filled.groupBy(entity, "day").agg(F.avg(value).alias("value"))
+    days = cut(filled.groupBy(entity, "day").agg(F.avg(value).alias("value")))  # read by both detectors and for their limits
     by_layer = layers.statistical_layer(layers.enough_rows(days, [entity], min_days), [entity], "day", window=7, sigma=2.0)
     past = Window.partitionBy(entity).orderBy("day").rowsBetween(-7, -1)
     moved = by_layer.withColumn("score", F.coalesce(F.abs(F.col("value") - F.avg("value").over(past)), F.lit(0.0)))
     first = moved.select(entity, "day", "score", F.col("statistical_anomaly").cast("int").alias("flag"))
     ident = days.withColumn("fold", density.fold_of(F.datediff("day", F.lit("1970-01-01").cast("date"))))
     splits = list(range(5))
-    tails = density.tail_scores(ident, [entity, "day"], ["value"], "fold", splits)
+    tails = cut(density.tail_scores(ident, [entity, "day"], ["value"], "fold", splits))
     limits = density.split_thresholds(tails, splits, contamination)
     second = tails.join(F.broadcast(limits), F.col("fold") == F.col("split_no")).select(  # one row per fold
         entity, "day", "score", (F.col("score") > F.col("threshold")).cast("int").alias("flag"))

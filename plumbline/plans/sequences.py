@@ -49,7 +49,7 @@ UNION ALL SELECT date_trunc('day', o_orderdate), 'price', CASE WHEN dayofyear(da
 def reconstruction(t):
     seq = month_sequences(t)
     errors = sequence.reconstruction_errors(seq, ["series", "period"], ["q", "d"], 4)
-    return sequence.reconstruction_scores(errors, "period")
+    return sequence.reconstruction_scores(errors, ["series"], "period")
 
 
 QUERIES = [
