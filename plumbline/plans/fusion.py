@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from plumbline.operators import density, flags, fusion, sequence
 from plumbline.plans import detection
 from plumbline.plans.density import _MEASURED, FEATURES, _combine, measured_events
-from plumbline.plans.flags import item_months
+from plumbline.plans.features import FILL_SQL
+from plumbline.plans.flags import _FLAGS_CTE, item_months
 from plumbline.plans.registry import Query
 from plumbline.plans.sequences import SCALED_SQL, scaled_months
+from plumbline.plans.windows import EVENT_SQL
 
 _DETECTORS = f"""{_MEASURED}, a AS (SELECT event_id, least(1, (abs(value - avg(value) OVER ()) / (stddev_pop(value) OVER () + 1e-8)
   + abs(k - avg(k) OVER ()) / (stddev_pop(k) OVER () + 1e-8)) / 2 / 10) AS score FROM r),
@@ -38,8 +40,6 @@ def month_detectors(t):
 
 
 def _graded_sql():
-    from plumbline.plans.flags import _FLAGS_CTE
-
     return f"""WITH {_FLAGS_CTE}, ff AS (SELECT period, metric, coalesce(value, 0) AS value FROM m),
 zz AS (SELECT period, metric, coalesce((value - avg(value) OVER (PARTITION BY metric)) / nullif(stddev_pop(value) OVER (PARTITION BY metric), 0), 0) AS value FROM ff),
 pp AS (SELECT period, metric, CASE WHEN count(*) OVER p14 = 14 THEN (value - avg(value) OVER p14) ** 2 END AS e FROM zz WINDOW p14 AS (PARTITION BY metric ORDER BY period ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
@@ -78,6 +78,23 @@ SELECT period, period IN (SELECT period FROM tg) AS is_target, s AS sequence_sco
  CASE WHEN 0.6 * s + 0.4 * d >= 0.75 THEN CASE WHEN s >= 1.5 AND d >= 0.8 THEN 'CRITICAL' WHEN 0.6 * s + 0.4 * d >= 0.8 THEN 'HIGH' WHEN 0.6 * s + 0.4 * d >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END END AS severity FROM x"""
 
 
+def _panel_sql() -> str:
+    past = "OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
+    tail = lambda where: f"""SELECT value, -ln(sum(c) OVER (ORDER BY value) / sum(c) OVER ()) AS l, -ln(sum(c) OVER (ORDER BY value DESC) / sum(c) OVER ()) AS r,
+ s FROM (SELECT value, count(*) AS c FROM d {where} GROUP BY 1) AS q, (SELECT coalesce(skewness(value), 0) AS s FROM d {where}) AS k"""
+    limits = " UNION ALL ".join(f"SELECT {i} AS fold, quantile_cont({_combine('ecod')}, 0.99) AS th FROM d JOIN ({tail(f'WHERE fold <> {i}')}) AS t USING (value) WHERE fold <> {i}"
+                                for i in range(5))
+    fill = FILL_SQL.replace(EVENT_SQL, "SELECT * FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT CAST(ts AS DATE)) >= 20)")
+    return f"""{fill}, d AS (SELECT user_id, day, avg(value) AS value, date_diff('day', DATE '1970-01-01', day) % 5 AS fold FROM filled GROUP BY 1, 2),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i, avg(value) OVER (PARTITION BY user_id) AS gm, stddev_pop(value) OVER (PARTITION BY user_id) AS gs,
+  avg(value) {past} AS pm, stddev_pop(value) {past} AS ps FROM d), b AS (SELECT *, CASE WHEN i >= 7 THEN ps END AS vol FROM a),
+c AS (SELECT *, avg(vol) {past} AS vm, stddev_pop(vol) {past} AS vs FROM b),
+fd AS (SELECT user_id, day, value, coalesce(abs(value - pm), 0) AS first_score FROM c WHERE coalesce(abs(value - gm) > 2 * gs, false) OR coalesce(i >= 7 AND abs(value - pm) > 2 * ps, false)
+  OR coalesce(i >= 14 AND abs(vol - vm) > 2 * vs, false)),
+t AS ({tail('')}), lim AS ({limits}), gd AS (SELECT user_id, day, {_combine('ecod')} AS second_score, fold FROM d JOIN t USING (value))
+SELECT fd.user_id, fd.day, fd.value, first_score, second_score FROM fd JOIN gd ON fd.user_id = gd.user_id AND fd.day = gd.day JOIN lim ON gd.fold = lim.fold WHERE second_score > th"""
+
+
 _CONS = "sequence_score:f density_score:f consensus_score:f sequence_anomaly:b density_anomaly:b consensus_anomaly:b"
 QUERIES = [
     Query("fuse_union", "event_id:i", lambda t: fusion.union(*two_detectors(t), ["event_id"]),
@@ -108,5 +125,5 @@ QUERIES = [
           f"WITH {_USER_FLAGS} SELECT CAST(user_id AS VARCHAR) AS name, a AS anomalies FROM g ORDER BY a DESC, CAST(user_id AS VARCHAR) LIMIT 10"),
     Query("detect_periods", f"period:d is_target:b {_CONS} severity:s", lambda t: detection.detect_periods(item_months(t)), _detect_sql()),
     Query("detect_panel", "user_id:i day:d value:f first_score:f second_score:f",
-          lambda t: detection.detect_panel(t.events, "user_id", "ts", "event_id", "value")),
+          lambda t: detection.detect_panel(t.events, "user_id", "ts", "event_id", "value"), _panel_sql()),
 ]
