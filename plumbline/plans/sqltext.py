@@ -71,10 +71,10 @@ def column_profile_sql(src: str, columns) -> str:
   round((n - present) * 100.0 / n, 2) AS null_percentage, distinct_count,
   round(distinct_count * 100.0 / n, 2) AS distinct_percentage,
   coalesce(distinct_count / CAST(nullif(present, 0) AS DOUBLE), 0) AS unique_ratio,
-  {keep(num, 'mn', 'min')}, {keep(num, 'mx', 'max')}, {keep(num, 'mean', 'mean')}, {keep(num, 'med', 'median')},
-  {keep(num, 'sd', 'std')}, {keep(num, 'zeros', 'has_zeros')}, {keep(num, 'negs', 'has_negatives')},
+  {keep(num, 'mn', 'min')}, {keep(num, 'mx', 'max')}, {keep(num, 'round(mean, 2)', 'mean')}, {keep(num, 'med', 'median')},
+  {keep(num, 'round(sd, 2)', 'std')}, {keep(num, 'zeros', 'has_zeros')}, {keep(num, 'negs', 'has_negatives')},
   {keep(num, 'q1', 'quartile_1')}, {keep(num, 'q3', 'quartile_3')}, {keep(txt, 'minl', 'min_length')},
-  {keep(txt, 'maxl', 'max_length')}, {keep(txt, 'avgl', 'avg_length')}, {keep(txt, 'hn', 'has_numbers')},
+  {keep(txt, 'maxl', 'max_length')}, {keep(txt, 'round(avgl, 2)', 'avg_length')}, {keep(txt, 'hn', 'has_numbers')},
   {keep(txt, 'hl', 'has_letters')}, {keep(txt, 'hs', 'has_special_chars')}, {keep(dat, 'mind', 'min_date')},
   {keep(dat, 'maxd', 'max_date')},
   CASE WHEN {dat} THEN floor((epoch(maxd) - epoch(mind)) / 86400) END AS date_range_days,
