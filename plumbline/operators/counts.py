@@ -71,12 +71,10 @@ def _bucketed(counts, keys, value, weights, buckets) -> tuple[DataFrame, DataFra
     """
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, cuts, SKETCH_ACCURACY)).alias("_bounds"),
+        F.percentile_approx(value, cuts, SKETCH_ACCURACY).alias("_bounds"),
         *[F.sum(w).alias(f"total_{w}") for w in weights],
     )
-    placed = on_keys(counts, bounds, keys).withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
+    placed = _count_below(on_keys(counts, bounds, keys), value, "_bounds", buckets - 1, "_bucket").drop("_bounds")
     sizes = placed.groupBy(*keys, "_bucket").agg(
         *[F.sum(w).alias(f"_size_{w}") for w in weights], *[F.first(f"total_{w}").alias(f"total_{w}") for w in weights]
     )
@@ -88,6 +86,15 @@ def _bucketed(counts, keys, value, weights, buckets) -> tuple[DataFrame, DataFra
     return placed.drop(*[f"total_{w}" for w in weights]), offsets
 
 
+def _count_below(df: DataFrame, value: str, bounds: str, size: int, name: str) -> DataFrame:
+    """Adds how many of the sorted ``bounds`` lie below ``value``: a binary search in a few generated comparisons."""
+    df = df.withColumn(name, F.lit(0))
+    for step in [1 << i for i in reversed(range(size.bit_length()))]:
+        at = F.get(F.col(bounds), F.col(name) + F.lit(step - 1))
+        df = df.withColumn(name, F.col(name) + F.when(at < F.col(value), F.lit(step)).otherwise(F.lit(0)))
+    return df
+
+
 def on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equality join on keys that are never NULL; plain equality keeps the partitioning an aggregate on them has left."""
     return left.join(right, keys, how)
