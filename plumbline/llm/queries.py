@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import line_index, warc
+from plumbline.llm import budget_mix, context_net, fertility, line_index, rotated_codes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,25 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(manifest).drop("url", "payload")
 
 
+def op2_rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return rotated_codes.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.judge(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def op4_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
+    out = budget_mix.mix(_table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op5_context_net(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    vectors, network = context_net.fit(docs, _table(spark, folder, "labels"))
+    return context_net.score(docs, vectors, network).select("doc_id", context_net.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     out = line_index.without_frequent_lines(docs)
@@ -33,6 +52,15 @@ SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
        CASE WHEN bytes >= 1000 AND page_id <> answer THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN bytes >= 1000 AND page_id <> answer THEN answer END AS refers_to, true AS digest_ok
 FROM p JOIN g USING (digest)""",
+    "op2_rotated_codes": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op9_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
@@ -48,7 +76,7 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_rotated_codes, op3_fertility, op4_budget_mix, op5_context_net, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
