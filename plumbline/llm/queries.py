@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import budget_mix, context_net, fertility, line_index, rotated_codes, warc
+from plumbline.llm import budget_mix, context_net, fertility, licences, line_index, perspectives, piece_paths, rotated_codes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,12 +38,25 @@ def op5_context_net(spark: SparkSession, folder: str) -> DataFrame:
     return context_net.score(docs, vectors, network).select("doc_id", context_net.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_piece_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_paths.encode_documents(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     out = line_index.without_frequent_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op10_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return perspectives.rotate(_table(spark, folder, "conversations")).withColumn("spans", spans)
+
+
 SQL = {
     "op1_warc": """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes FROM pages),
@@ -72,11 +85,31 @@ f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_i
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
+    "op10_perspectives": r"""
+WITH t AS (
+  SELECT conv_id, CAST(floor(turn / 512) AS BIGINT) AS part, turn,
+         regexp_replace(coalesce(nullif(trim(role), ''), 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') AS speaker,
+         replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations),
+s AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'),
+p AS (
+  SELECT t.*, participant, speaker = participant AS own,
+         '<|im_start|>' || CASE WHEN speaker = participant THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+           ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+w AS (
+  SELECT *, CAST(coalesce(sum(length(head) + length(text) + 11) OVER (
+      PARTITION BY conv_id, participant, part ORDER BY turn, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM p)
+SELECT conv_id, participant, part, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS n_trained,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, speaker, text) AS rendered,
+       coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(text) + 10), ',' ORDER BY turn, speaker, text) FILTER (WHERE own), '') AS spans
+FROM w GROUP BY conv_id, participant, part""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_rotated_codes, op3_fertility, op4_budget_mix, op5_context_net, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_rotated_codes, op3_fertility, op4_budget_mix, op5_context_net, op7_piece_paths, op8_licences, op9_line_dedup, op10_perspectives)}
 
 
 def oracle_sql() -> dict[str, str]:
