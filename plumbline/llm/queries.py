@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import budget_mix, context_net, fertility, licences, line_index, perspectives, piece_paths, rotated_codes, warc
+from plumbline.llm import budget_mix, context_net, fertility, licences, line_index, multi_order, perspectives, piece_paths, rotated_codes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_context_net(spark: SparkSession, folder: str) -> DataFrame:
     return context_net.score(docs, vectors, network).select("doc_id", context_net.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_multi_order(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_order.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_piece_paths(spark: SparkSession, folder: str) -> DataFrame:
     return piece_paths.encode_documents(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
@@ -109,7 +113,7 @@ FROM w GROUP BY conv_id, participant, part""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_rotated_codes, op3_fertility, op4_budget_mix, op5_context_net, op7_piece_paths, op8_licences, op9_line_dedup, op10_perspectives)}
+    return {f.__name__: f for f in (op1_warc, op2_rotated_codes, op3_fertility, op4_budget_mix, op5_context_net, op6_multi_order, op7_piece_paths, op8_licences, op9_line_dedup, op10_perspectives)}
 
 
 def oracle_sql() -> dict[str, str]:
