@@ -1,6 +1,6 @@
 """Line dedup: lines found in many documents are dropped, looked up in a sharded minimal perfect hash.
 
-1. Lines are counted by two 64-bit hashes of their key, once per document, with map-side sums.
+1. Lines are counted by the two halves of a 128-bit hash of their key, once per document, with map-side sums.
 2. The hashes of lines in at least ``least_documents`` documents are dealt over shards of about ``keys_per_shard`` keys by
    their first hash. For each shard a task builds a minimal perfect hash (levels of bit arrays: a key that is alone at its
    place stays, the others go to the next level) and two arrays in its order: fingerprints (second hash) and counts. Each
@@ -22,13 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from plumbline.llm.common import lower_ascii, open_folder, pieces_of, shared_folder, written
+from plumbline.llm.common import open_folder, pieces_of, shared_folder, written
 
 LEAST_DOCUMENTS = 10
 KEYS_PER_SHARD = 65536
 CACHE_BYTES = 64 << 20
-EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def _mix(keys: np.ndarray, level: int) -> np.ndarray:
@@ -101,31 +101,35 @@ class Shard:
         return out
 
 
-def _lines(c):
-    return F.split(F.coalesce(c, F.lit("")), "\n", -1)
+def hash_lines(text: str | None) -> np.ndarray:
+    """Two 64-bit hashes per line, both 0 for lines without a key. bytes.strip and bytes.lower know ASCII alone, as keys do."""
+    lines = (text or "").encode().split(b"\n")
+    keys = [line.strip().lower() for line in lines]
+    both = b"".join(xxh3_128_digest(k) if k else bytes(16) for k in keys)
+    return np.frombuffer(both, np.uint64).reshape(-1, 2)
 
 
-def _key(line):
-    return lower_ascii(F.regexp_replace(line, EDGES, ""))
-
+def frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """h, p, n: hashes of the lines that at least so many documents hold."""
+    def hashes(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def line_hashes(text):
-    """Per line a struct of two hashes; null for lines without a key."""
-    def one(line):
-        key = _key(line)
-        return F.when(key != "", F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit("print"), key).alias("p")))
+        for batch in pieces_of(batches, 512):
+            each = [np.unique(hash_lines(t.as_py()), axis=0) for t in batch.column("text")]
+            both = np.concatenate(each) if each else np.empty((0, 2), np.uint64)
+            both = both[both.any(axis=1)].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(both[:, 0]), "p": pa.array(both[:, 1])})
 
-    return F.transform(_lines(text), one)
+    each = docs.select("text").mapInArrow(hashes, "h bigint, p bigint")
+    return each.groupBy("h", "p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_documents)
 
 
-def frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """h, p, n: hashes of the lines that at least so many documents hold."""
-    each = docs.select(F.explode(F.array_distinct(F.filter(line_hashes(F.col("text")), lambda s: s.isNotNull()))).alias("s"))
-    return each.groupBy(F.col("s.h").alias("h"), F.col("s.p").alias("p")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_documents)
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return (h >> np.uint64(33)).astype(np.int64) % shards
 
 
 def build_index(lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tuple[list[str], int]:
-    """URIs of the shard files and the number of shards; shard of a line: pmod(xxhash64(h), shards)."""
+    """URIs of the shard files and the number of shards; ``shard_of`` tells a line's shard."""
     lines = written(lines)
     shards = max(1, -(-lines.count() // keys_per_shard))
     folder = shared_folder(lines.sparkSession)
@@ -141,7 +145,7 @@ def build_index(lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tuple
             out.write(pickle.dumps(shard, protocol=5))
         return pd.DataFrame({"shard": [key[0]], "name": [name]})
 
-    dealt = lines.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    dealt = lines.withColumn("shard", F.shiftrightunsigned("h", 33) % shards)
     names = written(dealt.groupBy("shard").applyInPandas(build, "shard bigint, name string"))
     return [(r.shard, f"{folder}/{r.name}") for r in names.orderBy("shard").collect()], shards
 
@@ -169,27 +173,23 @@ def drop_lines(docs: DataFrame, index: tuple[list[str], int], least_documents: i
     taken = {"n_lines", "n_dropped", "kept_text"}
     names = [c for c in docs.columns if c not in taken]
     docs = docs.select(*names)
-    hashes = line_hashes(F.col("text"))
-    asked = docs.withColumn("_h", F.transform(hashes, lambda s: s["h"])).withColumn("_p", F.transform(hashes, lambda s: s["p"]))
-    asked = asked.withColumn("_s", F.transform("_h", lambda h: F.when(h.isNotNull(), F.pmod(F.xxhash64(h), F.lit(shards)))))
 
     def probe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in pieces_of(batches, batch_rows):
-            part = {c: batch.column(c).flatten() for c in ("_h", "_p", "_s")}
-            has = ~part["_h"].is_null().to_numpy(zero_copy_only=False)
-            h, p, s = (part[c].fill_null(-1).to_numpy(zero_copy_only=False) for c in ("_h", "_p", "_s"))
-            gone = np.zeros(len(h), bool)
-            which = np.flatnonzero(has)
-            which = which[np.argsort(s[which], kind="stable")]
-            order = s[which]
+            each = [hash_lines(t.as_py()) for t in batch.column("text")]
+            both = np.concatenate(each) if each else np.empty((0, 2), np.uint64)
+            gone, asked = np.zeros(len(both), bool), np.flatnonzero(both.any(axis=1))
+            own = shard_of(both[asked, 0], shards)
+            order = np.argsort(own, kind="stable")
+            asked, own = asked[order], own[order]
             for shard, uri in files:
-                lo, hi = np.searchsorted(order, [shard, shard + 1])
+                lo, hi = np.searchsorted(own, [shard, shard + 1])
                 if lo < hi:
-                    own = which[lo:hi]
-                    gone[own] = _load(uri, cache_bytes).count(h[own].view(np.uint64), p[own].view(np.uint64)) >= least_documents
-            ends = np.cumsum(batch.column("_h").value_lengths().to_numpy(zero_copy_only=False))
+                    at = asked[lo:hi]
+                    gone[at] = _load(uri, cache_bytes).count(both[at, 0], both[at, 1]) >= least_documents
+            ends = np.cumsum([len(x) for x in each])
             n_lines, n_dropped, kept, at = [], [], [], 0
             for text, end in zip(batch.column("text"), ends, strict=True):
                 mask, at = gone[at:end], int(end)
@@ -202,7 +202,7 @@ def drop_lines(docs: DataFrame, index: tuple[list[str], int], least_documents: i
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_dropped", "kept_text"])
 
     schema = docs.withColumns({"n_lines": F.lit(0).cast("bigint"), "n_dropped": F.lit(0).cast("bigint"), "kept_text": F.lit("")}).schema
-    return asked.mapInArrow(probe, schema)
+    return docs.mapInArrow(probe, schema)
 
 
 def without_frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
