@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-KEPT_SEGMENTS = 1 << 19
+KEPT_SEGMENTS = 1 << 18
 INFINITE = float("inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -256,4 +256,4 @@ def decode_ids(table: DataFrame, column: str = "ids", model_file: str = PIECES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     table = table.select(*names)
-    return table.mapInArrow(run, table.withColumn("decoded", F.lit("")).schema)
+    return table.mapInArrow(run, table.withColumn("decoded", F.lit(None).cast("string")).schema)
