@@ -52,10 +52,12 @@ def deseasonalised_columns(names: list[str]) -> list[str]:
     return [n for n in names if "_deseasonalized" in n]
 
 
-def split_by_date(df: DataFrame, period: str, test_from: str, keep_train: int = 365) -> tuple[DataFrame, DataFrame]:
-    """(train, test): rows before ``test_from`` in the newest ``keep_train`` periods, and rows from it on."""
+def split_by_date(df: DataFrame, period: str, test_from: str, keep_train: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test): rows before ``test_from`` and rows from it on; ``keep_train`` keeps the newest so many training periods."""
     test = df.where(F.col(period) >= F.lit(test_from).cast("timestamp"))
     before = df.where(F.col(period) < F.lit(test_from).cast("timestamp"))
+    if keep_train is None:
+        return before, test
     newest = before.select(period).distinct().orderBy(F.desc(period)).limit(keep_train)
     return before.join(newest, period, "left_semi"), test
 

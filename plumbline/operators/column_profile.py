@@ -1,10 +1,13 @@
 """Profile of every column of a table: one row per column.
 
-One aggregate reads the table once for all columns; distinct values, quartiles and samples come from value counts.
+Facts, distinct values, quartiles and samples come from value counts of all columns; moments need one more pass. Whole numbers
+and decimals also get exact order statistics (``exact_*``), as a double holds only 53 bits of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +67,14 @@ def column_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return out
 
 
+EXACT = "decimal(38,6)"
+
+
+def exact_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns whose numbers are whole or decimal."""
+    return [f.name for f in df.schema.fields if f.name in columns and (f.dataType.typeName() in ("byte", "short", "integer", "long", "decimal"))]
+
+
 def _weighted(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
 
@@ -74,7 +85,7 @@ def column_cells(df: DataFrame, kinds: dict[str, str], distinct: bool = True) ->
     return value_counts(long, ["column"], keep_null=True) if distinct else long.withColumn("n", F.lit(1))
 
 
-def scan_cells(cells: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def scan_cells(cells: DataFrame, kinds: dict[str, str], exact: list[str] = []) -> DataFrame:  # noqa: B006
     """One row per column with the facts read from its cells (internal columns start with ``_``).
 
     Patterns are tried once per distinct value, not once per row.
@@ -88,6 +99,7 @@ def scan_cells(cells: DataFrame, kinds: dict[str, str]) -> DataFrame:
     ready = labelled.select(
         "column", "_kind", "n", "value",
         F.when(kind == "numeric", number(F.expr("try_cast(value AS double)"))).alias("v"),
+        F.when(F.col("column").isin(*exact), F.expr(f"try_cast(value AS {EXACT})")).alias("e"),
         F.when(kind == "text", value).alias("s"),
         F.when(kind == "temporal", F.expr("try_cast(value AS timestamp)"))
         .when(kind == "text", text.parse_date(value)).alias("d"),
@@ -98,7 +110,7 @@ def scan_cells(cells: DataFrame, kinds: dict[str, str]) -> DataFrame:
         F.sum("n").alias("_rows"),
         _weighted(present).alias("_present"),
         _weighted(v != F.floor(v)).alias("_fractions"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.min("e").alias("exact_min"), F.max("e").alias("exact_max"),
         F.coalesce(F.bool_or(v == 0), F.lit(False)).alias("has_zeros"),
         F.coalesce(F.bool_or(v < 0), F.lit(False)).alias("has_negatives"),
         F.min(F.length(s)).alias("min_length"), F.max(F.length(s)).alias("max_length"),
@@ -129,6 +141,24 @@ def _personal(whole_word: bool = False) -> Column:
     )
 
 
+QUARTILES = {"median": 0.5, "quartile_1": 0.25, "quartile_3": 0.75}
+
+
+def _quartiles(cells: DataFrame, floating: list[str], exact: list[str]) -> DataFrame:
+    """(column, quartiles, exact quartiles): whole numbers and decimals are ranked and interpolated as decimals."""
+    def of(columns: list[str], kind: str) -> DataFrame:
+        v = F.expr(f"try_cast(value AS {kind})")
+        counts = cells.where(F.col("column").isin(*columns)).select("column", (number(v) if kind == "double" else v).alias("value"), "n")
+        return quantiles_of(counts.where(F.col("value").isNotNull()), ["column"], QUARTILES)
+
+    parts = []
+    if floating:
+        parts.append(of(floating, "double").select("column", *QUARTILES, *[F.lit(None).cast(EXACT).alias(f"exact_{c}") for c in QUARTILES]))
+    if exact:
+        parts.append(of(exact, EXACT).select("column", *[F.col(c).cast("double").alias(c) for c in QUARTILES], *[F.col(c).alias(f"exact_{c}") for c in QUARTILES]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def profile_columns(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -146,7 +176,8 @@ def profile_columns(
     names = names[:limit] if limit else names
     kinds = column_kinds(df, names)
     cells = column_cells(df, kinds, distinct=not approx_distinct)
-    out = scan_cells(cells, kinds).withColumn("data_type", _semantic_type())
+    exact = exact_columns(df, names)
+    out = scan_cells(cells, kinds, exact).withColumn("data_type", _semantic_type())
     if approx_distinct:
         one = df.agg(F.array(*[
             F.struct(F.lit(c).alias("_name"), F.approx_count_distinct(c).alias("distinct_count")) for c in kinds
@@ -165,16 +196,14 @@ def profile_columns(
         moments = long.groupBy(F.col("column").alias("_mom_name")).agg(
             F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
         )
-        counts = cells.where(F.col("column").isin(*numeric)).select(
-            "column", number(F.expr("try_cast(value AS double)")).alias("value"), "n"
-        ).where(F.col("value").isNotNull())
-        quart = quantiles_of(counts, ["column"], {"median": 0.5, "quartile_1": 0.25, "quartile_3": 0.75})
-        quart = quart.withColumnRenamed("column", "_quart_name")
+        quart = _quartiles(cells, [c for c in numeric if c not in exact], exact).withColumnRenamed("column", "_quart_name")
         out = out.join(moments, out.column_name == moments._mom_name, "left")
         out = out.join(quart, out.column_name == quart._quart_name, "left")
     else:
         for c in ("mean", "std", "median", "quartile_1", "quartile_3"):
             out = out.withColumn(c, F.lit(None).cast("double"))
+        for c in QUARTILES:
+            out = out.withColumn(f"exact_{c}", F.lit(None).cast(EXACT))
     is_num = F.col("data_type").isin("number", "integer")
     is_txt = F.col("data_type") == "string"
     is_date = F.col("data_type") == "date"
@@ -194,6 +223,7 @@ def profile_columns(
         "sample_values",
         keep(is_num, "min"), keep(is_num, "max"), keep(is_num, "mean", 2), keep(is_num, "median"), keep(is_num, "std", 2),
         keep(is_num, "has_zeros"), keep(is_num, "has_negatives"), keep(is_num, "quartile_1"), keep(is_num, "quartile_3"),
+        *[keep(is_num, f"exact_{c}") for c in ("min", "max", *QUARTILES)],
         keep(is_txt, "min_length"), keep(is_txt, "max_length"), keep(is_txt, "avg_length", 2),
         keep(is_txt, "has_numbers"), keep(is_txt, "has_letters"), keep(is_txt, "has_special_chars"),
         keep(is_date, "min_date"), keep(is_date, "max_date"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from plumbline.functions.nulls import number
 
@@ -145,13 +146,16 @@ def quantiles_of(
         picks.append(F.min(F.when(at_low, F.col(value))).alias(f"_lo_{name}"))
         picks.append(F.min(F.when(at_high, F.col(value))).alias(f"_hi_{name}"))
     agg = cum.groupBy(*keys).agg(*picks)
+    kind = counts.schema[value].dataType
+    exact = isinstance(kind, DecimalType)  # decimals stay decimals; the fraction has nine digits then
+    part = lambda n: F.col(f"_f_{n}").cast("decimal(10,9)") if exact else F.col(f"_f_{n}")
     return agg.select(
         *keys,
         *[
             (
                 F.col(f"_lo_{n}")
-                + F.col(f"_f_{n}") * (F.coalesce(F.col(f"_hi_{n}"), F.col(f"_lo_{n}")) - F.col(f"_lo_{n}"))
-            ).alias(n)
+                + part(n) * (F.coalesce(F.col(f"_hi_{n}"), F.col(f"_lo_{n}")) - F.col(f"_lo_{n}"))
+            ).cast(kind if exact else "double").alias(n)
             for n in probs
         ],
     )

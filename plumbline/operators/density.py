@@ -168,13 +168,11 @@ def mahalanobis(df: DataFrame, features: list[str], train: Column | None = None)
     return base.withColumn("score", distance("_x")).drop("_x")
 
 
-def cluster_scores(df: DataFrame, keys: list[str], features: list[str], clusters: int | None = None, contamination: float = 0.05,
+def cluster_scores(df: DataFrame, keys: list[str], features: list[str], clusters: int = 8, contamination: float = 0.05,
                    alpha: float = 0.9, beta: float = 5.0, seed: int = 42) -> DataFrame:
     """(keys, cluster, score, flag): distance to the own centre in large clusters, else to the nearest large one."""
     base = df.select(*keys, F.array(*[bounded(F.col(f)) for f in features]).alias("_x")).withColumn("_v", array_to_vector("_x"))
-    rows = base.count()
-    k = clusters or max(2, min(8, rows // 10 + 1))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(base)
+    model = KMeans(k=clusters, seed=seed, featuresCol="_v", predictionCol="cluster").fit(base)
     sizes = model.summary.clusterSizes
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     large, covered = [], 0

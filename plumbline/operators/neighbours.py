@@ -1,8 +1,9 @@
 """Local outlier factor with exact nearest neighbours, without comparing all pairs.
 
-Each point first gets an upper bound for the distance to its k-th neighbour from points that lie next to it in a strip
-order over its first two features. Nothing outside that distance in either feature can be among its neighbours, so
-points are then compared by an equality join on the grid cells the bound reaches.
+Points are cut in halves again and again, one feature after the other, until no part holds more than a fixed number of
+places. A part follows the density of the points, so dense regions get small parts and sparse ones large parts. The k-th distance inside its own part bounds the
+distance of a point's k-th neighbour; the point is then handed down the same cuts to every part its bound reaches, and
+compared there. Points at one place are one place with its smallest keys, so repeated points cost nothing.
 """
 
 from __future__ import annotations
@@ -15,43 +16,78 @@ from pyspark.sql import functions as F
 from plumbline.functions.nulls import bounded
 from plumbline.sources.checkpoint import cut
 
-GRID = 64
+LEAF = 128
 
 
-def _distance(columns: list[str], a: str, b: str) -> Column:
-    return F.sqrt(reduce(lambda x, y: x + y, [(F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in columns]))
+def _distance(names: list[str], a: str, b: str) -> Column:
+    return F.sqrt(reduce(lambda x, y: x + y, [(F.col(a + n) - F.col(b + n)) * (F.col(a + n) - F.col(b + n)) for n in names]))
 
 
-def nearest(df: DataFrame, key: str, features: list[str], k: int = 20) -> DataFrame:
-    """(key, other, distance, rank): the exact k nearest other points; ties by key."""
+def places(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
+    """(a0, a1, ..., keys, place): distinct points with their k + 1 smallest keys; ``place`` is the smallest."""
+    names = [f"a{i}" for i in range(len(features))]
+    pts = df.select(F.col(key).alias("_key"), *[(bounded(F.col(f)) + 0.0).alias(n) for n, f in zip(names, features)])
+    first = pts.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_key"))).where(F.col("_r") <= k + 1)
+    return first.groupBy(*names).agg(F.array_sort(F.collect_list("_key")).alias("keys")).withColumn("place", F.get("keys", F.lit(0)))
+
+
+def parts(pts: DataFrame, dims: int, leaf: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The places with their part, and the cuts (part, feature, border) of every round.
+
+    A part is not cut along a feature where ties would leave one half with fewer than ``least`` places.
+    """
+    now = cut(pts.withColumn("part", F.lit(0).cast("bigint")))
+    rounds, idle, turn = [], 0, 0
+    while idle < dims:
+        x = F.col(f"a{turn % dims}")
+        full = now.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(x, 0.5).alias("border")).where(F.col("_n") > leaf)
+        halves = now.join(full, "part").groupBy("part", "border").agg(F.count_if(x <= F.col("border")).alias("_l"), F.count_if(x > F.col("border")).alias("_h"))
+        cuts = cut(halves.where((F.col("_l") >= least) & (F.col("_h") >= least)).select("part", "border", F.lit(turn % dims).alias("feature")))
+        turn += 1
+        if cuts.isEmpty():
+            idle += 1
+            continue
+        idle = 0
+        rounds.append(cuts)
+        half = F.when(x > F.col("border"), 1).otherwise(0)
+        now = cut(now.join(cuts.drop("feature"), "part", "left").withColumn(
+            "part", F.when(F.col("border").isNull(), F.col("part") * 2).otherwise(F.col("part") * 2 + half)).drop("border"))
+    return now, rounds
+
+
+def comparisons(df: DataFrame, key: str, features: list[str], k: int = 20, leaf: int = LEAF) -> DataFrame:
+    """One row per pair of places that are compared: those in a part and the places whose bound reaches it."""
     names = [str(i) for i in range(len(features))]
-    pts = df.select(key, *[bounded(F.col(f)).alias(f"a{i}") for i, f in zip(names, features)])
-    if len(features) == 1:
-        names = [*names, "1"]
-        pts = pts.withColumn("a1", F.lit(0.0))
-    box = pts.agg(F.struct(F.min("a0").alias("lo0"), F.max("a0").alias("hi0"), F.min("a1").alias("lo1"), F.max("a1").alias("hi1"),
-                           F.count(F.lit(1)).alias("n"), *[(F.max(f"a{i}") - F.min(f"a{i}")).alias(f"w{i}") for i in names])).scalar()
-    diagonal = F.sqrt(reduce(lambda x, y: x + y, [box[f"w{i}"] * box[f"w{i}"] for i in names]))
-    strips = F.greatest(F.lit(1.0), F.ceil(F.sqrt(box["n"] / k)).cast("double"))
-    strip = F.floor(F.coalesce(F.try_divide((F.col("a0") - box["lo0"]) * strips, box["hi0"] - box["lo0"]), F.lit(0.0)))
-    line = Window.partitionBy("_strip").orderBy("a1", key).rowsBetween(-k, k)
-    near = pts.withColumn("_strip", strip).withColumn("_near", F.collect_list(F.struct(key, *[f"a{i}" for i in names])).over(line))
-    gap = lambda s: F.sqrt(reduce(lambda x, y: x + y, [(F.col(f"a{i}") - s[f"a{i}"]) * (F.col(f"a{i}") - s[f"a{i}"]) for i in names]))
-    gaps = F.array_sort(F.transform(F.filter("_near", lambda s: s[key] != F.col(key)), gap))
-    reach = F.when(F.size(gaps) >= k, F.get(gaps, F.lit(k - 1)))
-    bounds = cut(near.select(key, *[f"a{i}" for i in names], reach.alias("_reach")).withColumn("_reach", F.coalesce("_reach", diagonal) * (1 + 1e-9)))
-    width = bounds.agg(F.greatest(F.percentile_approx("_reach", 0.5), (F.max("a0") - F.min("a0")) / GRID, (F.max("a1") - F.min("a1")) / GRID,
-                                  F.lit(1e-12))).scalar()
-    cells = bounds.withColumn("_w", width)
-    reached = lambda c: F.sequence(F.floor((F.col(c) - F.col("_reach")) / F.col("_w")), F.floor((F.col(c) + F.col("_reach")) / F.col("_w")))
-    ask = cells.withColumn("_c0", F.explode(reached("a0"))).withColumn("_c1", F.explode(reached("a1")))
-    have = cells.select(F.col(key).alias("other"), *[F.col(f"a{i}").alias(f"b{i}") for i in names],
-                        F.floor(F.col("a0") / F.col("_w")).alias("_c0"), F.floor(F.col("a1") / F.col("_w")).alias("_c1"))
-    within = (F.abs(F.col("a0") - F.col("b0")) <= F.col("_reach")) & (F.abs(F.col("a1") - F.col("b1")) <= F.col("_reach"))
-    pairs = ask.join(have, ["_c0", "_c1"]).where((F.col(key) != F.col("other")) & within)
-    pairs = pairs.select(key, "other", "_reach", _distance(names, "a", "b").alias("distance")).where(F.col("distance") <= F.col("_reach"))
-    best = Window.partitionBy(key).orderBy("distance", "other")
-    return pairs.drop("_reach").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    now, rounds = parts(places(df, key, features, k), len(names), max(leaf, 2 * (k + 1)), k + 1)
+    other = now.select("part", *[F.col(f"a{n}").alias(f"b{n}") for n in names], F.col("keys").alias("other_keys"), F.col("place").alias("other_place"))
+    inside = now.join(other, "part").select("place", "other_place", F.size("other_keys").alias("n"), _distance(names, "a", "b").alias("d"))
+    run = Window.partitionBy("place").orderBy("d", "other_place").rowsBetween(Window.unboundedPreceding, 0)
+    # the place itself counts with its keys, of which one is the asking point
+    bound = inside.withColumn("_c", F.sum("n").over(run)).groupBy("place").agg(F.min(F.when(F.col("_c") >= k + 1, F.col("d"))).alias("reach"))
+    asking = now.join(bound, "place").select(
+        "place", *[f"a{n}" for n in names], (F.coalesce("reach", F.lit(float("inf"))) * (1 + 1e-9)).alias("reach"), F.lit(0).cast("bigint").alias("part"))
+    for cuts in rounds:
+        met = asking.join(cuts, "part", "left")
+        low = reduce(lambda out, n: out.when(F.col("feature") == int(n), F.col(f"a{n}")), names, F.when(F.lit(False), F.lit(0.0)))
+        halves = F.when(F.col("border").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.array(
+            F.when(low - F.col("reach") <= F.col("border"), 0), F.when(low + F.col("reach") > F.col("border"), 1)), lambda h: h.isNotNull()))
+        asking = met.withColumn("_half", F.explode(halves)).withColumn("part", F.col("part") * 2 + F.col("_half")).drop("border", "feature", "_half")
+    return asking.join(other, "part").withColumn("distance", _distance(names, "a", "b"))
+
+
+def nearest(df: DataFrame, key: str, features: list[str], k: int = 20, leaf: int = LEAF) -> DataFrame:
+    """(key, other, distance, rank): the exact k nearest other points; ties by key."""
+    names = [f"a{i}" for i in range(len(features))]
+    near = comparisons(df, key, features, k, leaf).where(F.col("distance") <= F.col("reach")).select("place", "distance", F.explode("other_keys").alias("other"))
+    best = Window.partitionBy("place").orderBy("distance", "other")
+    lists = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).groupBy("place").agg(
+        F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("_near"))  # k + 1 entries
+    # every point takes its place's list without itself
+    pts = df.select(F.col(key), *[(bounded(F.col(f)) + 0.0).alias(n) for n, f in zip(names, features)])
+    at = pts.join(places(df, key, features, k).select(*names, "place"), names).select(key, "place")
+    own = at.join(lists, "place").withColumn("_near", F.slice(F.filter("_near", lambda s: s["other"] != F.col(key)), 1, k))
+    return own.select(key, F.posexplode("_near").alias("_i", "_s")).select(
+        key, F.col("_s.other").alias("other"), F.col("_s.distance").alias("distance"), (F.col("_i") + 1).alias("rank"))
 
 
 def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int = 20) -> DataFrame:

@@ -14,11 +14,11 @@ from plumbline.functions.nulls import number, ratio
 from plumbline.sources.checkpoint import cut
 
 
-def gap_fill(df: DataFrame, entity: str, ts: str, values: list[str], key: str, attributes: tuple[str, ...] = ()) -> DataFrame:
+def gap_fill(df: DataFrame, entity: str, ts: str, values: list[str], key: str, attributes: tuple[str, ...] = (), least_rows: int = 2) -> DataFrame:
     """Every (entity, day) between the first and last day of the table; missing values filled forward, then backward.
 
     Several rows on one day stay several rows. A missing value takes the last value of its day, else the last value
-    before, else the next one. Entities with a single row are left out, as they form no series.
+    before, else the next one. Entities with fewer than ``least_rows`` rows are left out: one row forms no series.
     """
     rows = df.where(F.col(ts).isNotNull()).select(
         entity, F.to_date(ts).alias("day"), F.col(ts).alias("_ts"), key, *attributes, *[number(F.col(v)).alias(v) for v in values])
@@ -30,7 +30,7 @@ def gap_fill(df: DataFrame, entity: str, ts: str, values: list[str], key: str, a
     span = daily.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"))).scalar()
     entities = daily.groupBy(entity).agg(
         F.sum("_seen").alias("_rows"), *[F.min_by(F.struct(f"_{a}"), "day")[f"_{a}"].alias(f"_all_{a}") for a in attributes]
-    ).where(F.col("_rows") > 1).drop("_rows")
+    ).where(F.col("_rows") >= least_rows).drop("_rows")
     spine = entities.withColumn("day", F.explode(F.sequence(span["lo"], span["hi"], F.expr("interval 1 day"))))
     back = Window.partitionBy(entity).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(entity).orderBy("day").rowsBetween(0, Window.unboundedFollowing)

@@ -16,6 +16,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.checkpoint import cut
+
 VARIANCE, CORRELATION, SHARE = 0.01, 0.95, 0.95
 
 
@@ -69,13 +71,12 @@ def _pca(metrics: DataFrame, names: list[str], k: int):
     return rows, PCA(k=k, inputCol="v", outputCol="p").fit(rows)
 
 
-def component_count(metrics: DataFrame, names: list[str] | None = None, share: float = SHARE) -> int:
-    """Components that explain ``share`` of the variance, clipped to [max(10, n/20), min(n/2, 500)]; the upper limit wins."""
+def component_count(metrics: DataFrame, names: list[str] | None = None, share: float = SHARE, least: int = 1, most: int | None = None) -> int:
+    """Components that explain ``share`` of the variance; ``least`` and ``most`` clip the number on request, ``most`` wins."""
     names = names or metric_names(metrics)
     _, model = _pca(metrics, names, len(names))
     need = int(np.argmax(np.cumsum(model.explainedVariance.toArray()) >= share - 1e-12)) + 1
-    n = len(names)
-    return min(max(need, max(10, n // 20)), min(n // 2, 500))
+    return min(max(need, least), most or len(names))
 
 
 def forest_importance(metrics: DataFrame, names: list[str] | None = None, trees: int = 100, seed: int = 42) -> DataFrame:
@@ -108,10 +109,10 @@ def reconstruction_rank(metrics: DataFrame, names: list[str] | None = None, comp
     return out.withColumn("rank", F.row_number().over(Window.orderBy(by, "metric")))
 
 
-def loading_rank(metrics: DataFrame, names: list[str] | None = None, components: int = 50) -> DataFrame:
-    """(metric, score, rank): summed absolute loadings over at most ``components`` components."""
+def loading_rank(metrics: DataFrame, names: list[str] | None = None, components: int | None = None) -> DataFrame:
+    """(metric, score, rank): summed absolute loadings over ``components`` components, without a number over all."""
     names = names or metric_names(metrics)
-    _, model = _pca(metrics, names, min(components, len(names)))
+    _, model = _pca(metrics, names, min(components or len(names), len(names)))
     scores = np.abs(model.pc.toArray()).sum(axis=1)
     out = metrics.sparkSession.createDataFrame([(n, float(s)) for n, s in zip(names, scores)], "metric string, score double")
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "metric")))
@@ -125,15 +126,17 @@ def feature_report(scores: DataFrame, n: int) -> DataFrame:
                          F.when(has, F.substring_index("metric", "_", -1)).otherwise(F.lit("base")).alias("metric_type"), "score")
 
 
-def training_folds(metrics: DataFrame, folds: int = 5, block_from: int = 10000) -> list[DataFrame]:
-    """Training rows of each fold: growing prefixes of time, or all but one block when there are many periods."""
-    numbered = metrics.select("period").distinct().withColumn("_i", F.row_number().over(Window.orderBy("period")) - 1)
+def training_folds(metrics: DataFrame, folds: int = 5, mode: str = "growing") -> list[DataFrame]:
+    """Training rows of each fold: ``growing`` prefixes of time, or all but one of the ``blocks`` that cover all periods."""
+    if mode not in ("growing", "blocks"):
+        raise ValueError("mode is growing or blocks")
+    numbered = cut(metrics.select("period").distinct().withColumn("_i", F.row_number().over(Window.orderBy("period")) - 1))
     n = numbered.count()
-    size = n // folds if n > block_from else n // (folds + 1)
+    size = n // (folds + 1)
     out = []
     for f in range(folds):
-        if n > block_from:
-            keep = (F.col("_i") < f * size) | (F.col("_i") >= (f + 1) * size)
+        if mode == "blocks":
+            keep = (F.col("_i") < f * n // folds) | (F.col("_i") >= (f + 1) * n // folds)
         else:
             keep = F.col("_i") < n - size * (folds - f)
         out.append(metrics.join(numbered.where(keep).select("period"), "period", "left_semi"))
@@ -141,14 +144,21 @@ def training_folds(metrics: DataFrame, folds: int = 5, block_from: int = 10000)
 
 
 def stable_features(metrics: DataFrame, folds: int = 5, share: float = 0.7, variance: float = 0.001, threshold: float = CORRELATION,
-                    most: int = 25) -> DataFrame:
-    """(metric, folds, stability, stable): metrics that pass the variance and correlation filters in most folds."""
+                    most: int | None = None, mode: str = "growing") -> DataFrame:
+    """(metric, folds, stability, stable): metrics that pass the variance and correlation filters in most folds.
+
+    With ``most`` each fold keeps that many of them, those that the main components explain best.
+    """
     spark = metrics.sparkSession
+    metrics = cut(metrics)  # read several times per fold
     chosen = []
-    for i, train in enumerate(training_folds(metrics, folds)):
+    for i, train in enumerate(training_folds(metrics, folds, mode)):
         kept = [r["metric"] for r in variance_filter(train, variance, sample=True).where("keep").orderBy("metric").collect()]
         gone = set(_correlated(train, kept, threshold))
-        chosen.append(spark.createDataFrame([(i, n) for n in [k for k in kept if k not in gone][:most]] or [(i, None)], "fold int, metric string"))
+        kept = [k for k in kept if k not in gone]
+        if most is not None and len(kept) > most:
+            kept = [r["metric"] for r in reconstruction_rank(train, kept, order="asc").where(F.col("rank") <= most).select("metric").collect()]
+        chosen.append(spark.createDataFrame([(i, n) for n in kept] or [(i, None)], "fold int, metric string"))
     votes = reduce(DataFrame.unionByName, chosen).where(F.col("metric").isNotNull()).groupBy("metric").agg(F.count(F.lit(1)).alias("folds"))
     return votes.select("metric", "folds", (F.col("folds") / folds).alias("stability"), (F.col("folds") >= int(folds * share)).alias("stable"))
 
@@ -162,6 +172,7 @@ def importance_summary(errors: DataFrame) -> DataFrame:
 
 def fold_errors(metrics: DataFrame, folds: int = 5) -> DataFrame:
     """(fold, metric, error): reconstruction errors per fold, for :func:`importance_summary`."""
+    metrics = cut(metrics)  # read once per fold
     names = metric_names(metrics)
     parts = [reconstruction_rank(t, names).select(F.lit(i).alias("fold"), "metric", "error") for i, t in enumerate(training_folds(metrics, folds))]
     return reduce(DataFrame.unionByName, parts)

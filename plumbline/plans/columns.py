@@ -38,6 +38,15 @@ QUERIES = [
           column_profile_sql(SPARSE_ORDERS_SQL, ORDER_COLS)),
     Query("string_profile_customer", PROFILE_LAYOUT, lambda t: column_profile.profile_columns(t.customer),
           column_profile_sql("SELECT * FROM customer", CUSTOMER_COLS)),
+    Query("exact_profile", "column_name:s exact_min:s exact_max:s exact_median:s exact_quartile_1:s exact_quartile_3:s",
+          lambda t: column_profile.profile_columns(t.orders.select((F.col("o_orderkey") + 9007199254740992).alias("big_key"), F.col("o_custkey"))),
+          """WITH v AS (SELECT 'big_key' AS column_name, CAST(o_orderkey AS HUGEINT) + 9007199254740992 AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey FROM orders),
+ r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY column_name) AS n FROM v),
+ q AS (SELECT column_name, min(v) AS lo, max(v) AS hi, {}, {}, {} FROM r GROUP BY 1)
+ SELECT column_name, CAST(CAST(lo AS DECIMAL(38, 6)) AS VARCHAR) AS exact_min, CAST(CAST(hi AS DECIMAL(38, 6)) AS VARCHAR) AS exact_max,
+  {} AS exact_median, {} AS exact_quartile_1, {} AS exact_quartile_3 FROM q""".format(
+              *[f"min(v) FILTER (WHERE i = (n - 1) * {k} // 4) AS l{k}, coalesce(min(v) FILTER (WHERE i = (n - 1) * {k} // 4 + 1), max(v)) AS h{k}, max((n - 1) * {k} % 4) AS f{k}" for k in (1, 2, 3)],
+              *[f"CAST((4 * l{k} + (h{k} - l{k}) * f{k}) // 4 AS VARCHAR) || '.' || lpad(CAST(((4 * l{k} + (h{k} - l{k}) * f{k}) % 4) * 250000 AS VARCHAR), 6, '0')" for k in (2, 1, 3)])),
     Query("type_inference_pages", "column_name:s data_type:s is_pii:b", lambda t: column_profile.infer_types(t.pages),
           type_sql("SELECT * FROM pages", PAGE_COLS)),
     Query("column_samples", "column_name:s sample_values:s",

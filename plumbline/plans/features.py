@@ -169,7 +169,7 @@ QUERIES = [
 
 
 def _split(t):
-    train, test = cleaning.split_by_date(order_days(t), "period", "2000-01-01")
+    train, test = cleaning.split_by_date(order_days(t), "period", "2000-01-01", keep_train=365)
     facts = lambda df, part: df.agg(F.lit(part).alias("part"), F.count_distinct("period").alias("periods"),
                                     F.min("period").alias("first"), F.max("period").alias("last"))
     return facts(train, "train").unionByName(facts(test, "test"))

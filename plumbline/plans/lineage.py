@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import augment, lineage
+from plumbline.operators import lineage
 from plumbline.plans.features import order_days
 from plumbline.plans.registry import Query
 
@@ -78,9 +78,4 @@ QUERIES = [
  l2 AS (SELECT DISTINCT start, 'p' || l_partkey AS node, 2 AS depth FROM l1 JOIN lineitem ON node = 'o' || l_orderkey),
  ps AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), l3 AS (SELECT DISTINCT start, s AS node, 3 AS depth FROM l2 JOIN ps ON node = p)
  SELECT start, count(*) AS nodes, max(depth) AS depth FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) AS u GROUP BY 1"""),
-    Query("backfill", "event_type:s rows:i mean:f first:t",
-          lambda t: augment.backfill(t.events.select("ts", "event_type", "value"), "ts", 10).groupBy("event_type").agg(
-              F.count(F.lit(1)).alias("rows"), F.avg("value").alias("mean"), F.min("ts").alias("first"))),
-    Query("extend_series", "metric:s day:d value:f part:s has_anomaly:b",
-          lambda t: augment.extend_series(order_days(t).withColumn("day", F.to_date("period")).drop("period"), ["metric"])),
 ]

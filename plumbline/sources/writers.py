@@ -51,9 +51,9 @@ def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
 def summary_lines(summary: DataFrame) -> DataFrame:
     """The group summary as text lines: totals, one line per column, the ten groups with most anomalies."""
     total = summary.where("level = 'total'").select(F.explode(F.array(
-        F.struct(F.lit(1).alias("_o"), F.concat(F.lit("Total groups analyzed: "), "groups").alias("line")),
-        F.struct(F.lit(2).alias("_o"), F.concat(F.lit("Groups with anomalies: "), "groups_with_anomalies").alias("line")),
-        F.struct(F.lit(3).alias("_o"), F.concat(F.lit("Total anomalies detected: "), "anomalies").alias("line")),
+        F.struct(F.lit(1).alias("_o"), F.concat(F.lit("groups: "), "groups").alias("line")),
+        F.struct(F.lit(2).alias("_o"), F.concat(F.lit("groups with flags: "), "groups_with_anomalies").alias("line")),
+        F.struct(F.lit(3).alias("_o"), F.concat(F.lit("flags: "), "anomalies").alias("line")),
     )).alias("x")).select("x._o", F.lit("").alias("_n"), "x.line", F.lit(0).cast("bigint").alias("_a"))
     columns = summary.where("level = 'column'").select(F.lit(4).alias("_o"), F.col("name").alias("_n"),
                                                        F.concat("name", F.lit(": "), "anomalies").alias("line"), F.lit(0).cast("bigint").alias("_a"))

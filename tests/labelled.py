@@ -1,7 +1,4 @@
-"""Extending tables in time: resampled history before the first row, clean past and labelled future of a series.
-
-Randomness is a hash of the row's number and a seed, so results do not depend on partitioning.
-"""
+"""Labelled series for tests: clean past and future with known anomalies; numbers are hashes of row and seed."""
 
 from __future__ import annotations
 
@@ -11,9 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.season import linear_trend, weekday_pattern
-from plumbline.types import columns_by_kind
-
-SAMPLE_ROWS = 100_000
 
 
 def uniform(seed: int, *by: Column) -> Column:
@@ -26,34 +20,6 @@ def normal(seed: int, *by: Column) -> Column:
     return F.sqrt(-2 * F.ln(uniform(seed, *by))) * F.cos(2 * math.pi * uniform(seed + 1, *by))
 
 
-def backfill(df: DataFrame, ts: str, days: int, seed: int = 42, noise: float = 0.02, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``df`` plus ``days`` days of invented rows before its first one, at the same rate.
-
-    Numbers are drawn from a bounded random sample of rows and shaken by 2%; categories are drawn evenly from the distinct
-    sampled values. The sample has at most ``sample_rows`` rows, so it may be numbered and broadcast.
-    """
-    kinds = columns_by_kind(df, (ts,))
-    facts = df.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    span = max((facts["hi"] - facts["lo"]).total_seconds() / 86400, 1e-9)
-    rows = int(days * facts["n"] / span)
-    start = F.lit(facts["lo"]) - F.expr(f"interval {days} days")
-    step = (days * 86400 - 1) / max(rows - 1, 1)
-    new = df.sparkSession.range(rows).withColumn(ts, F.timestamp_micros((F.unix_micros(start) + F.col("id") * step * 1e6).cast("bigint")))
-    sample = df.orderBy(F.rand(seed)).limit(sample_rows)
-    for i, c in enumerate([*kinds.numeric, *kinds.categorical]):
-        values = sample.select(c).where(F.col(c).isNotNull())
-        values = values if c in kinds.numeric else values.distinct()
-        numbered = values.withColumn("_no", F.row_number().over(Window.orderBy(F.xxhash64(c, F.lit(seed)), c)) - 1)
-        size = numbered.agg(F.count(F.lit(1))).scalar()
-        pick = F.floor(uniform(seed + 10 * i, F.col("id")) * F.lit(1.0) * F.col("_size")).cast("int")
-        drawn = new.withColumn("_size", size).withColumn("_no", pick)
-        new = drawn.join(F.broadcast(numbered), "_no", "left").drop("_no", "_size")  # at most sample_rows rows
-        if c in kinds.numeric:
-            shaken = F.col(c) * (1 + noise * normal(seed + 10 * i + 5, F.col("id")))
-            new = new.withColumn(c, shaken.cast(df.schema[c].dataType))
-    return new.drop("id").unionByName(df, allowMissingColumns=True).select(*df.columns)
-
-
 def extend_series(series: DataFrame, keys: list[str], past_days: int = 365, future_days: int = 30, anomaly_percent: float = 20, seed: int = 42,
                   day: str = "day", value: str = "value") -> DataFrame:
     """(keys, day, value, part, has_anomaly): invented clean past, the series itself, and a future with labelled anomalies.

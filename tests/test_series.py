@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import augment, layers, panel, rolling, season, sequence
+from plumbline.operators import layers, panel, rolling, season, sequence
+from tests import labelled
 
 
 def weekly(spark, n=90):
@@ -77,7 +78,7 @@ def test_rolling_equals_pandas(spark, w):
 
 def test_injected_anomalies_are_found(spark):
     s, _ = weekly(spark, 120)
-    both = augment.extend_series(s, ["metric"], 200, 40)
+    both = labelled.extend_series(s, ["metric"], 200, 40)
     assert both.where("has_anomaly").count() == 8 and both.where("part = 'past'").count() == 200
     flagged = layers.statistical_layer(both, ["metric"], "day", sigma=2.0)
     hit = flagged.where("has_anomaly").agg(F.avg(F.col("statistical_anomaly").cast("int"))).first()[0]
@@ -86,22 +87,12 @@ def test_injected_anomalies_are_found(spark):
 
 def test_extension_does_not_depend_on_partitioning(spark):
     s, _ = weekly(spark, 60)
-    a = augment.extend_series(s.coalesce(1), ["metric"], 30, 20).orderBy("day").collect()
-    b = augment.extend_series(s.repartition(5), ["metric"], 30, 20).orderBy("day").collect()
+    a = labelled.extend_series(s.coalesce(1), ["metric"], 30, 20).orderBy("day").collect()
+    b = labelled.extend_series(s.repartition(5), ["metric"], 30, 20).orderBy("day").collect()
     assert [(r.day, r.has_anomaly) for r in a] == [(r.day, r.has_anomaly) for r in b]
     assert np.allclose([r.value for r in a], [r.value for r in b])
 
 
-def test_backfill_keeps_rate_and_range(spark):
-    df = spark.range(480).select((F.lit("2024-01-11").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int") * 30)).alias("ts"),
-                                 (F.col("id") % 50 + 100.0).alias("v"), F.concat(F.lit("c"), F.col("id") % 3).alias("c"))
-    out = augment.backfill(df, "ts", 5)
-    new = out.where("ts < '2024-01-11'")
-    assert abs(new.count() - 240) <= 2 and out.count() == new.count() + 480
-    r = new.agg(F.min("v"), F.max("v"), F.count_distinct("c"), F.count("v")).first()
-    assert 80 < r[0] and r[1] < 180 and r[2] == 3 and r[3] == new.count()
-
-
 def test_sequences_are_full_windows(spark):
     df = spark.createDataFrame([("s", i, float(i)) for i in range(5)], "k string, t int, v double")
     rows = sequence.sliding_sequences(df, ["k"], "t", ["v"], 3).orderBy("t").collect()

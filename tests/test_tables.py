@@ -100,7 +100,15 @@ def test_report_and_summary_files(spark, tmp_path):
     f = spark.createDataFrame([("g1", "a", 1), ("g1", "b", 1), ("g2", "a", 0)], "g string, column string, flag int")
     writers.write_summary(fusion.group_summary(f, "g"), str(tmp_path / "s"))
     text = "".join(p.read_text() for p in (tmp_path / "s").glob("part-*"))
-    assert text.splitlines() == ["Total groups analyzed: 2", "Groups with anomalies: 1", "Total anomalies detected: 2", "a: 1", "b: 1", "g1: 2", "g2: 0"]
+    assert text.splitlines() == ["groups: 2", "groups with flags: 1", "flags: 2", "a: 1", "b: 1", "g1: 2", "g2: 0"]
+
+
+def test_a_long_chain_is_followed_to_its_end(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60)], "source string, target string")
+    out = lineage.impact(edges, spark.createDataFrame([("n0",)], "start string"))
+    assert out.count() == 61 and out.agg(F.max("depth")).first()[0] == 60
+    with pytest.raises(RuntimeError):
+        lineage.impact(edges, spark.createDataFrame([("n0",)], "start string"), max_rounds=5)
 
 
 def test_null_policy_and_type_repair(spark):
