@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
@@ -160,12 +159,11 @@ def mahalanobis(df: DataFrame, features: list[str], train: Column | None = None)
     corr = np.where(np.isfinite(corr), corr, np.eye(len(features)))
     inverse = np.linalg.pinv(corr * np.outer(std, std))
 
-    @F.pandas_udf("double")
-    def distance(x: pd.Series) -> pd.Series:
-        d = np.vstack(x.to_numpy()) - mean if len(x) else np.empty((0, len(mean)))
-        return pd.Series(np.einsum("ij,jk,ik->i", d, inverse, d))
-
-    return base.withColumn("score", distance("_x")).drop("_x")
+    numbers = lambda v: F.array(*[F.lit(float(a)) for a in v])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    gap = F.zip_with("_x", numbers(mean), lambda x, m: x - m)
+    rows = F.array(*[numbers(r) for r in inverse])  # features x features
+    return base.withColumn("_d", gap).withColumn("score", dot(F.transform(rows, lambda r: dot(r, F.col("_d"))), F.col("_d"))).drop("_x", "_d")
 
 
 def cluster_scores(df: DataFrame, keys: list[str], features: list[str], clusters: int = 8, contamination: float = 0.05,

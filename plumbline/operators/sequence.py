@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -85,16 +84,14 @@ def reconstruction_errors(sequences: DataFrame, keys: list[str], features: list[
     mean = np.array([means[f"m{i}"] for i in range(width)])
     basis = PCA(k=min(components, width), inputCol="_v", outputCol="_p").fit(fit).pc.toArray()
     n_features = len(features)
-
-    @F.pandas_udf("array<double>")
-    def per_feature(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        d = np.vstack(x.to_numpy()) - mean
-        gap = (d - (d @ basis) @ basis.T) ** 2
-        return pd.Series(list(gap.reshape(len(d), -1, n_features).mean(axis=1)))
-
-    out = rows.withColumn("_f", per_feature("_x"))
+    numbers = lambda v: F.array(*[F.lit(float(a)) for a in v])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    # what the components leave over, with one row of weights per place of the sequence
+    left = F.array(*[numbers(r) for r in np.eye(width) - basis @ basis.T])
+    out = rows.withColumn("_d", F.zip_with("_x", numbers(mean), lambda x, m: x - m)).withColumn("_g", F.transform(left, lambda r: dot(r, F.col("_d"))))
+    of = lambda i: F.filter("_g", lambda _, at: at % n_features == i)
+    mean_square = lambda v: dot(v, v) / F.size(v)
+    out = out.withColumn("_f", F.array(*[mean_square(of(i)) for i in range(n_features)]))
     total = F.aggregate("_f", F.lit(0.0), lambda a, x: a + x) / n_features
     named = F.map_from_arrays(F.array(*[F.lit(f) for f in features]), F.col("_f"))
     return out.select(*keys, total.alias("error"), named.alias("feature_errors"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.nulls import ratio
-from plumbline.operators import cleaning, counts, density, fusion, layers, panel, sequence
+from plumbline.operators import cleaning, counts, density, explain, fusion, layers, panel, quality_profile, rolling, selection, sequence
 from plumbline.sources.checkpoint import cut
 
 
@@ -55,6 +55,25 @@ def detect_periods(metrics: DataFrame, config: DetectionConfig = DetectionConfig
     return fusion.severity(out).join(marks, "period")
 
 
+def quality_features(df: DataFrame, ts: str, period: str, columns: list[str], windows: tuple[int, ...] = (7,), lags: tuple[int, ...] = (1,),
+                     variance: float = selection.VARIANCE, threshold: float = selection.CORRELATION) -> DataFrame:
+    """(period, metric, value): quality metrics of a raw table with rolling and lag features, thinned out by variance and correlation."""
+    profile = quality_profile.quality_metrics(df, ts, period, columns)
+    base = cut(profile.select("period", F.concat_ws("_", "column", "metric").alias("metric"), "value"))
+    features = cut(rolling.feature_table(base, windows, lags))
+    varied = [r["metric"] for r in selection.variance_filter(features, variance).where("keep").orderBy("metric").collect()]
+    kept = selection.correlation_filter(features.where(F.col("metric").isin(*varied)), varied, threshold).where("keep").select("metric")
+    return features.join(kept, "metric", "left_semi")
+
+
+def quality_pipeline(df: DataFrame, ts: str, period: str, columns: list[str], config: DetectionConfig = DetectionConfig()) -> DataFrame:
+    """From raw rows to explanations: quality profile, features, selection, detection, and why each flagged period stands out."""
+    features = cut(quality_features(df, ts, period, columns))
+    flagged = cut(detect_periods(features, config).where("consensus_anomaly").select("period", F.col("severity").alias("overall_severity"), "consensus_score"))
+    top = explain.top_metrics(explain.contributions(explain.history_facts(features, flagged)))
+    return explain.explanations(top, tuple(columns)).join(flagged, "period")
+
+
 def density_of_metrics(scaled: DataFrame, method: str = "ecod") -> DataFrame:
     """(period, split, score, train): tail scores of a long table, where each metric is one feature."""
     inside = F.col("split") != 1

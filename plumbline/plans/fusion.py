@@ -124,6 +124,8 @@ QUERIES = [
     Query("top_groups", "name:s anomalies:i", lambda t: fusion.top_groups(fusion.group_summary(user_flags(t), "user_id")),
           f"WITH {_USER_FLAGS} SELECT CAST(user_id AS VARCHAR) AS name, a AS anomalies FROM g ORDER BY a DESC, CAST(user_id AS VARCHAR) LIMIT 10"),
     Query("detect_periods", f"period:d is_target:b {_CONS} severity:s", lambda t: detection.detect_periods(item_months(t)), _detect_sql()),
+    Query("quality_pipeline", "period:d metric:s base_column:s dq_dimension:s severity:s overall_severity:s z_score:g explanation:s recommendation:s",
+          lambda t: detection.quality_pipeline(t.orders.withColumn("price", F.col("o_totalprice").cast("double")), "o_orderdate", "month", ["price", "o_custkey"])),
     Query("detect_panel", "user_id:i day:d value:f first_score:f second_score:f",
           lambda t: detection.detect_panel(t.events, "user_id", "ts", "event_id", "value"), _panel_sql()),
 ]
