@@ -41,7 +41,7 @@ WORDS = 5
 PERCENT = 80
 ORDERS = 3
 CENTRES = 6
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 SHARD_BYTES = 4 << 20  # of text for each shard
 COUNTERS = 1 << 21
 COUNTER_BLOCK = 1 << 15
@@ -52,7 +52,7 @@ SEED = 17
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = out = xxh3_64_intdigest(word)
         return out
