@@ -23,6 +23,7 @@ HEADLINE = (
     "column_profile_orders", "rules_customer", "pii_scan_documents", "suggest_rules", "win_numeric", "win_categorical", "dq_basic",
     "dq_histogram", "dq_quantiles", "dq_mi", "gap_fill", "derived_features", "rolling", "denormalise", "anomaly_score", "hist_numeric",
     "js_drift", "season_layer", "decompose", "ecod", "seq_score", "detect_periods", "group_summary", "explanations", "schema_changes",
+    "lof", "stable_features", "importance_summary", "lineage_closure", "cblof", "mahalanobis", "quality_pipeline",
 )
 
 

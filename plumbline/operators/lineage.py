@@ -21,24 +21,15 @@ def snapshot(df: DataFrame, job: str, stage_no: int, stage: str) -> DataFrame:
 
 def schema_changes(snapshots: DataFrame) -> DataFrame:
     """(job, stage_no, input, output, new, dropped, kept, retyped columns) for each stage after the first of its job."""
-    stages = snapshots.select("job", "stage_no").distinct()
+    columns = F.array_sort(F.collect_set(F.struct("column", "type")))
     order = Window.partitionBy("job").orderBy("stage_no")
-    steps = stages.select("job", F.lag("stage_no").over(order).alias("_before"), "stage_no").where(F.col("_before").isNotNull())
-    after = snapshots.join(steps, ["job", "stage_no"]).select("job", "stage_no", "column", F.col("type").alias("_after"))
-    was = snapshots.select("job", F.col("stage_no").alias("_before"), "column", F.col("type").alias("_was"))
-    before = was.join(steps, ["job", "_before"]).select("job", "stage_no", "column", "_was")
-    both = before.join(after, ["job", "stage_no", "column"], "full_outer")
-    seen = both.groupBy("job", "stage_no").agg(F.array_sort(F.collect_list(F.struct("column", "_was", "_after"))).alias("_c"))
-
-    def names(test) -> Column:
-        return F.transform(F.filter("_c", test), lambda x: x["column"])
-
-    old, new = (lambda x: x["_was"].isNotNull()), (lambda x: x["_after"].isNotNull())
-    return seen.select(
-        "job", "stage_no", names(old).alias("input_columns"), names(new).alias("output_columns"),
-        names(lambda x: new(x) & ~old(x)).alias("new_columns"), names(lambda x: old(x) & ~new(x)).alias("dropped_columns"),
-        names(lambda x: old(x) & new(x)).alias("kept_columns"),
-        names(lambda x: old(x) & new(x) & (x["_was"] != x["_after"])).alias("retyped_columns"),
+    steps = snapshots.groupBy("job", "stage_no").agg(columns.alias("_new")).withColumn("_old", F.lag("_new").over(order)).where(F.col("_old").isNotNull())
+    old, new = F.transform("_old", lambda x: x["column"]), F.transform("_new", lambda x: x["column"])
+    changed = F.filter("_new", lambda x: F.array_contains(old, x["column"]) & ~F.array_contains(F.col("_old"), x))
+    return steps.select(
+        "job", "stage_no", old.alias("input_columns"), new.alias("output_columns"), F.array_except(new, old).alias("new_columns"),
+        F.array_except(old, new).alias("dropped_columns"), F.array_intersect(old, new).alias("kept_columns"),
+        F.transform(changed, lambda x: x["column"]).alias("retyped_columns"),
     )
 
 

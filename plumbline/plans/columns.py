@@ -47,6 +47,8 @@ QUERIES = [
   {} AS exact_median, {} AS exact_quartile_1, {} AS exact_quartile_3 FROM q""".format(
               *[f"min(v) FILTER (WHERE i = (n - 1) * {k} // 4) AS l{k}, coalesce(min(v) FILTER (WHERE i = (n - 1) * {k} // 4 + 1), max(v)) AS h{k}, max((n - 1) * {k} % 4) AS f{k}" for k in (1, 2, 3)],
               *[f"CAST((4 * l{k} + (h{k} - l{k}) * f{k}) // 4 AS VARCHAR) || '.' || lpad(CAST(((4 * l{k} + (h{k} - l{k}) * f{k}) % 4) * 250000 AS VARCHAR), 6, '0')" for k in (2, 1, 3)])),
+    Query("personal_columns", "columns:i pii_columns:i", lambda t: column_profile.personal_column_count(column_profile.profile_columns(t.customer)),
+          f"SELECT count(*) AS columns, count(*) FILTER (WHERE is_pii) AS pii_columns FROM ({column_profile_sql('SELECT * FROM customer', CUSTOMER_COLS)}) AS profile"),
     Query("type_inference_pages", "column_name:s data_type:s is_pii:b", lambda t: column_profile.infer_types(t.pages),
           type_sql("SELECT * FROM pages", PAGE_COLS)),
     Query("column_samples", "column_name:s sample_values:s",

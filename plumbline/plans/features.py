@@ -102,7 +102,26 @@ def _scale_sql(low, width):
 
 _SCALE = "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f flat:f"
 
+_TARGETED = """m AS (SELECT CAST(o_orderdate AS DATE) AS period, unnest(['price_mean', 'price_max', 'orders_count']) AS metric,
+ unnest([avg(CAST(o_totalprice AS DOUBLE)), max(CAST(o_totalprice AS DOUBLE)), CAST(count(*) AS DOUBLE)]) AS value FROM orders GROUP BY 1)"""
+
+
+def _daily(t):
+    wide = t.orders.groupBy(F.to_date("o_orderdate").alias("period")).agg(
+        F.avg(F.col("o_totalprice").cast("double")).alias("price_mean"), F.max(F.col("o_totalprice").cast("double")).alias("price_max"), F.count(F.lit(1)).cast("double").alias("orders_count"))
+    return wide.unpivot(["period"], ["price_mean", "price_max", "orders_count"], "metric", "value")
+
+
 QUERIES = [
+    Query("target_metrics", "period:d metric:s value:f target:s", lambda t: cleaning.target_metrics(_daily(t), ["price"]),
+          f"WITH {_TARGETED} SELECT period, metric, value, 'price' AS target FROM m WHERE starts_with(metric, 'price_')"),
+    Query("drop_present", "c_custkey:i c_nationkey:i", lambda t: cleaning.drop_present(t.customer, ["c_name", "not_there", "c_acctbal", "c_mktsegment"]),
+          "SELECT c_custkey, c_nationkey FROM customer"),
+    Query("anomaly_rows", "o_orderkey:i o_custkey:i", lambda t: cleaning.anomaly_rows(t.orders, t.orders.where("o_totalprice > 300000").select("o_custkey"), ["o_custkey"], ["o_orderkey"], 25),
+          "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) ORDER BY o_orderkey LIMIT 25"),
+    Query("model_matrix", "event_id:i value:f inverse:f", lambda t: cleaning.model_matrix(t.events.select("event_id", "value", F.when(F.col("event_id") % 5 == 0, F.lit(float("inf"))).when(
+        F.col("event_id") % 5 == 1, F.lit(float("nan"))).when(F.col("event_id") % 5 != 2, F.col("value")).alias("inverse")), ["value", "inverse"]),
+          "SELECT event_id, coalesce(value, 0) AS value, CASE event_id % 5 WHEN 0 THEN 1e10 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE coalesce(value, 0) END AS inverse FROM events"),
     Query("derive_aggregate", "department:s salary_category:s total_salary:g avg_age:f employee_count:i",
           lambda t: t.orders.select(
               F.concat("o_orderpriority", F.lit(" "), "o_orderstatus").alias("full_name"), F.col("o_orderpriority").alias("department"),

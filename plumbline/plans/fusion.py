@@ -10,6 +10,7 @@ from plumbline.plans.density import _MEASURED, FEATURES, _combine, measured_even
 from plumbline.plans.features import FILL_SQL
 from plumbline.plans.flags import _FLAGS_CTE, item_months
 from plumbline.plans.registry import Query
+from plumbline.sources import writers
 from plumbline.plans.sequences import SCALED_SQL, scaled_months
 from plumbline.plans.windows import EVENT_SQL
 
@@ -121,6 +122,9 @@ QUERIES = [
           f"""WITH {_USER_FLAGS} SELECT 'total' AS level, CAST(NULL AS VARCHAR) AS name, count(*) AS groups, count(*) FILTER (WHERE a > 0) AS groups_with_anomalies, sum(a) AS anomalies FROM g
  UNION ALL SELECT 'column', event_type, count(*), count(*) FILTER (WHERE a > 0), sum(a) FROM c GROUP BY event_type
  UNION ALL SELECT 'group', CAST(user_id AS VARCHAR), 1, CASE WHEN a > 0 THEN 1 ELSE 0 END, a FROM g"""),
+    Query("summary_lines", "line:s", lambda t: writers.summary_lines(fusion.group_summary(user_flags(t), "user_id")),
+          f"""WITH {_USER_FLAGS} SELECT 'groups: ' || count(*) AS line FROM g UNION ALL SELECT 'groups with flags: ' || count(*) FILTER (WHERE a > 0) FROM g UNION ALL SELECT 'flags: ' || sum(a) FROM g
+ UNION ALL SELECT event_type || ': ' || sum(a) FROM c GROUP BY event_type UNION ALL SELECT * FROM (SELECT user_id || ': ' || a FROM g ORDER BY a DESC, CAST(user_id AS VARCHAR) LIMIT 10) AS best"""),
     Query("top_groups", "name:s anomalies:i", lambda t: fusion.top_groups(fusion.group_summary(user_flags(t), "user_id")),
           f"WITH {_USER_FLAGS} SELECT CAST(user_id AS VARCHAR) AS name, a AS anomalies FROM g ORDER BY a DESC, CAST(user_id AS VARCHAR) LIMIT 10"),
     Query("detect_periods", f"period:d is_target:b {_CONS} severity:s", lambda t: detection.detect_periods(item_months(t)), _detect_sql()),
