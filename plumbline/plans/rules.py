@@ -179,14 +179,16 @@ QUERIES = [
     Query("parse_patterns", "event_id:i regex_pattern:s",
           lambda t: suggest.parse_scores(model_texts(t), "answer").where(F.col("regex_pattern").isNotNull()).select("event_id", "regex_pattern"),
           f"SELECT event_id, '^a+$' AS regex_pattern FROM ({_MODEL_SQL}) AS m WHERE contains(answer, 'regex_pattern')"),
-    Query("rule_confidence", "column_name:s completeness_confidence:f range_confidence:f format_confidence:f consistency_confidence:f",
+    Query("rule_confidence", "column_name:s completeness_confidence:f uniqueness_confidence:f range_confidence:f format_confidence:f consistency_confidence:f",
           lambda t: suggest.confidence_of(suggest.confidence_facts(
-              sparse_customer(t), ["c_acctbal"], ["c_name", "c_mktsegment"], r"[A-Z]+$").withColumn("unique_ratio", F.lit(1.0))),
+              sparse_customer(t), ["c_acctbal"], ["c_name", "c_mktsegment"], r"[A-Z]+$").join(
+                  column_profile.profile_columns(sparse_customer(t), ["c_acctbal", "c_name", "c_mktsegment"]).select("column_name", "unique_ratio"), "column_name")),
           f"""WITH base AS (SELECT * FROM {SPARSE_CUSTOMER}), st AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM base)
  SELECT 'c_acctbal' AS column_name, 1 / (1 + exp(-(0.2 - avg(CASE WHEN c_acctbal IS NULL THEN 1.0 ELSE 0.0 END)) * 20)) AS completeness_confidence,
+  1 / (1 + exp(-(count(DISTINCT c_acctbal) / CAST(count(c_acctbal) AS DOUBLE) - 0.95) / 0.05)) AS uniqueness_confidence,
   least(1.0, avg(CASE WHEN abs(c_acctbal - m) <= 3 * s THEN 1.0 ELSE 0.0 END) / 0.997) AS range_confidence,
   CAST(NULL AS DOUBLE) AS format_confidence, CAST(NULL AS DOUBLE) AS consistency_confidence FROM base, st
-""" + "".join(f""" UNION ALL SELECT '{c}', 1 / (1 + exp(-(0.2 - avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)) * 20)), NULL,
+""" + "".join(f""" UNION ALL SELECT '{c}', 1 / (1 + exp(-(0.2 - avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)) * 20)), 1 / (1 + exp(-(count(DISTINCT {c}) / CAST(count({c}) AS DOUBLE) - 0.95) / 0.05)), NULL,
   avg(CASE WHEN {c} IS NULL THEN NULL WHEN regexp_matches({c}, '^(?:[A-Z]+$)') THEN 1.0 ELSE 0.0 END),
   greatest(0, least(1, 1 - stddev_pop(length({c})) / avg(length({c})))) FROM base""" for c in ("c_name", "c_mktsegment"))),
 ]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import layers, season
 from plumbline.plans.features import ORDER_DAYS_SQL, order_days
 from plumbline.plans.registry import Query
 
+EVENT_TYPES = ("click", "view", "purchase")
+
 
 def order_series(t):
     return order_days(t).withColumn("day", F.to_date("period")).drop("period")
@@ -96,7 +101,11 @@ QUERIES = [
     Query("acf", "metric:s lag:i acf:f bound:f significant:b", lambda t: season.autocorrelation(order_series(t), ["metric"]), _acf_sql()),
     Query("seasonality", "has_seasonality:b has_weekly:b has_monthly:b has_daily:b", lambda t: season.seasonality(t.orders, "o_orderdate", "o_totalprice"),
           f"""WITH a AS ({_acf_sql()}), m AS (SELECT * FROM a WHERE metric = 'price') SELECT bool_or(lag > 0 AND significant) AS has_seasonality,
- bool_or(lag = 7 AND significant) AS has_weekly, bool_or(lag = 30 AND significant) AS has_monthly, false AS has_daily FROM m"""),
+ bool_or(lag = 7 AND significant) AS has_weekly, bool_or(lag = 30 AND significant) AS has_monthly, (SELECT count(*) > 1 AND coalesce(stddev_samp(v) / avg(v) > 0.1, false) FROM (SELECT avg(o_totalprice) AS v FROM orders GROUP BY hour(o_orderdate)) AS h) AS has_daily FROM m"""),
+    Query("daily_pattern", "event_type:s has_daily:b",
+          lambda t: reduce(DataFrame.unionByName, [season.seasonality(t.events.where(F.col("event_type") == e), "ts", "value").select(F.lit(e).alias("event_type"), "has_daily") for e in EVENT_TYPES]),
+          f"""WITH h AS (SELECT event_type, hour(ts) AS h, avg(value) AS v FROM events WHERE event_type IN ({', '.join(f"'{e}'" for e in EVENT_TYPES)}) GROUP BY 1, 2)
+ SELECT event_type, count(*) > 1 AND stddev_samp(v) / avg(v) > 0.1 AS has_daily FROM h GROUP BY 1"""),
     Query("weekday_pattern", "metric:s weekday:i offset:f", lambda t: season.weekday_pattern(order_series(t), ["metric"]),
           f"""WITH {_D}, g AS (SELECT metric, avg(value) AS g FROM d GROUP BY 1) SELECT d.metric, isodow(day) - 1 AS weekday, (avg(value) - any_value(g)) * 0.5 AS "offset"
  FROM d JOIN g ON d.metric = g.metric GROUP BY 1, 2"""),
