@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import stats
 from plumbline.functions.nulls import number, ratio
 from plumbline.operators.counts import on_keys, numeric_long, quantiles_of, text_long, top_values, value_counts
+from plumbline.operators.joins import checked_broadcast
 from plumbline.operators.period_profile import PC
 
 WINDOWS = (7, 14, 30, 90)
@@ -161,7 +162,7 @@ def category_history(df: DataFrame, date: str, key: str, columns: list[str], win
 def attach_to_rows(df: DataFrame, profile: DataFrame, date: str) -> DataFrame:
     """Every row with the profile of its date (one profile row per ``period``)."""
     days = profile.withColumn("_day", F.to_date("period")).drop("period")
-    return df.withColumn("_day", F.to_date(date)).join(days, "_day", "left").drop("_day")
+    return df.withColumn("_day", F.to_date(date)).join(checked_broadcast(days), "_day", "left").drop("_day")
 
 
 def history_features(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.counts import null_safe_join
+from plumbline.sources.checkpoint import cut
+
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``side``, computed once and marked for broadcast if it has at most so many rows; else the join shuffles."""
+    side = cut(side)
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+
 
 
 def left_with_suffix(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:

@@ -58,7 +58,8 @@ def seasonal_layer(df: DataFrame, keys: list[str], ts: str, value: str = "value"
             facts = facts.withColumn("_one", F.lit(1))
         facts = on_keys(facts, totals, keys or ["_one"]).where((F.col("_n") >= least) & (F.col("_total") >= 2 * p))
         far = F.abs(F.col(value) - F.col("_m")) / F.greatest(F.col("_s"), F.lit(1e-8)) > sigma
-        joined = on_keys(placed, facts.select(*keys, "_pos", "_m", "_s"), [*keys, "_pos"], "left")
+        side = facts.select(*keys, "_pos", "_m", "_s")
+        joined = on_keys(placed, side if keys else F.broadcast(side), [*keys, "_pos"], "left")  # without keys: one row per place in the season
         out = joined.withColumn(name, F.coalesce(far, F.lit(False))).drop("_pos", "_m", "_s")
     hit = reduce(lambda a, b: a | b, [F.col(n) for n in names])
     return out.withColumn("seasonal_anomaly", hit).drop(*names)

@@ -1,4 +1,4 @@
-"""Registered queries: schema lineage over job logs read from the tables, and series extension."""
+"""Registered queries: schema lineage over job logs read from the tables."""
 
 from __future__ import annotations
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import layers, season
@@ -72,7 +72,9 @@ def recomposed(t):
 
 def layered(t):
     s = order_series(t)
-    errors = s.withColumn("error", F.abs(F.col("value")))
+    past = Window.partitionBy("metric").orderBy("day").rowsBetween(-14, -1)
+    guess = s.withColumn("_n", F.count("value").over(past)).withColumn("error", F.abs(F.col("value") - F.avg("value").over(past)))
+    errors = guess.where("_n = 14").drop("_n")  # a prediction needs its whole past, so errors start later than the series
     return layers.all_layers(layers.statistical_layer(s, ["metric"], "day"), layers.seasonal_layer(s, ["metric"], "day", periods=(7, 12)),
                              layers.error_layer(errors, ["metric"]), ["metric", "day"])
 
@@ -117,9 +119,10 @@ QUERIES = [
     Query("seasonal_explanation", "day:d metric:s seasonal_impact_percent:f is_anomalous:b",
           lambda t: season.explain_seasonally(daily_parts(t), ["metric"], "series"), _EXPL),
     Query("layers", "day:d metric:s statistical:b seasonal:b sequence:b any_anomaly:b", layered,
-          f"""WITH {_STAT}, {_seasonal_sql((7, 12))}, er AS (SELECT metric, avg(abs(value)) + 3 * stddev_pop(abs(value)) AS th FROM d GROUP BY 1),
+          f"""WITH {_STAT}, {_seasonal_sql((7, 12))}, er0 AS (SELECT day, metric, CASE WHEN count(value) OVER w = 14 THEN abs(value - avg(value) OVER w) END AS e FROM d WINDOW w AS (PARTITION BY metric ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
+ er AS (SELECT metric, avg(e) + 3 * stddev_pop(e) AS th FROM er0 GROUP BY 1),
  j AS (SELECT st.day, st.metric, coalesce(value_anomaly, false) OR coalesce(trend_anomaly, false) OR coalesce(volatility_anomaly, false) AS statistical,
-  seasonal_anomaly AS seasonal, abs(st.value) > th AS sequence FROM st JOIN se ON st.day = se.day AND st.metric = se.metric JOIN er ON st.metric = er.metric)
+  seasonal_anomaly AS seasonal, coalesce(e > th, false) AS sequence FROM st JOIN se ON st.day = se.day AND st.metric = se.metric JOIN er ON st.metric = er.metric JOIN er0 ON st.metric = er0.metric AND st.day = er0.day)
  SELECT *, statistical OR seasonal OR sequence AS any_anomaly FROM j"""),
     Query("thresholds", "metric:s gaussian:f percentile:f",
           lambda t: layers.error_threshold(order_series(t), ["metric"], "value").withColumnRenamed("threshold", "gaussian").join(
