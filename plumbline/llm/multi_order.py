@@ -9,11 +9,12 @@ Documents are sets of hashed word shingles; two link when ``100 * intersection >
 3. *Prefixes.* A sketch counts the tokens of the classes' sets. Order k ranks tokens by how much their count stands out, then by
    the k-th hash. Two sets that link share a token among the first ``n - ceil(percent * n) + 1`` under every order, so a pair
    must come up under all orders. The orders differ, so chance pairs seldom do.
-4. *Stars.* In the list of a token every member is paired with a few of its members that play centre under fixed
-   permutations: pairs grow with the list, not with its square. Pairs of all orders are intersected and compared exactly. The links
-   join most groups of near copies into components.
+4. *Stars.* Under a few fixed permutations the first member of a token's list is its centre, and every set is paired with the first
+   centre of all its lists: a few pairs per set, however long the lists. Pairs of all orders are intersected and compared exactly. After a
+   few rounds with fresh permutations most groups of near copies are one component.
 5. *Rest.* In lists that still hold several components, members outside the largest are paired with all members of other
-   components. Pairs within a component cannot change it, so no link between components is lost.
+   components, unless sizes or places in the prefix rule a link out. Pairs within a component cannot change it, so no link between
+   components is lost.
 
 Sets are compared in chunks of bounded size: a chunk gets each set it needs once. Counts and hashes are exact but for 64-bit
 collisions; the sketch and the orders affect speed alone.
@@ -43,8 +44,9 @@ ORDERS = 3
 CENTRES = 6
 BLOCK_TOKENS = 1_000_000
 SHARD_BYTES = 4 << 20  # of text for each shard
-COUNTERS = 1 << 21
-COUNTER_BLOCK = 1 << 15
+COUNTERS = 1 << 23
+COUNTER_BLOCK = 1 << 17
+ROUNDS = 3
 CHUNK_TOKENS = 4_000_000
 MANY = 0xFFFF  # owner of a token that several documents of a block hold
 SEED = 17
@@ -252,12 +254,12 @@ def sketch(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        got = np.zeros(COUNTERS, np.int64)
+        got = np.zeros(COUNTERS, np.int32)
         for batch in batches:
-            got += np.bincount((_tokens(batch)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        table = got.reshape(-1, COUNTER_BLOCK)
+            np.add.at(got, (_tokens(batch)[0] % np.uint64(COUNTERS)).astype(np.int64), 1)
+        table = np.minimum(got, 255).astype(np.uint8).reshape(-1, COUNTER_BLOCK)  # one byte per task is enough to rank by
         used = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "counts": pa.array([table[i].astype(np.int32).tobytes() for i in used], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "counts": pa.array([table[i].tobytes() for i in used], pa.binary())})
 
     def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -265,7 +267,7 @@ def sketch(sets: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
+                total[part] = total.get(part, 0) + np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "counts": pa.array(
             [np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in total.values()], pa.binary())})
 
@@ -278,7 +280,7 @@ def sketch(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS, seed: int = SEED) -> DataFrame:
-    """k, token, node, n: the prefix of every set under every order."""
+    """k, token, node, n, place: the prefix of every set under every order, places from 1."""
     counts = sets.sparkSession.sparkContext.broadcast(sketch(sets))
     bound = _share_bound(percent)
 
@@ -297,21 +299,37 @@ def prefixes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS, seed
             node, n = batch.column("node").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
             for k in range(orders):
                 order = np.lexsort((rank << np.uint64(57) | _mix(tokens, seed + k) >> np.uint64(7), rows))
-                chosen = order[(np.arange(len(order)) - ends[rows]) < take[rows]]  # lexsort keeps each row's tokens in its place
-                own = rows[chosen]
+                place = np.arange(len(order)) - ends[rows] + 1  # lexsort keeps each row's tokens in its place
+                first = place <= take[rows]
+                chosen, place, own = order[first], place[first], rows[first]
                 yield pa.RecordBatch.from_pydict({
-                    "k": pa.array(np.full(len(own), k, np.int32)), "token": pa.array(tokens[chosen].view(np.int64)), "node": pa.array(node[own]), "n": pa.array(n[own].astype(np.int32))})
+                    "k": pa.array(np.full(len(own), k, np.int32)), "token": pa.array(tokens[chosen].view(np.int64)), "node": pa.array(node[own]), "n": pa.array(n[own].astype(np.int32)),
+                    "place": pa.array(place.astype(np.int32))})
 
-    return sets.mapInArrow(run, "k int, token bigint, node bigint, n int")
+    return sets.mapInArrow(run, "k int, token bigint, node bigint, n int, place int")
 
 
-def star_pairs(lists: DataFrame, centres: int = CENTRES, orders: int = ORDERS, seed: int = SEED) -> DataFrame:
-    """a, b, n: pairs that some centre of a shared list makes under every order. Centre s is the node nearest to a constant by xor."""
+def star_pairs(lists: DataFrame, labels: DataFrame | None = None, centres: int = CENTRES, orders: int = ORDERS, seed: int = SEED) -> DataFrame:
+    """a, b, n: each node with, per fixed permutation, the first centre of all its lists; pairs that come up under every order.
+
+    The centre of a list is its node nearest to a constant by xor, so one constant makes one permutation. Lists and pairs within
+    one component of ``labels`` (node, label) are left out. There are at most ``centres`` pairs per node.
+    """
     marks = [int(x) for x in np.random.default_rng(seed).integers(-(1 << 62), 1 << 62, centres)]
-    best = lists.groupBy("k", "token").agg(F.count(F.lit(1)).alias("members"), *[F.min(F.col("node").bitwiseXOR(F.lit(m))).alias(f"c{i}") for i, m in enumerate(marks)])
-    best = best.filter("members > 1").select("k", "token", F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(marks)])).alias("centres"))
-    made = lists.join(best, ["k", "token"]).select("k", "node", "n", F.explode("centres").alias("centre")).filter("node <> centre")
-    return _under_all_orders(made.select("k", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "n"), orders)
+    near = lambda m: F.col("node").bitwiseXOR(F.lit(m))
+    rows = lists if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = F.count(F.lit(1)) > 1 if labels is None else F.min("label") != F.max("label")
+    best = rows.groupBy("k", "token").agg(apart.alias("apart"), *[F.min(near(m)).alias(f"c{i}") for i, m in enumerate(marks)]).filter("apart")
+    met = lists.join(best.drop("apart"), ["k", "token"])
+    first = met.groupBy("k", "node").agg(F.max("n").alias("n"), *[F.min(F.when(F.col(f"c{i}") != near(m), F.col(f"c{i}"))).alias(f"c{i}") for i, m in enumerate(marks)])
+    own = F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(marks)]))
+    made = first.select("k", "node", "n", F.explode(F.filter(own, lambda c: c.isNotNull())).alias("centre"))
+    pairs = _under_all_orders(made.select("k", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "n"), orders)
+    if labels is None:
+        return pairs
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "n")
 
 
 def _under_all_orders(pairs: DataFrame, orders: int) -> DataFrame:
@@ -328,9 +346,12 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int = PERCENT, ord
     each = named.groupBy("k", "token", "label").agg(F.count(F.lit(1)).alias("members"))
     mixed = each.groupBy("k", "token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label"))["label"].alias("major")).filter("labels > 1").drop("labels")
     rows = written(named.join(mixed, ["k", "token"]).withColumn("minor", F.col("label") != F.col("major")))
-    left = rows.filter("minor").select("k", "token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    right = rows.select("k", "token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "minor")
+    left = rows.filter("minor").select("k", "token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"))
+    right = rows.select("k", "token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), "minor")
+    # at the first token that two sets share, no more than what follows it in either prefix order can be common
+    common = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     made = left.join(right, ["k", "token"]).filter(
+        ((100 + percent) * common >= percent * (F.col("nx") + F.col("ny"))) &
         (F.col("lx") != F.col("ly")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
     return _under_all_orders(made.select("k", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.greatest("nx", "ny").alias("n")), orders)
 
@@ -377,17 +398,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk_to
     return written(met.mapInArrow(compare, "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, centres: int = CENTRES) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, centres: int = CENTRES,
+                    rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = shared_tokens(docs, size)
     open_ = rows.filter((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n")))
     classes = written(open_.groupBy(F.col("sig_a").alias("node"), "sig_b").agg(F.min("doc_id").alias("rep")))
     sets = class_sets(docs, classes, size)
     lists = written(prefixes(sets, percent, orders))
-    links = [verified(star_pairs(lists, centres, orders), sets, percent)]
-    labels = written(components(links[0]))
+    links, labels = [], None
+    for i in range(rounds):
+        links.append(verified(star_pairs(lists, labels, centres, orders, SEED + i), sets, percent))
+        if i and links[-1].isEmpty():
+            break
+        labels = written(components(reduce(DataFrame.union, links)))
     links.append(verified(cross_pairs(lists, labels, percent, orders), sets, percent))
-    labels = written(components(reduce(DataFrame.union, links)))
+    if not links[-1].isEmpty():
+        labels = written(components(reduce(DataFrame.union, links)))
     named = rows.join(labels.withColumnRenamed("node", "sig_a"), "sig_a", "left")
     named = named.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sig_a")))
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -98,7 +98,7 @@ def test_small_blocks_and_chunks(spark, monkeypatch):
 def test_pairs_of_a_list_grow_with_its_length(spark):
     made = []
     for members in (100, 400):
-        lists = spark.range(members).selectExpr("explode(array(0, 1, 2)) as k", "5 as token", "xxhash64(id) as node", "10 as n")
+        lists = spark.range(members).selectExpr("explode(array(0, 1, 2)) as k", "5 as token", "xxhash64(id) as node", "10 as n", "1 as place")
         made.append(mo.star_pairs(lists).count())
     assert made[1] <= 5 * made[0] and made[1] <= 400 * mo.CENTRES
 
