@@ -113,24 +113,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The documents with size, source_size, target and copies (0 to ``most``)."""
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = docs.select(*names, word_count(F.col("text")).alias("size"), source_key(F.col("source")).alias("key"))
-    histogram = written(sized.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")))
+    # the document's own columns travel as one, so that none of them meets a name used here
+    sized = docs.select(
+        F.struct(*names).alias("doc"), word_count(F.col("text")).alias("size"), source_key(F.col("source")).alias("key"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("pick"))
+    histogram = written(sized.groupBy("key", F.col("doc.source").alias("source"), "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = histogram.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     shares = written(targets(sizes, weights, most))
     plan = written(fit_sources(histogram, shares, seed, exact_words))
     rows = histogram.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, rows // max(bucket_rows, math.isqrt(rows)))
-    pick = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    sized = sized.withColumn("pick", pick).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "pick"), F.lit(buckets)))
-    # the bucket in which the wanted number of documents is reached, and how many of it are wanted
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "pick"), F.lit(buckets)))
+    # how many documents of each bucket are wanted: all of the first ones, some of the one that reaches the number
     group = Window.partitionBy("key", "size").orderBy("bucket")
     counted = sized.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    reached = counted.withColumn("before", F.sum("n").over(group) - F.col("n"))
-    cuts = reached.join(plan, ["key", "size"]).groupBy("key", "size", "whole", "extra").agg(
-        F.max(F.when(F.col("before") < F.col("extra"), F.struct("bucket", (F.col("extra") - F.col("before")).alias("wanted")))).alias("cut"))
-    cuts = cuts.join(shares.select("key", "source_size", "target"), "key")
-    own = Window.partitionBy("key", "size", "bucket").orderBy("pick", "doc_id")
-    ranked = sized.withColumn("rank", F.row_number().over(own)).join(cuts, ["key", "size"], "left")
-    more = (F.col("bucket") < F.col("cut.bucket")) | ((F.col("bucket") == F.col("cut.bucket")) & (F.col("rank") <= F.col("cut.wanted")))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(more, F.lit(False)).cast("bigint")).otherwise(F.lit(0))
-    return ranked.select(*names, "size", "source_size", "target", copies.cast("bigint").alias("copies"))
+    reached = counted.withColumn("before", F.sum("n").over(group) - F.col("n")).join(plan, ["key", "size"])
+    wanted = reached.join(shares.select("key", "source_size", "target"), "key").select(
+        "key", "size", "bucket", "whole", (F.col("extra") - F.col("before")).alias("wanted"), "source_size", "target")
+    own = Window.partitionBy("key", "size", "bucket").orderBy("pick", F.col("doc.doc_id"))
+    ranked = sized.withColumn("rank", F.row_number().over(own)).join(wanted, ["key", "size", "bucket"])
+    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("rank") <= F.col("wanted")).cast("bigint")).otherwise(F.lit(0))
+    return ranked.select("doc.*", "size", "source_size", "target", copies.cast("bigint").alias("copies"))
