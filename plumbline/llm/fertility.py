@@ -13,10 +13,12 @@ like a new one.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +30,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 18
+ASCII_LETTERS = string.ascii_letters.encode()
 
 
 @dataclass(frozen=True)
@@ -75,42 +78,57 @@ def script(char: str) -> str | None:
 
 
 class WordCosts(dict):
-    """word -> (token ids, byte-fallback tokens, code points, marked signs, letters by script)."""
+    """word -> (token ids, (tokens, byte-fallback tokens, code points, marked signs), letters by script)."""
 
     def __init__(self, model_file: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.is_byte = [self.model.is_byte(i) for i in range(self.model.get_piece_size())]
+        self.byte_ids = frozenset(i for i in range(self.model.get_piece_size()) if self.model.is_byte(i))
         self.scripts: dict[str, str | None] = {}
 
-    def __missing__(self, word: bytes):
-        if len(self) > CACHED_WORDS:
+    def script_of(self, char: str) -> str | None:
+        if char not in self.scripts:
+            self.scripts[char] = script(char)
+        return self.scripts[char]
+
+    def of(self, wanted) -> list[tuple]:
+        """Costs of many words; new ones are tokenised together."""
+        new = [w for w in wanted if w not in self]
+        fresh = dict(zip(new, self._learn(new), strict=True)) if new else {}
+        out = [self[w] if w in self else fresh[w] for w in wanted]
+        if len(self) + len(fresh) > CACHED_WORDS:
             self.clear()
-        text = word.decode()
-        ids = self.model.encode(text)
-        letters: Counter = Counter()
-        for c in text:
-            if c not in self.scripts:
-                self.scripts[c] = script(c)
-            letters[self.scripts[c]] += 1
-        letters.pop(None, None)
-        out = (ids, sum(self.is_byte[i] for i in ids), len(text), sum(word.count(s) for s in SYMBOLS), dict(letters))
-        if len(word) <= 64:  # longer ones hardly come again
-            self[word] = out
+        self.update(fresh)
         return out
 
-
-def repeated_words(found: list[bytes]) -> int:
-    """Words inside three-word windows that the text holds at least twice."""
-    if len(found) < 4:
-        return 0
-    windows = list(zip(found, found[1:], found[2:]))
-    times = Counter(windows)
-    if len(times) == len(windows):
+    def _learn(self, new: list[bytes]) -> Iterator[tuple]:
+        texts = [w.decode() for w in new]
+        for word, text, ids in zip(new, texts, self.model.encode(texts, num_threads=1), strict=True):
+            spelled = sum(map(self.byte_ids.__contains__, ids)) if not text.isascii() or not text.isprintable() else 0
+            if text.isascii():
+                n = len(word) - len(word.translate(None, ASCII_LETTERS))
+                letters = (("LATIN", n),) if n else ()
+            else:
+                found = Counter(map(self.script_of, text))
+                found.pop(None, None)
+                letters = tuple(found.items())
+            yield ids, (len(ids), spelled, len(text), len(word) - len(word.translate(None, SYMBOLS))), letters
+
+
+def repeated_words(index: np.ndarray) -> int:
+    """Words inside three-word windows that the text holds at least twice; words come as numbers below 2^21."""
+    if len(index) < 4:
         return 0
-    twice = np.fromiter((times[w] > 1 for w in windows), bool, len(windows))
-    inside = np.zeros(len(found), bool)
+    if index.max() >= 1 << 21:
+        index = np.unique(index, return_inverse=True)[1]
+    first, last = index[:-2] << 21 | index[1:-1], index[2:]
+    if index.max() >= 1 << 21:  # more than two million different words: pairs are numbered first
+        first = np.unique(first, return_inverse=True)[1]
+    windows = first << 21 | last
+    _, where, times = np.unique(windows, return_inverse=True, return_counts=True)
+    twice = times[where] > 1
+    inside = np.zeros(len(index), bool)
     for k in range(3):
         inside[k : k + len(twice)] |= twice
     return int(inside.sum())
@@ -125,24 +143,23 @@ def repeated_lines(text: str | None) -> int:
 def measure(text: str | None, costs: WordCosts, bands: dict[str, Band] = BANDS) -> dict:
     found = words(text)
     times = Counter(found)
-    tokens: Counter = Counter()
-    letters: Counter = Counter()
-    n_bytes = chars = symbols = 0
-    for word, n in times.items():
-        ids, spelled, points, marks, own = costs[word]
-        for i in ids:
-            tokens[i] += n
-        n_bytes, chars, symbols = n_bytes + n * spelled, chars + n * points, symbols + n * marks
-        for s, k in own.items():
-            letters[s] += n * k
-    total = sum(tokens.values())
-    p = np.fromiter(tokens.values(), float, len(tokens)) / max(1, total)
+    place = dict(zip(times, range(len(times))))
+    own = costs.of(times)
+    n = np.fromiter(times.values(), np.int64, len(times))
+    per_word = np.array([c[1] for c in own], np.int64).reshape(-1, 4)  # tokens, byte tokens, code points, marked signs
+    total, n_bytes, chars, symbols = (n @ per_word).tolist()
+    _, where = np.unique(np.fromiter(chain.from_iterable(c[0] for c in own), np.int64, int(per_word[:, 0].sum())), return_inverse=True)
+    p = np.bincount(where, np.repeat(n, per_word[:, 0])) / max(1, total)
     entropy = float(-(p * np.log2(p)).sum()) if total else 0.0
+    letters: dict[str, int] = {}
+    for (_, _, scripts), k in zip(own, times.values(), strict=True):
+        for s, m in scripts:
+            letters[s] = letters.get(s, 0) + k * m
     found_script = min(letters, key=lambda s: (-letters[s], s)) if letters else "OTHER"
     per_token, share = (chars / total, n_bytes / total) if total else (0.0, 0.0)
     return {
         "n_words": len(found), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": repeated_lines(text),
-        "n_repeat_words": repeated_words(found), "script": found_script, "n_tokens": total, "chars_per_token": per_token,
+        "n_repeat_words": repeated_words(np.fromiter(map(place.__getitem__, found), np.int64, len(found))), "script": found_script, "n_tokens": total, "chars_per_token": per_token,
         "byte_share": share, "token_entropy": entropy, "in_band": bands[found_script].accepts(per_token, share, entropy, total),
     }
 
