@@ -28,9 +28,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every component of near copies; equal rows are kept once."""
     found = written(multi_order.near_duplicates(docs))
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    repeated = first.filter("rows > 1")
-    return docs.join(first.filter("rows = 1"), same, "left_semi").union(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once, more = first.filter("rows = 1"), first.filter("rows > 1")
+    same = lambda ids: docs["doc_id"].eqNullSafe(ids["_id"])
+    return docs.join(once, same(once), "left_semi").union(docs.join(more, same(more), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
