@@ -5,7 +5,7 @@ Documents are sets of hashed word shingles; two link when ``100 * intersection >
 1. *Shared tokens.* Blocks of documents send each of their tokens once, packed, to the shard of its hash; a token that two
    documents of a block hold needs no answer. A shard finds the tokens that several blocks sent and credits their documents.
    A document with fewer than ``percent`` of its tokens shared links with nothing and is done.
-2. *Equal sets* become one class; one member's set stands for it.
+2. *Equal sets* become one class; one member's set stands for it. Among these the count is repeated: copies no longer vouch for each other.
 3. *Prefixes.* A sketch counts the tokens of the classes' sets. Order k ranks tokens by how much their count stands out, then by
    the k-th hash. Two sets that link share a token among the first ``n - ceil(percent * n) + 1`` under every order, so a pair
    must come up under all orders. The orders differ, so chance pairs seldom do.
@@ -46,7 +46,7 @@ BLOCK_TOKENS = 1_000_000
 SHARD_BYTES = 4 << 20  # of text for each shard
 COUNTERS = 1 << 23
 COUNTER_BLOCK = 1 << 17
-ROUNDS = 3
+ROUNDS = 4
 CHUNK_TOKENS = 4_000_000
 MANY = 0xFFFF  # owner of a token that several documents of a block hold
 SEED = 17
@@ -223,6 +223,11 @@ def shared_tokens(docs: DataFrame, size: int = WORDS, block_tokens: int = BLOCK_
         add, "doc_id bigint, n int, sig_a bigint, sig_b bigint, shared bigint"))
 
 
+def _of_documents(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id and text of the documents that stand for a class."""
+    return docs.select("doc_id", "text").join(classes.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+
+
 def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFrame:
     """node, n, tokens: one set for each class (node, sig_b, rep), read again from the text of document ``rep``."""
     def run(batches: Iterator) -> Iterator:
@@ -237,8 +242,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFr
                 "node": pa.array(np.ascontiguousarray(sig[:, 0])), "sig_b": pa.array(np.ascontiguousarray(sig[:, 1])), "n": pa.array(np.diff(ends)),
                 "tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
-    chosen = docs.select("doc_id", "text").join(classes.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = chosen.mapInArrow(run, "node bigint, sig_b bigint, n int, tokens array<bigint>")
+    sets = _of_documents(docs, classes).mapInArrow(run, "node bigint, sig_b bigint, n int, tokens array<bigint>")
     wanted = sets.join(classes.select("node", "sig_b"), ["node", "sig_b"], "left_semi")
     return written(wanted.dropDuplicates(["node"]).select("node", "n", "tokens"))
 
@@ -309,6 +313,13 @@ def prefixes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS, seed
     return sets.mapInArrow(run, "k int, token bigint, node bigint, n int, place int")
 
 
+def _lists(rows: DataFrame) -> DataFrame:
+    """The rows of tokens that more than one set has in its prefix; one shuffle serves the count and the join."""
+    dealt = rows.repartition("k", "token")
+    several = dealt.groupBy("k", "token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("k", "token")
+    return written(dealt.join(several, ["k", "token"], "left_semi"))
+
+
 def star_pairs(lists: DataFrame, labels: DataFrame | None = None, centres: int = CENTRES, orders: int = ORDERS, seed: int = SEED) -> DataFrame:
     """a, b, n: each node with, per fixed permutation, the first centre of all its lists; pairs that come up under every order.
 
@@ -402,10 +413,13 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
                     rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = shared_tokens(docs, size)
-    open_ = rows.filter((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n")))
-    classes = written(open_.groupBy(F.col("sig_a").alias("node"), "sig_b").agg(F.min("doc_id").alias("rep")))
-    sets = class_sets(docs, classes, size)
-    lists = written(prefixes(sets, percent, orders))
+    enough = (F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))
+    by_set = rows.filter(enough).groupBy("sig_a", "sig_b")
+    classes = written(by_set.agg(F.min("doc_id").alias("rep")))
+    again = shared_tokens(_of_documents(docs, classes), size).filter(enough).select("sig_a", "sig_b").distinct()
+    classes = classes.join(again, ["sig_a", "sig_b"], "left_semi").select(F.col("sig_a").alias("node"), "sig_b", "rep")
+    sets = class_sets(docs, written(classes), size)
+    lists = _lists(prefixes(sets, percent, orders))
     links, labels = [], None
     for i in range(rounds):
         links.append(verified(star_pairs(lists, labels, centres, orders, SEED + i), sets, percent))
