@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-KEPT_SEGMENTS = 1 << 18
+KEPT_SEGMENTS = 3 << 18
 INFINITE = float("inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -86,7 +86,7 @@ class PieceTransducer:
         self.unknown_weight = 10.0 - worst
         self.ids = {p[0]: i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER)}
         self.agreed: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.grown: dict[int, list[tuple[str, str, float]]] = {}
         inside = {c for p in self.ids for c in p}
         lone = "".join(c for c in "\n\t\r" if c not in inside)  # in no piece, so paths may be cut around them
         blanks_lead = not any(BLANK in piece.lstrip(BLANK) for piece in self.ids)
@@ -107,71 +107,107 @@ class PieceTransducer:
             at = nxt
         self.ends[at] = number
 
-    def merged(self, text: str) -> list[str]:
-        """What merging gives for a short text: always the best piece among neighbours, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, where = -INFINITE, -1
-            for i in range(len(parts) - 1):
-                n = self.ids.get(parts[i] + parts[i + 1])
-                if n is not None and self.pieces[n][1] > best:
-                    best, where = self.pieces[n][1], i
-            if where < 0:
-                return parts
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+    def growth(self, piece: int) -> list[tuple[str, str, float]]:
+        """How merging builds a piece, always by the best pair, the leftmost of equals: (first symbol, last symbol, score of the next merge).
+
+        Empty if merging never builds it.
+        """
+        got = self.grown.get(piece)
+        if got is None:
+            parts, got = list(self.pieces[piece][0]), []
+            while True:
+                best, where = -INFINITE, -1
+                for i in range(len(parts) - 1):
+                    n = self.ids.get(parts[i] + parts[i + 1])
+                    if n is not None and self.pieces[n][1] > best:
+                        best, where = self.pieces[n][1], i
+                got.append((parts[0], parts[-1], best))
+                if where < 0:
+                    break
+                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+            self.grown[piece] = got = got if len(parts) == 1 else []
+        return got
 
     def agree(self, left: int, right: int) -> bool:
-        """Whether merging keeps two pieces apart. -1 stands for the start or a character outside the vocabulary."""
+        """Whether merging keeps two pieces apart. -1 stands for the start or a character outside the vocabulary.
+
+        Both pieces grow side by side, the better merge first; they stay apart if no merge across their border ever is the best.
+        """
         if left < 0 or right < 0:
-            other = max(left, right)
-            if other < 0:
-                return True
-            if other not in self.whole:
-                self.whole[other] = len(self.merged(self.pieces[other][0])) == 1
-            return self.whole[other]
-        got = self.agreed.get((left, right))
+            return max(left, right) < 0 or bool(self.growth(max(left, right)))
+        key = (left, right)
+        got = self.agreed.get(key)
         if got is None:
-            a, b = self.pieces[left][0], self.pieces[right][0]
-            got = self.agreed[left, right] = self.merged(a + b) == [a, b]
+            a, b, i, j = self.growth(left), self.growth(right), 0, 0
+            got = bool(a and b)
+            while got:
+                (_, last, mine), (first, _, theirs) = a[i], b[j]
+                n = self.ids.get(last + first)
+                if n is not None and (score := self.pieces[n][1]) > mine and score >= theirs:
+                    got = False
+                elif mine == theirs == -INFINITE:
+                    break
+                elif mine >= theirs:
+                    i += 1
+                else:
+                    j += 1
+            self.agreed[key] = got
         return got
 
-    def shortest(self, text: str) -> list[int]:
-        """Ids of the cheapest path through normalised text; every position keeps its cheapest arrival."""
+    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the pieces that start at a place, shortest first; a character outside the vocabulary is piece -1."""
+        trie, ends, node, end, out, n = self.trie, self.ends, 0, at, [], len(text)
+        while end < n and (node := trie[node].get(text[end], -1)) >= 0:
+            end += 1
+            if (piece := ends[node]) >= 0:
+                out.append((end, piece))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, -1))
+        return out
+
+    def _agreeing(self, text: str) -> list[tuple[int, int]]:
+        """Back arcs where arcs weigh 0 or infinity: each place has one finite arrival, so the first path found is the cheapest."""
+        n = len(text)
+        back = [(-2, -1)] * (n + 1)
+        back[0] = (-1, -1)
+        agreed, open_ = self.agreed, [0]
+        while open_ and back[n][0] == -2:
+            at = open_.pop()
+            left = back[at][1]
+            for end, piece in self.arcs(text, at):  # the longest is looked at next
+                if back[end][0] == -2:
+                    got = agreed.get((left, piece))
+                    if self.agree(left, piece) if got is None else got:
+                        back[end] = (at, piece)
+                        open_.append(end)
+        return back
+
+    def _weighted(self, text: str) -> list[tuple[int, int]]:
+        """Back arcs of the cheapest arrivals, place by place."""
         n = len(text)
-        weight, back, last = [INFINITE] * (n + 1), [(-1, -1)] * (n + 1), [-1] * (n + 1)
+        weight, back = [INFINITE] * (n + 1), [(-1, -1)] * (n + 1)
         weight[0] = 0.0
         for at in range(n):
-            here = weight[at]
-            if here == INFINITE:
-                continue
-            node, end, known = 0, at, False
-            while end < n and (node := self.trie[node].get(text[end], -1)) >= 0:
-                end += 1
-                piece = self.ends[node]
-                if piece < 0:
-                    continue
-                known = known or end == at + 1
-                if self.bpe:
-                    step = 0.0 if self.agree(last[at], piece) else INFINITE
-                else:
-                    step = -self.pieces[piece][1]
-                if here + step < weight[end]:
-                    weight[end], back[end], last[end] = here + step, (at, piece), piece
-            if not known:
-                step = 0.0 if self.bpe else self.unknown_weight
-                if here + step < weight[at + 1]:
-                    weight[at + 1], back[at + 1], last[at + 1] = here + step, (at, -1), -1
-        path, at = [], n
+            for end, piece in self.arcs(text, at):
+                step = weight[at] + (self.unknown_weight if piece < 0 else -self.pieces[piece][1])
+                if step < weight[end]:
+                    weight[end], back[end] = step, (at, piece)
+        return back
+
+    def shortest(self, text: str) -> list[int]:
+        """Ids of the cheapest path through normalised text."""
+        back = self._agreeing(text) if self.bpe else self._weighted(text)
+        path, at = [], len(text)
         while at:
             start, piece = back[at]
-            path.append((piece, text[start:at]))
+            path.append((piece, start, at))
             at = start
         out: list[int] = []
-        for piece, surface in reversed(path):
+        for piece, start, end in reversed(path):
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
-                out += [self.bytes[b] for b in surface.encode()]
+                out += [self.bytes[b] for b in text[start:end].encode()]
             else:
                 out.append(self.unknown)
         return out
