@@ -37,6 +37,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from plumbline.llm.common import written
 from plumbline.llm.components import components
+from plumbline.operators.joins import checked_broadcast
 
 WORDS = 5
 PERCENT = 80
@@ -49,6 +50,7 @@ COUNTER_BLOCK = 1 << 17
 ROUNDS = 4
 CHUNK_TOKENS = 4_000_000
 MANY = 0xFFFF  # owner of a token that several documents of a block hold
+BROADCAST_IDS = 2_000_000
 SEED = 17
 
 
@@ -224,8 +226,9 @@ def shared_tokens(docs: DataFrame, size: int = WORDS, block_tokens: int = BLOCK_
 
 
 def _of_documents(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id and text of the documents that stand for a class."""
-    return docs.select("doc_id", "text").join(classes.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    """doc_id and text of the documents that stand for a class. Up to ``BROADCAST_IDS`` ids are broadcast, so that no text is shuffled."""
+    ids = checked_broadcast(classes.select("rep").distinct(), BROADCAST_IDS)
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFrame:
