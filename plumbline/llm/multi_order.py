@@ -354,9 +354,7 @@ def _under_all_orders(pairs: DataFrame, orders: int) -> DataFrame:
 
 def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """a, b, n: pairs across components within lists that hold more than one, intersected over the orders."""
-    sizes = lists.groupBy("k", "token").agg(F.count(F.lit(1)).alias("members")).filter("members > 2").select("k", "token")
-    named = lists.join(sizes, ["k", "token"], "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = written(named)
+    named = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     each = named.groupBy("k", "token", "label").agg(F.count(F.lit(1)).alias("members"))
     mixed = each.groupBy("k", "token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label"))["label"].alias("major")).filter("labels > 1").drop("labels")
     rows = written(named.join(mixed, ["k", "token"]).withColumn("minor", F.col("label") != F.col("major")))

@@ -95,6 +95,19 @@ def test_small_blocks_and_chunks(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_single_copies_among_forms(spark):
+    """Forms of 80 to 89% common shingles do not link; the rare shingles that a form shares with its copy are in lists of two."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    form = [word() for _ in range(200)]
+    docs = [form + [word() for _ in range(rng.randint(25, 48))] for _ in range(200)]
+    docs += [d[:-1] + [word()] for d in docs[::10]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    want = brute(rows)
+    assert sum(i != c for i, _, c in want) == 20
+    assert run(spark, rows) == want
+
+
 def test_pairs_of_a_list_grow_with_its_length(spark):
     made = []
     for members in (100, 400):
