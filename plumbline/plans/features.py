@@ -158,6 +158,14 @@ QUERIES = [
               f"SELECT metric || '_{n}' AS metric, count({c}) AS present, sum({c}) AS total FROM x WHERE \"window\" = 7 GROUP BY 1"
               for n, c in [("rolling_7d_mean", "mean"), ("rolling_7d_std", "std"), ("rolling_7d_min", "min"), ("rolling_7d_max", "max"), ("zscore_7d", "zscore"),
                            ("anomaly_7d", "anomaly"), ("trend_7d", "trend"), ("diff_7d", "diff"), ("ratio_7d", "ratio")])),
+    Query("rolling_flat_windows", "metric:s present:i total:g",
+          lambda t: rolling.rolling_metrics(rolling.rolling_features(order_days(t))).groupBy("metric").agg(
+              F.count("value").alias("present"), F.sum("value").alias("total")),
+          "WITH x AS (" + _rolling_sql() + ") " + " UNION ALL ".join(
+              f"SELECT metric || '_{n.format(w)}' AS metric, count({c}) AS present, sum({c}) AS total FROM x WHERE \"window\" = {w} GROUP BY 1"
+              for w in (7, 14, 30, 90)
+              for n, c in [("rolling_{}d_mean", "mean"), ("rolling_{}d_std", "std"), ("rolling_{}d_min", "min"), ("rolling_{}d_max", "max"), ("zscore_{}d", "zscore"),
+                           ("anomaly_{}d", "anomaly"), ("trend_{}d", "trend"), ("diff_{}d", "diff"), ("ratio_{}d", "ratio")])),
     Query("lags", "period:d metric:s lag:i lagged:f diff:f", lambda t: rolling.lag_features(order_days(t)),
           f"WITH d AS ({ORDER_DAYS_SQL}) " + " UNION ALL ".join(
               f"""SELECT period, metric, {k} AS lag, coalesce(lag(value, {k}) OVER (PARTITION BY metric ORDER BY period), 0) AS lagged,
