@@ -61,7 +61,7 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def search_block(rows, queries, k: int, sigmas: float, seed: int = SEED, step: int = 128) -> Iterator[tuple]:
     """(query row, query id, vec_id, score) of the k best candidates of one block, for each query of another."""
-    stack = lambda f: np.stack(f["vector"].to_numpy()).astype(np.float32)
+    stack = lambda f: np.stack(f["vector"].to_numpy()).astype(np.float64)
     vectors, ids, marks = stack(rows), rows["vec_id"].to_numpy(), rows["row"].to_numpy()
     turn = rotation(vectors.shape[1], seed)
     lengths = rows["length"].to_numpy()

@@ -40,6 +40,13 @@ def test_repeated_rows_and_few_candidates(spark):
     assert got == [(3, 1, 3, 1.0), (3, 1, 3, 1.0), (3, 2, 4, 0.0), (3, 2, 4, 0.0)]
 
 
+def test_double_embeddings_keep_their_precision(spark):
+    rows = [(3, [1.0, 0.0]), (4, [0.5, 0.1]), (5, [0.5 + 1e-12, 0.1]), (7, [1e39, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in rc.nearest(table, F.col("vec_id") == 3, 3).orderBy("rank").collect()]
+    assert got == [(7, 1e39), (5, 0.5 + 1e-12), (4, 0.5)]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert run(spark, [(6, [1.0], "")]) == []
