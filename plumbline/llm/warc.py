@@ -97,7 +97,7 @@ def write_archives(records: DataFrame, roll_bytes: int = ROLL_BYTES) -> DataFram
                 member = gzip.compress(record_bytes(*(v.as_py() for v in row)), 5, mtime=0)
                 if out is None:
                     path, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)  # the members are the compression
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= roll_bytes:
@@ -224,7 +224,7 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False, rows: int = 2
         for batch in batches:
             for uri in batch["path"]:
                 fs, path = open_folder(uri)
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     found: list[dict] = []
                     for record in read_records(stream, keep_payload):
                         found.append(record)

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import io
+import re
+import zlib
 
 import pytest
 
@@ -43,6 +45,20 @@ def test_round_trip(spark):
         i: next(r[2] or "" for r in rows if r[0] == i) for i, e in expected(rows).items() if e[2] == "response"}
 
 
+def test_files_are_one_member_per_record(spark):
+    rows = [(i, "u", "".join(f"<p>{i * k}</p>" for k in range(300)), "") for i in range(40)]
+    for r in warc.write_archives(warc.choose_responses(pages(spark, rows)), roll_bytes=20_000).collect():
+        raw = open(re.sub("^file:/+", "/", r.path), "rb").read()
+        assert len(raw) == r.bytes
+        members = 0
+        while raw:
+            inflate = zlib.decompressobj(wbits=31)
+            block = inflate.decompress(raw)
+            assert inflate.eof and block.startswith(b"WARC/1.1\r\n") and block.endswith(b"\r\n\r\n")
+            raw, members = inflate.unused_data, members + 1
+        assert members == r.records
+
+
 def test_repeated_rows_and_null_ids(spark):
     html = "y" * 2000
     rows = [(5, "b", html, ""), (5, "b", html, ""), (5, "a", html, ""), (None, "c", html, ""), (2, "d", html, "")]
