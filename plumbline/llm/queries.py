@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import budget_mix, context_net, fertility, licences, line_index, multi_order, perspectives, piece_paths, rotated_codes, warc
+from plumbline.llm import (budget_mix, context_net, fertility, hard_negatives, licences, line_index, multi_order, perspectives, piece_paths, prefix_trie, rotated_codes,
+                           scaled_sketch, warc)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +62,23 @@ def op10_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return perspectives.rotate(_table(spark, folder, "conversations")).withColumn("spans", spans)
 
 
+def op11_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return scaled_sketch.fingerprint_edited(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec = F.col("vec_id")
+    table = _table(spark, folder, "embeddings").withColumn("label", F.when(vec % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(table, vec % 50 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conv = F.col("conv_id")
+    turns = prefix_trie.numbered(_table(spark, folder, "conversations"))
+    turns, convs = prefix_trie.grafted(turns, conv - conv % 5, F.crc32(conv.cast("string")) % 9, 8)
+    return prefix_trie.trie(turns, convs)
+
+
 SQL = {
     "op1_warc": """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes FROM pages),
@@ -109,11 +127,86 @@ SELECT conv_id, participant, part, CAST(count(*) AS INTEGER) AS n_turns, CAST(co
        string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, speaker, text) AS rendered,
        coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(text) + 10), ',' ORDER BY turn, speaker, text) FILTER (WHERE own), '') AS spans
 FROM w GROUP BY conv_id, participant, part""",
+    "op11_scaled_sketch": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS next_text,
+         coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+  FROM documents WINDOW o AS (ORDER BY doc_id DESC NULLS LAST)),
+e AS (SELECT doc_id, next_id, text, length(text) AS n_chars, left(text, length(text) - length(text) // 3) || left(next_text, length(text) // 3) AS edited FROM d),
+t AS (SELECT doc_id, 0 AS kind, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+w AS (SELECT doc_id, kind, list_filter(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '),
+                                       lambda x: x <> '') AS w FROM t),
+h AS (
+  SELECT doc_id, kind, list_sort(list_distinct(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: left(md5(array_to_string(list_slice(w, i, i + 4), ' ')), 16))
+    WHEN len(w) > 0 THEN [left(md5(array_to_string(w, ' ')), 16)] ELSE [] END)) AS h FROM w),
+s AS (
+  SELECT doc_id, kind, CASE WHEN len(list_filter(h, lambda x: x < '2')) >= 32 THEN list_filter(h, lambda x: x < '2') ELSE list_slice(h, 1, 32) END AS s FROM h),
+k AS (SELECT doc_id, kind, s, CASE WHEN len(s) < 32 THEN '~' ELSE greatest(s[-1], '1fffffffffffffff') END AS up FROM s),
+p AS (
+  SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, array_to_string(a.s, '') AS fingerprint, array_to_string(b.s, '') AS edited_fingerprint,
+         list_filter(a.s, lambda x: x <= least(a.up, b.up)) AS a1, list_filter(b.s, lambda x: x <= least(a.up, b.up)) AS b1,
+         list_filter(a.s, lambda x: x <= least(a.up, c.up)) AS a2, list_filter(c.s, lambda x: x <= least(a.up, c.up)) AS c2
+  FROM e JOIN k AS a ON a.doc_id IS NOT DISTINCT FROM e.doc_id AND a.kind = 0 JOIN k AS b ON b.doc_id IS NOT DISTINCT FROM e.doc_id AND b.kind = 1
+  JOIN k AS c ON c.doc_id IS NOT DISTINCT FROM e.next_id AND c.kind = 0)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN len(a1) + len(b1) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a1, b1))::DOUBLE / (len(a1) + len(b1) - len(list_intersect(a1, b1))) END AS near_edited,
+       CASE WHEN len(a2) + len(c2) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a2, c2))::DOUBLE / (len(a2) + len(c2) - len(list_intersect(a2, c2))) END AS near_next
+FROM p""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * c.q[i])) AS BIGINT) AS score
+  FROM v AS a JOIN v AS c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id AND len(a.q) = len(c.q)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
+    "op13_prefix_trie": """
+WITH s AS (
+  SELECT conv_id, turn, coalesce(text, '') AS x, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sym
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, sym, strlen(x) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sym) AS d FROM s),
+c AS (
+  SELECT conv_id, max(d) AS own, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 9 AS h
+  FROM t GROUP BY conv_id),
+p AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS taken FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+r AS (
+  SELECT p.conv_id, t.d, sym, bytes FROM p JOIN t ON t.conv_id = p.base AND t.d <= p.taken
+  UNION ALL SELECT p.conv_id, t.d - p.h + p.taken, sym, bytes FROM p JOIN t ON t.conv_id = p.conv_id AND t.d > p.h),
+m AS (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS bytes, (SELECT count(*) FROM r WHERE r.conv_id = p.conv_id) AS own FROM p
+  UNION ALL
+  SELECT conv_id, d, sha256(string_agg(sym, '') OVER (PARTITION BY conv_id ORDER BY d)), bytes, count(*) OVER (PARTITION BY conv_id) FROM r),
+w AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM m),
+n AS (
+  SELECT depth, path, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE own = depth), '')) AS ends_sha256
+  FROM w GROUP BY depth, path),
+k AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, path)),
+u AS (
+  SELECT m.depth, m.path, sum(CAST(f.n_children = 0 AS BIGINT)) AS n_leaves, sum(f.saved) AS saved_tokens
+  FROM f JOIN m ON m.conv_id = f.conv_id AND m.depth <= f.depth GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+       CAST(u.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN u USING (depth, path) LEFT JOIN n AS q ON q.depth = f.depth - 1 AND q.path = f.up""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_rotated_codes, op3_fertility, op4_budget_mix, op5_context_net, op6_multi_order, op7_piece_paths, op8_licences, op9_line_dedup, op10_perspectives)}
+    return {f.__name__: f for f in (op1_warc, op2_rotated_codes, op3_fertility, op4_budget_mix, op5_context_net, op6_multi_order, op7_piece_paths, op8_licences, op9_line_dedup, op10_perspectives, op11_scaled_sketch,
+                                    op12_hard_negatives, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,7 +16,7 @@ def duck():
 
 
 def test_all_are_there():
-    assert [n.split("_")[0] for n in NAMES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in NAMES] == [f"op{i}" for i in range(1, 14)]
     import __spark_entry__ as entry
 
     assert {*NAMES, "pipeline"} <= set(entry.queries()) and set(queries.oracle_sql()) <= set(entry.oracle_sql())
