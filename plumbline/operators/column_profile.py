@@ -10,11 +10,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import vocab
 from plumbline.functions import text
 from plumbline.functions.nulls import hits, number, ratio
 from plumbline.operators.counts import numeric_long, quantiles_of, text_long, top_values, value_counts
+from plumbline.operators.profile_state import Registry
+from plumbline.sources.checkpoint import cut
 from plumbline.types import columns_by_kind
 
 PATTERN_SHARE = 0.8
@@ -166,11 +169,12 @@ def profile_columns(
     samples: int = 5,
     approx_distinct: bool = False,
     whole_word: bool = False,
+    extra: Registry | None = None,
 ) -> DataFrame:
     """One row per column: counts, type, statistics that fit the type, smallest distinct values as samples.
 
     ``approx_distinct`` replaces the exact distinct count by a sketch, which spares the shuffle of all values; samples
-    are then left out.
+    are then left out. ``extra`` adds a column per own metric, from the same cells.
     """
     names = list(columns or df.columns)
     names = names[:limit] if limit else names
@@ -204,6 +208,14 @@ def profile_columns(
             out = out.withColumn(c, F.lit(None).cast("double"))
         for c in QUARTILES:
             out = out.withColumn(f"exact_{c}", F.lit(None).cast(EXACT))
+    own = []
+    for kind, value in (("numeric", number(F.expr("try_cast(value AS double)"))), ("text", F.col("value"))):
+        fits = [c for c, k in kinds.items() if k == kind]
+        if extra and extra.names(kind):
+            cells_of = cells.where(F.col("column").isin(*fits)).select(F.col("column").alias("_own_" + kind), value.alias("value"), "n")
+            found = extra.of(cells_of, ["_own_" + kind], kind)
+            out = out.join(found, out.column_name == found["_own_" + kind], "left")
+            own += extra.names(kind)
     is_num = F.col("data_type").isin("number", "integer")
     is_txt = F.col("data_type") == "string"
     is_date = F.col("data_type") == "date"
@@ -229,9 +241,133 @@ def profile_columns(
         keep(is_date, "min_date"), keep(is_date, "max_date"),
         F.when(is_date, F.floor((F.unix_timestamp("max_date") - F.unix_timestamp("min_date")) / 86400)).alias("date_range_days"),
         _personal(whole_word).alias("is_pii"),
+        *own,
     )
 
 
+NESTED = {T.ArrayType: "array", T.MapType: "map", T.StructType: "struct", T.BinaryType: "binary"}
+
+
+class NotProfiled(ValueError):
+    """A column type that no profile reads."""
+
+
+def _leaf(value: Column, dtype: T.DataType) -> Column | None:
+    """Text of a scalar, whole for floats; None if the type is no scalar."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return value.cast("double").cast("string")
+    return value.cast("string") if isinstance(dtype, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) else None
+
+
+def _paths(name: str, value: Column, dtype: T.DataType) -> tuple[list[Column], dict[str, str]]:
+    """Arrays of cells (path, kind, value) that a value gives, and the type of each path.
+
+    A nested value counts as its size under its own path; elements, keys, values and fields follow under ``name[]``, ``name.keys[]``, ``name.values[]`` and ``name.field``.
+    """
+    cell = lambda path, kind, text: F.struct(F.lit(path).alias("column"), F.lit(kind).alias("_kind"), text.alias("value"))
+    leaf = _leaf(value, dtype)
+    if leaf is not None:
+        kind = "numeric" if isinstance(dtype, T.NumericType) else "boolean" if isinstance(dtype, T.BooleanType) else "text" if isinstance(dtype, T.StringType) else "temporal"
+        return [F.array(cell(name, kind, leaf))], {name: dtype.simpleString()}
+    if isinstance(dtype, T.StructType):
+        cells, types = [F.array(cell(name, "nested", F.when(value.isNotNull(), F.lit(str(len(dtype.fields))))))], {name: "struct"}
+        for f in dtype.fields:
+            inner, found = _paths(f"{name}.{f.name}", value.getField(f.name), f.dataType)
+            cells += inner
+            types |= found
+        return cells, types
+    if isinstance(dtype, T.BinaryType):
+        return [F.array(cell(name, "nested", F.octet_length(value).cast("string")))], {name: "binary"}
+    if isinstance(dtype, (T.ArrayType, T.MapType)):
+        size = F.when(value.isNotNull(), F.size(value)).cast("string")
+        cells, types = [F.array(cell(name, "nested", size))], {name: NESTED[type(dtype)]}
+        inside = [(f"{name}[]", value, dtype.elementType)] if isinstance(dtype, T.ArrayType) else [
+            (f"{name}.keys[]", F.map_keys(value), dtype.keyType), (f"{name}.values[]", F.map_values(value), dtype.valueType)]
+        for path, elements, inner in inside:
+            _, found = _paths(path, F.lit(None), inner)
+            types |= found
+            none = F.array().cast("array<struct<column:string,_kind:string,value:string>>")
+            cells.append(F.coalesce(F.flatten(F.transform(elements, _element_cells(path, inner))), none))
+        return cells, types
+    raise NotProfiled(f"type {dtype.simpleString()} is not profiled")
+
+
+def _element_cells(path: str, dtype: T.DataType):
+    return lambda x: F.concat(*_paths(path, x, dtype)[0])
+
+
+def nested_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The facts of :func:`profile_columns` that fit for nested and binary columns and what lies in them, one row per path, with ``error``.
+
+    For a nested path ``min_length``, ``max_length`` and ``avg_length`` are sizes (elements, entries, bytes, fields) and nothing is told of distinct
+    values. Elements count as rows of their path. A column whose type cannot be read gives a row with an error and leaves the others alone.
+    """
+    skipped = [c for c in (columns or columns_by_kind(df).skipped)]
+    cells, types, errors = [], {}, {}
+    for c in skipped:
+        if c not in df.columns:
+            errors[c] = "no column of this name"
+            continue
+        try:
+            made, found = _paths(c, F.col(f"`{c}`"), df.schema[c].dataType)
+        except NotProfiled as e:
+            errors[c] = str(e)
+            continue
+        cells += made
+        types |= found
+    spark = df.sparkSession
+    failed = spark.createDataFrame(list(errors.items()), "column_name string, error string")  # one row per failing column
+    if not cells:
+        return failed.select("column_name", F.lit("unknown").alias("data_type"), *[F.lit(None).cast(t).alias(n) for n, t in _NESTED_FACTS], "error")
+    counted = cut(df.select(F.inline(F.concat(*cells))).groupBy("column", "_kind", "value").agg(F.count(F.lit(1)).alias("n")))
+    kinds = {r["column"]: r["_kind"] for r in counted.select("column", "_kind").distinct().collect()}  # one row per path of the schema
+    size = F.when(F.col("_kind") == "nested", F.col("value").cast("int"))
+    plain = {c: k for c, k in kinds.items() if k != "nested"}
+    sizes = counted.where(F.col("_kind") == "nested").groupBy("column").agg(
+        F.sum("n").alias("_rows"), F.coalesce(F.sum(F.when(size.isNotNull(), F.col("n"))), F.lit(0)).alias("_present"), F.min(size).alias("min_length"), F.max(size).alias("max_length"),
+        F.try_divide(F.sum(size * F.col("n")), F.sum(F.when(size.isNotNull(), F.col("n")))).alias("avg_length"))
+    null = lambda t: F.lit(None).cast(t)
+    label = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
+    share = F.round(F.coalesce(ratio(F.col("_rows") - F.col("_present"), F.col("_rows")), F.lit(0.0)) * 100, 2)
+    nested = sizes.select(
+        F.col("column").alias("column_name"), F.element_at(label, F.col("column")).alias("data_type"), (F.col("_rows") - F.col("_present")).alias("null_count"), share.alias("null_percentage"),
+        null("bigint").alias("distinct_count"), *[null("double").alias(c) for c in ("min", "max", "mean", "std", "median", "quartile_1", "quartile_3")],
+        "min_length", "max_length", F.round("avg_length", 2).alias("avg_length"), null("string").alias("error"))
+    out = nested
+    if plain:
+        flat = counted.where(F.col("_kind") != "nested").select("column", "value", "n")
+        facts = scan_cells(flat, plain).withColumn("data_type", _semantic_type())
+        v = number(F.expr("try_cast(value AS double)"))
+        numbers = flat.where(F.col("column").isin(*[c for c, k in plain.items() if k == "numeric"])).select("column", v.alias("value"), "n").where(F.col("value").isNotNull())
+        means = numbers.groupBy("column").agg(F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("mean"), F.sum("n").alias("_k"))
+        spread = numbers.join(means, "column").groupBy("column").agg(
+            F.first("mean").alias("mean"), F.sqrt(F.try_divide(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), F.lit(2.0))), F.first("_k") - 1)).alias("std"))
+        stats = spread.join(quantiles_of(numbers, ["column"], QUARTILES), "column").withColumnRenamed("column", "_of")
+        facts = facts.join(stats, facts.column_name == stats._of, "left")
+        text_of = lambda c: F.when(F.col("data_type") == "string", F.col(c)).alias(c)
+        out = out.unionByName(facts.select(
+            "column_name", "data_type", (F.col("_rows") - F.col("_present")).alias("null_count"), share.alias("null_percentage"), F.col("_distinct_cells").alias("distinct_count"),
+            "min", "max", F.round("mean", 2).alias("mean"), F.round("std", 2).alias("std"), "median", "quartile_1", "quartile_3", text_of("min_length"), text_of("max_length"),
+            F.when(F.col("data_type") == "string", F.round("avg_length", 2)).alias("avg_length"), null("string").alias("error")))
+    return out.unionByName(failed.select("column_name", F.lit("unknown").alias("data_type"), *[null(t).alias(n) for n, t in _NESTED_FACTS], "error"))
+
+
+_NESTED_FACTS = [("null_count", "bigint"), ("null_percentage", "double"), ("distinct_count", "bigint"), *[(c, "double") for c in ("min", "max", "mean", "std", "median", "quartile_1", "quartile_3")],
+                 ("min_length", "int"), ("max_length", "int"), ("avg_length", "double")]
+
+
+def profile_table(df: DataFrame, columns: list[str] | None = None, **how) -> DataFrame:
+    """:func:`profile_columns` and, in the same columns, :func:`nested_profile`: a row for every column of the table, whatever its type, with ``error``."""
+    names = list(columns or df.columns)
+    nested = [c for c in names if c not in df.columns or c in columns_by_kind(df).skipped]
+    plain = [c for c in names if c not in nested]
+    flat = profile_columns(df, plain, **how).withColumn("error", F.lit(None).cast("string")) if plain else None
+    if not nested:
+        return flat
+    inner = nested_profile(df, nested)
+    return inner if flat is None else flat.unionByName(inner, allowMissingColumns=True)
+
+
 def profile_long(profile: DataFrame) -> DataFrame:
     """(column_name, metric, value) with values as text, timestamps in ISO form; NULL metrics are left out."""
     metrics = [c for c in profile.columns if c != "column_name"]

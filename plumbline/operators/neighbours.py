@@ -34,15 +34,21 @@ def places(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
 def parts(pts: DataFrame, dims: int, leaf: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """The places with their part, and the cuts (part, feature, border) of every round.
 
-    A part is not cut along a feature where ties would leave one half with fewer than ``least`` places.
+    The cut goes at the middle value, or right below it where too few places lie above (a feature capped at its maximum). A part
+    is not cut along a feature where neither leaves ``least`` places on both sides.
     """
     now = cut(pts.withColumn("part", F.lit(0).cast("bigint")))
     rounds, idle, turn = [], 0, 0
     while idle < dims:
         x = F.col(f"a{turn % dims}")
-        full = now.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(x, 0.5).alias("border")).where(F.col("_n") > leaf)
-        halves = now.join(full, "part").groupBy("part", "border").agg(F.count_if(x <= F.col("border")).alias("_l"), F.count_if(x > F.col("border")).alias("_h"))
-        cuts = cut(halves.where((F.col("_l") >= least) & (F.col("_h") >= least)).select("part", "border", F.lit(turn % dims).alias("feature")))
+        full = now.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(x, 0.5).alias("_middle")).where(F.col("_n") > leaf)
+        middle = F.col("_middle")
+        sides = now.join(full, "part").groupBy("part", middle).agg(
+            F.count_if(x < middle).alias("_below"), F.count_if(x > middle).alias("_above"), F.count(F.lit(1)).alias("_n"), F.max(F.when(x < middle, x)).alias("_lower"))
+        # ties with the middle go to either side: below it or above it must lie enough places for a cut
+        border = F.when((F.col("_above") >= least) & (F.col("_n") - F.col("_above") >= least), middle).when(
+            (F.col("_below") >= least) & (F.col("_n") - F.col("_below") >= least), F.col("_lower"))
+        cuts = cut(sides.select("part", border.alias("border"), F.lit(turn % dims).alias("feature")).where(F.col("border").isNotNull()))
         turn += 1
         if cuts.isEmpty():
             idle += 1

@@ -10,26 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
-from plumbline.functions.calendar import period_label
 from plumbline.functions.nulls import number, ratio
 from plumbline.operators.counts import (
     on_keys, numeric_long, quantiles_of, text_long, top_values, value_counts,
 )
+from plumbline.operators.profile_state import PC, Registry, duplicate_rows, numbers_of, texts_of, value_state, with_period
+from plumbline.sources.checkpoint import cut
 from plumbline.types import columns_by_kind
 
 QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-PC = ["period", "column"]
-
-
-def with_period(df: DataFrame, ts: str, period: str, label: str = "start") -> DataFrame:
-    """Adds ``period``; rows without a time belong to no window and are left out."""
-    return df.where(F.col(ts).isNotNull()).withColumn("period", period_label(F.col(ts).cast("timestamp"), period, label))
 
 
 def table_metrics(df: DataFrame, ts: str, period: str = "day", label: str = "start") -> DataFrame:
     """Rows, columns, missing cells and duplicate rows per window; the time column itself is left out."""
     cols = [c for c in df.columns if c != ts]
-    missing = sum((F.when(_absent(df, c), 1).otherwise(0) for c in cols), F.lit(0))
+    missing = _missing(df, cols)
     out = with_period(df, ts, period, label).groupBy("period").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.sum(missing).alias("missing_values_total"),
@@ -44,6 +39,10 @@ def table_metrics(df: DataFrame, ts: str, period: str = "day", label: str = "sta
     )
 
 
+def _missing(df: DataFrame, cols: list[str]) -> Column:
+    return sum((F.when(_absent(df, c), 1).otherwise(0) for c in cols), F.lit(0))
+
+
 def _absent(df: DataFrame, c: str) -> Column:
     return F.col(c).isNull() | F.isnan(c) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c).isNull()
 
@@ -54,7 +53,12 @@ def numeric_metrics(
     """One row per (period, column): counts, moments, quantiles, drift against the whole table, outliers, entropy."""
     cols = list(columns or columns_by_kind(df, (ts,)).numeric)
     long = numeric_long(with_period(df, ts, period, label), ["period"], cols)
-    counts = value_counts(long, PC, keep_null=True).withColumn(
+    return numeric_from_counts(value_counts(long, PC, keep_null=True))
+
+
+def numeric_from_counts(counts: DataFrame) -> DataFrame:
+    """The metrics of :func:`numeric_metrics` from (period, column, value, n), rows without a value included."""
+    counts = counts.withColumn(
         "n_all", F.col("n")
     ).withColumn("n", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0)))
     v, w = F.col("value"), F.col("n")
@@ -142,21 +146,26 @@ def velocity(
     df: DataFrame, ts: str, columns: list[str], key: str, period: str = "day", label: str = "start"
 ) -> DataFrame:
     """(period, column, velocity): last minus first value of the window over its value count; ``key`` breaks ties."""
-    picks = []
-    for c in columns:
-        v = number(F.col(c))
-        at = F.when(v.isNotNull(), F.struct(F.col(ts), F.col(key)))
-        change = (F.max_by(v, at) - F.min_by(v, at)) / F.count(v)
-        picks.append(F.struct(F.lit(c).alias("column"), F.when(F.count(v) > 1, change).alias("velocity")))
+    picks = [F.struct(F.lit(c).alias("column"), _velocity(c, ts, key).alias("velocity")) for c in columns]
     out = with_period(df, ts, period, label).groupBy("period").agg(F.array(*picks).alias("_v"))
     return out.select("period", F.inline("_v"))
 
 
+def _velocity(c: str, ts: str, key: str) -> Column:
+    v = number(F.col(c))
+    at = F.when(v.isNotNull(), F.struct(F.col(ts), F.col(key)))
+    return F.when(F.count(v) > 1, (F.max_by(v, at) - F.min_by(v, at)) / F.count(v))
+
+
 def category_metrics(
     df: DataFrame, ts: str, period: str = "day", columns: list[str] | None = None, label: str = "start"
 ) -> DataFrame:
     """One row per (period, column): counts, most common value, entropy (natural logarithm)."""
-    counts = _category_counts(df, ts, period, columns, label)
+    return category_from_counts(_category_counts(df, ts, period, columns, label))
+
+
+def category_from_counts(counts: DataFrame) -> DataFrame:
+    """The metrics of :func:`category_metrics` from (period, column, value, n), rows without a value included."""
     present = F.when(F.col("value").isNotNull(), F.col("n"))
     facts = counts.groupBy(*PC).agg(
         F.sum("n").alias("_rows"), F.coalesce(F.sum(present), F.lit(0)).alias("count"),
@@ -203,17 +212,21 @@ def correlation_metrics(
     df: DataFrame, ts: str, columns: list[str], period: str = "day", label: str = "start"
 ) -> DataFrame:
     """(period, metric, value): Pearson correlation of each column pair and their mean absolute value."""
-    cols = [number(F.col(c)).alias(c) for c in columns]
-    base = with_period(df, ts, period, label).select("period", *cols)
+    aggs, names = _correlations(columns)
+    wide = _with_mean_correlation(with_period(df, ts, period, label).groupBy("period").agg(*aggs), names)
+    return wide.unpivot(["period"], [*names, "avg_abs_correlation"], "metric", "value")
+
+
+def _correlations(columns: list[str]) -> tuple[list[Column], list[str]]:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = base.groupBy("period").agg(
-        *[stats.correlation(F.col(a), F.col(b)).alias(f"corr_{a}_{b}") for a, b in pairs]
-    )
     names = [f"corr_{a}_{b}" for a, b in pairs]
+    return [stats.correlation(number(F.col(a)), number(F.col(b))).alias(n) for (a, b), n in zip(pairs, names)], names
+
+
+def _with_mean_correlation(wide: DataFrame, names: list[str]) -> DataFrame:
     known = F.array_compact(F.array(*[F.abs(F.col(c)) for c in names]))
     mean_abs = ratio(F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x), F.size(known))
-    wide = wide.withColumn("avg_abs_correlation", mean_abs)
-    return wide.unpivot(["period"], [*names, "avg_abs_correlation"], "metric", "value")
+    return wide.withColumn("avg_abs_correlation", mean_abs)
 
 
 def business_metrics(
@@ -224,9 +237,14 @@ def business_metrics(
 
     ``per_column=True`` gives ``total_{group}_{column}`` and ``avg_{group}_{column}`` instead of group totals.
     """
+    wide = with_period(df, ts, period, label).groupBy("period").agg(*_business(groups, df.columns, per_column))
+    return wide.unpivot(["period"], wide.columns[1:], "metric", "value")
+
+
+def _business(groups: dict[str, list[str]], known: list[str], per_column: bool = False) -> list[Column]:
     aggs: list[Column] = []
     for g, cols in groups.items():
-        cols = [c for c in cols if c in df.columns]
+        cols = [c for c in cols if c in known]
         num = {c: number(F.col(c)) for c in cols}
         if per_column:
             for c in cols:
@@ -241,8 +259,7 @@ def business_metrics(
         aggs.append(total.alias(f"total_{g}"))
         aggs += [F.avg(num[c]).alias(f"avg_{c}_{g}") for c in cols]
         aggs += [ratio(sums[a], sums[b]).alias(f"ratio_{a}_{b}_{g}") for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = with_period(df, ts, period, label).groupBy("period").agg(*aggs)
-    return wide.unpivot(["period"], wide.columns[1:], "metric", "value")
+    return aggs
 
 
 LIGHT_METRICS = ("count", "mean", "std", "min", "max", "p25", "p75", "mean_vs_global", "zscore", "outliers_pct")
@@ -272,22 +289,32 @@ def table_to_metrics(table: DataFrame) -> DataFrame:
 def period_profile(
     df: DataFrame, ts: str, period: str = "day", correlation: list[str] | None = None,
     business: dict[str, list[str]] | None = None, rate: list[str] | None = None, skip: tuple[str, ...] = (),
-    key: str | None = None, label: str = "start",
+    key: str | None = None, label: str = "start", extra: Registry | None = None,
 ) -> DataFrame:
-    """(period, metric, value): every window metric of the table."""
+    """(period, metric, value): every window metric of the table, and the metrics of the registry ``extra``.
+
+    The table is read twice: once for the distinct values of its columns and its distinct rows, from which all metrics of single columns
+    and the duplicates follow, and once for what needs whole rows (missing cells, correlations, totals, rates).
+    """
     use = df.drop(*skip)
     kinds = columns_by_kind(use, (ts,))
-    out = table_to_metrics(table_metrics(use, ts, period, label))
-    if kinds.numeric:
-        out = out.unionByName(to_metrics(numeric_metrics(use, ts, period, list(kinds.numeric), label)))
-    if kinds.categorical:
-        out = out.unionByName(to_metrics(category_metrics(use, ts, period, list(kinds.categorical), label)))
-    if rate:
-        out = out.unionByName(to_metrics(velocity(df, ts, rate, key or df.columns[0], period, label)))
-    if correlation and len(correlation) > 1:
-        out = out.unionByName(correlation_metrics(df, ts, correlation, period, label))
-    if business:
-        out = out.unionByName(business_metrics(df, ts, business, period, label=label))
+    names = [c for c in use.columns if c != ts]
+    state = cut(value_state(use, ts, period, list(kinds.numeric), list(kinds.categorical), label, names))
+    numbers, texts = numbers_of(state, list(kinds.numeric)), texts_of(state, list(kinds.categorical))
+    aggs, pairs = _correlations(correlation or [])
+    aggs += _business(business or {}, df.columns)
+    aggs += [_velocity(c, ts, key or df.columns[0]).alias(f"{c}_velocity") for c in rate or []]
+    n = F.count(F.lit(1))
+    rows = with_period(df, ts, period, label).groupBy("period").agg(
+        F.lit(len(names)).alias("column_count"), F.sum(_missing(use, names)).alias("missing_values_total"),
+        (F.sum(_missing(use, names)) * 100.0 / (n * len(names))).alias("missing_values_pct"), *aggs)
+    rows = _with_mean_correlation(rows, pairs) if pairs else rows
+    out = table_to_metrics(rows).unionByName(table_to_metrics(duplicate_rows(state)))
+    for kind, counts, columns, finish in (("numeric", numbers, kinds.numeric, numeric_from_counts), ("text", texts, kinds.categorical, category_from_counts)):
+        if columns:
+            out = out.unionByName(to_metrics(finish(counts)))
+            if extra and extra.names(kind):
+                out = out.unionByName(to_metrics(extra.of(counts, PC, kind)))
     return out
 
 

@@ -63,6 +63,13 @@ def seasonality(df: DataFrame, ts: str, value: str) -> DataFrame:
     return found.withColumn("has_daily", F.coalesce(spread.scalar(), F.lit(False)))
 
 
+def daily_variation(df: DataFrame, keys: list[str], ts: str, value: str, least: float = 0.1) -> DataFrame:
+    """(keys, has_daily): whether the hourly means vary by more than ``least`` of their mean."""
+    hours = df.where(F.col(ts).isNotNull()).groupBy(*keys, F.hour(ts).alias("_hour")).agg(F.avg(F.col(value).cast("double")).alias("_mean"))
+    varies = (F.count(F.lit(1)) > 1) & (ratio(F.stddev_samp("_mean"), F.avg("_mean")) > least)
+    return hours.groupBy(*keys).agg(F.coalesce(varies, F.lit(False)).alias("has_daily"))
+
+
 def weekday_pattern(series: DataFrame, keys: list[str], day: str = "day", value: str = "value", damping: float = 0.5) -> DataFrame:
     """(keys, weekday, offset): half the distance of the weekday mean from the overall mean."""
     whole = series.groupBy(*keys).agg(F.avg(value).alias("_g"))

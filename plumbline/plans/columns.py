@@ -33,7 +33,36 @@ SPARSE_ORDERS_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus,
   CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS o_totalprice, o_orderdate,
   CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders"""
 
+NESTED_LAYOUT = ("column_name:s data_type:s null_count:i null_percentage:g distinct_count:i min:f max:f mean:g median:f std:g quartile_1:f quartile_3:f "
+                 "min_length:i max_length:i avg_length:g error:s")
+
+
+def sparse_embeddings(t):
+    """Embeddings with missing vectors and labels."""
+    return t.embeddings.select("vec_id", F.when(F.col("vec_id") % 9 != 0, F.col("embedding")).alias("embedding"), F.when(F.col("vec_id") % 4 != 0, F.col("label")).alias("label"),
+                               F.struct(F.col("label").alias("kind"), F.col("vec_id").cast("string").alias("code")).alias("tag"), F.encode(F.col("vec_id").cast("string"), "UTF-8").alias("raw"))
+
+
+_NESTED_SRC = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 9 <> 0 THEN embedding END AS embedding, CASE WHEN vec_id % 4 <> 0 THEN label END AS label, label AS kind, CAST(vec_id AS VARCHAR) AS code FROM embeddings),
+u AS (SELECT unnest(embedding) AS element FROM e)"""
+_EMPTY = "NULL AS distinct_count, NULL AS min, NULL AS max, NULL AS mean, NULL AS median, NULL AS std, NULL AS quartile_1, NULL AS quartile_3"
+_FACTS = "data_type, null_count, null_percentage, distinct_count, min, max, mean, median, std, quartile_1, quartile_3, min_length, max_length, avg_length, NULL AS error"
+
+
+def _nested_sql() -> str:
+    scalars = column_profile_sql("SELECT vec_id, label FROM e", [("vec_id", "numeric"), ("label", "numeric")])
+    parts = {"embedding[]": column_profile_sql("SELECT element FROM u", [("element", "numeric")]), "tag.kind": column_profile_sql("SELECT kind FROM e", [("kind", "numeric")]),
+             "tag.code": column_profile_sql("SELECT code FROM e", [("code", "text")])}
+    rows = [f"SELECT column_name, {_FACTS} FROM ({scalars}) AS s"] + [f"SELECT '{n}' AS column_name, {_FACTS} FROM ({q}) AS s" for n, q in parts.items()]
+    for name, kind, size in (("embedding", "array", "len(embedding)"), ("tag", "struct", "2"), ("raw", "binary", "strlen(code)")):
+        rows.append(f"""SELECT '{name}' AS column_name, '{kind}' AS data_type, count(*) - count({size}) AS null_count, round((count(*) - count({size})) * 100.0 / count(*), 2) AS null_percentage, {_EMPTY},
+ min({size}) AS min_length, max({size}) AS max_length, round(avg({size}), 2) AS avg_length, NULL AS error FROM e""")
+    rows.append(f"SELECT 'gone' AS column_name, 'unknown' AS data_type, NULL AS null_count, NULL AS null_percentage, {_EMPTY}, NULL AS min_length, NULL AS max_length, NULL AS avg_length, 'no column of this name' AS error")
+    return f"{_NESTED_SRC}\n" + "\nUNION ALL\n".join(rows)
+
+
 QUERIES = [
+    Query("nested_profile", NESTED_LAYOUT, lambda t: column_profile.profile_table(sparse_embeddings(t), ["vec_id", "embedding", "label", "tag", "raw", "gone"]), _nested_sql()),
     Query("column_profile_orders", PROFILE_LAYOUT, lambda t: column_profile.profile_columns(sparse_orders(t)),
           column_profile_sql(SPARSE_ORDERS_SQL, ORDER_COLS)),
     Query("string_profile_customer", PROFILE_LAYOUT, lambda t: column_profile.profile_columns(t.customer),

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.nulls import ratio
+from plumbline.functions.nulls import number, ratio
 from plumbline.operators import cleaning, counts, density, explain, fusion, layers, panel, quality_profile, rolling, selection, sequence
 from plumbline.sources.checkpoint import cut
+from plumbline.types import columns_by_kind
 
 
 @dataclass(frozen=True)
@@ -106,3 +107,57 @@ def detect_panel(df: DataFrame, entity: str, ts: str, key: str, value: str, min_
     second = tails.join(F.broadcast(limits), F.col("fold") == F.col("split_no")).select(  # one row per fold
         entity, "day", "score", (F.col("score") > F.col("threshold")).cast("int").alias("flag"))
     return fusion.consensus_rows(days, first, second, [entity, "day"], ["value"])
+
+
+@dataclass(frozen=True)
+class GroupFindings:
+    """What :func:`detect_groups` found.
+
+    ``flags``: (group, column, day, value, statistical, seasonal, sequence, any_anomaly). ``results``: one row per group and target
+    column with row_count, day_count, anomaly_count, first_anomaly, last_anomaly, error. ``summary``: (fact, name, n).
+    """
+
+    flags: DataFrame
+    results: DataFrame
+    summary: DataFrame
+
+
+def detect_groups(df: DataFrame, group: list[str], ts: str, columns: list[str], least: int = 30, window: int = 20, periods: tuple[int, ...] = (7,), length: int = 14,
+                  sigma: float = 3.0) -> GroupFindings:
+    """Layered detection for every group and every target column in one plan keyed by (group, column).
+
+    Groups need ``least`` rows; rows without a time or with a null group key belong to none. Values are brought to one mean per day, so a
+    frame holds the days of a series, however many rows a group has. A target that cannot be analysed (no such column, no numbers, no values)
+    gives an error in its rows of the result and does not touch the others.
+    """
+    kinds = columns_by_kind(df)
+    good = [c for c in columns if c in kinds.numeric]
+    error = {c: "no column of this name" if c not in df.columns else f"not a number column: {df.schema[c].dataType.simpleString()}" for c in columns if c not in good}
+    rows = df.where(F.col(ts).isNotNull())
+    for g in group:
+        rows = rows.where(F.col(g).isNotNull())
+    sizes = cut(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("row_count")).where(F.col("row_count") >= least))
+    keys = [*group, "column"]
+    wanted = sizes.select(*group, "row_count", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(error.get(c)).cast("string").alias("_bad")) for c in columns])))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(F.col(c)).alias("_v")) for c in good]) if good else F.expr("cast(array() as array<struct<column:string,_v:double>>)")
+    daily = rows.select(*group, F.to_date(ts).alias("day"), F.inline(cells)).groupBy(*keys, "day").agg(F.avg("_v").alias("value"))
+    days = cut(counts.on_keys(daily.where(F.col("value").isNotNull()), sizes.select(*group), group, "left_semi"))  # every layer reads it
+    past = Window.partitionBy(*keys).orderBy("day").rowsBetween(-length, -1)
+    guess = days.withColumns({"_n": F.count("value").over(past), "error": F.abs(F.col("value") - F.avg("value").over(past))}).where(F.col("_n") == length).drop("_n")
+    marks = layers.all_layers(layers.statistical_layer(days, keys, "day", window=window, sigma=sigma), layers.seasonal_layer(days, keys, "day", periods=periods, sigma=sigma),
+                              layers.error_layer(guess, keys, sigma=sigma), [*keys, "day"])
+    flags = cut(counts.on_keys(days, marks, [*keys, "day"]))
+    hit = F.when(F.col("any_anomaly"), F.col("day"))
+    found = flags.groupBy(*keys).agg(F.count(F.lit(1)).alias("day_count"), F.count(hit).alias("anomaly_count"), F.min(hit).alias("first_anomaly"), F.max(hit).alias("last_anomaly"))
+    none = F.lit(0).cast("bigint")
+    results = wanted.join(found, keys, "left").select(
+        *keys, "row_count", F.coalesce("day_count", none).alias("day_count"), F.when(F.col("_bad").isNull(), F.coalesce("anomaly_count", none)).alias("anomaly_count"),
+        "first_anomaly", "last_anomaly", F.coalesce("_bad", F.when(F.col("day_count").isNull(), F.lit("no values"))).alias("error"))
+    results = cut(results)
+    by_group = results.groupBy(*group).agg(F.coalesce(F.sum("anomaly_count"), none).alias("n"))
+    label = F.concat_ws("_", *[F.col(g).cast("string") for g in group])
+    fact = lambda name: F.lit(name).alias("fact")
+    totals = by_group.agg(F.count(F.lit(1)).alias("total_groups"), F.count_if(F.col("n") > 0).alias("groups_with_anomalies"), F.coalesce(F.sum("n"), none).alias("total_anomalies"))
+    summary = totals.unpivot([], totals.columns, "fact", "n").select("fact", F.lit("").alias("name"), "n")
+    summary = summary.union(results.where(F.col("error").isNull()).groupBy("column").agg(F.sum("anomaly_count").alias("n")).select(fact("anomalies_by_column"), "column", "n"))
+    return GroupFindings(flags, results, summary.union(by_group.select(fact("anomalies_by_group"), label, "n")))

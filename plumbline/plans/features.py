@@ -152,13 +152,6 @@ QUERIES = [
     Query("rolling", f"{_ROLL} mean:f std:f min:f max:f zscore:f anomaly:i", lambda t: rolling.rolling_features(order_days(t)), _rolling_sql()),
     Query("rolling_slope", f"{_ROLL} trend:f diff:f ratio:f", lambda t: rolling.rolling_features(order_days(t)), _rolling_sql()),
     Query("rolling_flat", "metric:s present:i total:g",
-          lambda t: rolling.rolling_metrics(rolling.rolling_features(order_days(t), (7,))).groupBy("metric").agg(
-              F.count("value").alias("present"), F.sum("value").alias("total")),
-          "WITH x AS (" + _rolling_sql() + ") " + " UNION ALL ".join(
-              f"SELECT metric || '_{n}' AS metric, count({c}) AS present, sum({c}) AS total FROM x WHERE \"window\" = 7 GROUP BY 1"
-              for n, c in [("rolling_7d_mean", "mean"), ("rolling_7d_std", "std"), ("rolling_7d_min", "min"), ("rolling_7d_max", "max"), ("zscore_7d", "zscore"),
-                           ("anomaly_7d", "anomaly"), ("trend_7d", "trend"), ("diff_7d", "diff"), ("ratio_7d", "ratio")])),
-    Query("rolling_flat_windows", "metric:s present:i total:g",
           lambda t: rolling.rolling_metrics(rolling.rolling_features(order_days(t))).groupBy("metric").agg(
               F.count("value").alias("present"), F.sum("value").alias("total")),
           "WITH x AS (" + _rolling_sql() + ") " + " UNION ALL ".join(

@@ -29,8 +29,8 @@ def item_months(t):
     return wide.unpivot(["period"], list(_M), "metric", "value")
 
 
-MONTHS_SQL = "\nUNION ALL\n".join(
-    f"SELECT date_trunc('month', l_shipdate) AS period, '{n}' AS metric, {e} AS value FROM lineitem GROUP BY 1" for n, e in _M.items())
+MONTHS_SQL = (f"SELECT period, unnest({list(_M)}) AS metric, unnest([{', '.join(_M)}]) AS value "
+              f"FROM (SELECT date_trunc('month', l_shipdate) AS period, {', '.join(f'{e} AS {n}' for n, e in _M.items())} FROM lineitem GROUP BY 1) AS wide")
 
 _FLAGS_CTE = f"""m AS ({MONTHS_SQL}), np AS (SELECT count(DISTINCT period) AS k FROM m),
 zs AS (SELECT metric, avg(value) AS a, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3

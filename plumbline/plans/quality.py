@@ -54,29 +54,56 @@ def _correlation_sql() -> str:
         FROM lineitem GROUP BY 1""" for c, o in pairs)
 
 
+def flagged_items(t):
+    """Line items with a text column that has gaps."""
+    return t.lineitem.select("l_shipdate", *ITEM_COLS, F.when(F.col("l_linenumber") != 3, F.col("l_returnflag")).alias("l_returnflag"))
+
+
+_BASIC_SQL = f"""WITH {_ITEMS} SELECT period, "column", avg(value) AS "Mean", min(value) AS "Minimum", max(value) AS "Maximum",
+ stddev_samp(value) AS "StandardDeviation", sum(value) AS "Sum", count(*) AS count, count(value) / CAST(count(*) AS DOUBLE) AS "Completeness",
+ count(*) - count(value) AS "missingCount", count(*) FILTER (WHERE value = 0) AS "zeroCount",
+ count(*) FILTER (WHERE value = 0) * 100.0 / count(value) AS "zeroCountPercentage", count(*) FILTER (WHERE value < 0) AS "negativeCount",
+ count(*) FILTER (WHERE value < 0) * 100.0 / count(value) AS "negativeCountPercentage", count(*) AS "Size", 0 AS "MinLength", 0 AS "MaxLength",
+ 'DECIMAL' AS "DataType" FROM long GROUP BY 1, 2"""
+_QUANTILE_SQL = f"""WITH {_ITEMS} SELECT period, "column", """ + ", ".join(
+    f'quantile_cont(value, {p}) AS "ApproxQuantiles_{p}"' for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM long GROUP BY 1, 2"
+_PARTS = {
+    "b": (_BASIC_SQL, "Mean Minimum Maximum StandardDeviation Sum count Completeness missingCount zeroCount zeroCountPercentage negativeCount negativeCountPercentage Size MinLength MaxLength".split()),
+    "d": (_distribution_sql(_ITEMS), "CountDistinct Uniqueness UniqueValueRatio Distinctness Entropy".split()),
+    "q": (_QUANTILE_SQL, [f"ApproxQuantiles_{p}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)]),
+    "i": (_MI_SQL, ["MutualInformation"]),
+    "s": ("""SELECT date_trunc('month', l_shipdate) AS period, 'dataset' AS "column", count(*) AS total_records, """
+          f"({' + '.join(f'count({c})' for c in ITEM_COLS)}) / (count(*) * {len(ITEM_COLS)}.0) AS dataset_completeness FROM lineitem GROUP BY 1", ["total_records", "dataset_completeness"]),
+    "l": ("""SELECT date_trunc('month', l_shipdate) AS period, 'l_returnflag' AS "column", count(*) AS "Size", min(CASE WHEN l_linenumber <> 3 THEN length(l_returnflag) END) AS "MinLength",
+ max(CASE WHEN l_linenumber <> 3 THEN length(l_returnflag) END) AS "MaxLength" FROM lineitem GROUP BY 1""", ["Size", "MinLength", "MaxLength"]),
+}
+
+
+def _whole_sql() -> str:
+    ctes = ",\n".join(f"{k} AS MATERIALIZED ({sql})" for k, (sql, _) in _PARTS.items())
+    rows = [f"""SELECT period, "column", '{n}' AS metric, CAST("{n}" AS DOUBLE) AS value FROM {k}""" for k, (_, names) in _PARTS.items() for n in names]
+    rows.append(f"""SELECT period, "column", 'Correlation_' || other AS metric, correlation AS value FROM ({_correlation_sql()}) AS c""")
+    return f"WITH {ctes}\n" + "\nUNION ALL\n".join(rows)
+
+
 def hist_table(t):
     return qp.histogram_features(qp.distribution_metrics(items(t), "l_shipdate", "month", ITEM_COLS))
 
 
 QUERIES = [
+    Query("quality_metrics", "period:d column:s metric:s value:f", lambda t: qp.quality_metrics(flagged_items(t), "l_shipdate", "month"), _whole_sql()),
     Query("dq_basic",
           "period:d column:s Mean:f Minimum:f Maximum:f StandardDeviation:f Sum:g count:i Completeness:f missingCount:i zeroCount:i "
           "zeroCountPercentage:f negativeCount:i negativeCountPercentage:f Size:i MinLength:i MaxLength:i DataType:s",
           lambda t: qp.basic_metrics(items(t), "l_shipdate", "month", ITEM_COLS),
-          f"""WITH {_ITEMS} SELECT period, "column", avg(value) AS "Mean", min(value) AS "Minimum", max(value) AS "Maximum",
- stddev_samp(value) AS "StandardDeviation", sum(value) AS "Sum", count(*) AS count, count(value) / CAST(count(*) AS DOUBLE) AS "Completeness",
- count(*) - count(value) AS "missingCount", count(*) FILTER (WHERE value = 0) AS "zeroCount",
- count(*) FILTER (WHERE value = 0) * 100.0 / count(value) AS "zeroCountPercentage", count(*) FILTER (WHERE value < 0) AS "negativeCount",
- count(*) FILTER (WHERE value < 0) * 100.0 / count(value) AS "negativeCountPercentage", count(*) AS "Size", 0 AS "MinLength", 0 AS "MaxLength",
- 'DECIMAL' AS "DataType" FROM long GROUP BY 1, 2"""),
+          _BASIC_SQL),
     Query("dq_distribution", _DIST, lambda t: qp.distribution_metrics(sparse_events(t), "ts", "day", ["value"]), _distribution_sql(_EVENTS)),
     Query("dq_histogram", "period:d column:s Histogram:s", lambda t: qp.distribution_metrics(items(t), "l_shipdate", "month", ITEM_COLS),
           _distribution_sql(_ITEMS)),
     Query("dq_entropy", "period:d column:s Entropy:f", lambda t: qp.distribution_metrics(items(t), "l_shipdate", "month", ITEM_COLS),
           _distribution_sql(_ITEMS)),
     Query("dq_quantiles", _QUANT, lambda t: qp.quantile_metrics(items(t), "l_shipdate", "month", ITEM_COLS),
-          f"""WITH {_ITEMS} SELECT period, "column", """ + ", ".join(
-              f'quantile_cont(value, {p}) AS "ApproxQuantiles_{p}"' for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM long GROUP BY 1, 2"),
+          _QUANTILE_SQL),
     Query("dq_correlation", "period:d column:s other:s correlation:f",
           lambda t: qp.correlations(items(t), "l_shipdate", ITEM_COLS, "month"), _correlation_sql()),
     Query("dq_mi", "period:d column:s MutualInformation:f",

@@ -172,10 +172,10 @@ QUERIES = [
   count(*) FILTER (WHERE ca IS NULL) AS only_second, count(*) FILTER (WHERE ca IS NOT NULL AND cb IS NOT NULL) / CAST(count(*) AS DOUBLE) AS agreement,
   avg((ca + cb) / 2) AS mean_confidence FROM j GROUP BY 1"""),
     Query("parse_scores", "event_id:i label:s confidence:f",
-          lambda t: suggest.score_rows(suggest.parse_scores(model_texts(t), "answer").where(F.col("regex_pattern").isNull()), ["event_id"]),
+          lambda t: suggest.score_rows(suggest.parse_scores(model_texts(t), "answer"), ["event_id"]),
           f"""WITH m AS ({_MODEL_SQL}), j AS (SELECT event_id, answer, nullif(regexp_extract(answer, '(?s)(\\{{.*\\}})', 1), '') AS body FROM m)
  SELECT event_id, 'k' AS label, CAST(json_extract_string(body, '$.k') AS DOUBLE) AS confidence FROM j
- WHERE body IS NOT NULL AND NOT contains(answer, 'regex_pattern')"""),
+ WHERE body IS NOT NULL"""),
     Query("parse_patterns", "event_id:i regex_pattern:s",
           lambda t: suggest.parse_scores(model_texts(t), "answer").where(F.col("regex_pattern").isNotNull()).select("event_id", "regex_pattern"),
           f"SELECT event_id, '^a+$' AS regex_pattern FROM ({_MODEL_SQL}) AS m WHERE contains(answer, 'regex_pattern')"),

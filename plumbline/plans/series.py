@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import layers, season
+from plumbline.plans import detection
 from plumbline.plans.features import ORDER_DAYS_SQL, order_days
 from plumbline.plans.registry import Query
 
-EVENT_TYPES = ("click", "view", "purchase")
-
-
 def order_series(t):
     return order_days(t).withColumn("day", F.to_date("period")).drop("period")
 
@@ -85,8 +81,37 @@ def _acf_sql():
 SELECT metric, lag, sum(x * y) / sum(x * x) AS acf, 1.96 / sqrt(count(*)) AS bound, abs(sum(x * y) / sum(x * x)) > 1.96 / sqrt(count(*)) AS significant FROM l GROUP BY 1, 2"""
 
 
+GROUP_TARGETS = ["o_totalprice", "o_custkey", "o_orderstatus", "o_discount"]
+
+
+def order_groups(t):
+    """Prices and customers of orders per priority and status; a text column and an unknown one are asked for as well."""
+    return detection.detect_groups(t.orders, ["o_orderpriority", "o_orderstatus"], "o_orderdate", GROUP_TARGETS)
+
+
+_GROUP_DAYS = """d AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderpriority || '/' || o_orderstatus || '/' || c AS metric, avg(v) AS value
+  FROM (SELECT o_orderdate, o_orderpriority, o_orderstatus, unnest(['o_totalprice', 'o_custkey']) AS c, unnest([o_totalprice, CAST(o_custkey AS DOUBLE)]) AS v FROM orders) AS u
+  GROUP BY ALL)"""
+_GROUP_SQL = f"""WITH {_STAT.replace(_D, _GROUP_DAYS)}, {_seasonal_sql((7,))},
+er0 AS (SELECT day, metric, CASE WHEN count(value) OVER w = 14 THEN abs(value - avg(value) OVER w) END AS e FROM d WINDOW w AS (PARTITION BY metric ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
+er AS (SELECT metric, avg(e) + 3 * stddev_pop(e) AS th FROM er0 GROUP BY 1),
+fl AS (SELECT st.day, st.metric, coalesce(value_anomaly, false) OR coalesce(trend_anomaly, false) OR coalesce(volatility_anomaly, false) OR seasonal_anomaly OR coalesce(e > th, false) AS hit
+  FROM st JOIN se ON st.day = se.day AND st.metric = se.metric JOIN er ON st.metric = er.metric JOIN er0 ON st.metric = er0.metric AND st.day = er0.day),
+gr AS (SELECT o_orderpriority, o_orderstatus, count(*) AS row_count FROM orders GROUP BY 1, 2 HAVING count(*) >= 30),
+fo AS (SELECT metric, count(*) AS day_count, count(*) FILTER (WHERE hit) AS anomaly_count, min(CASE WHEN hit THEN day END) AS first_anomaly, max(CASE WHEN hit THEN day END) AS last_anomaly FROM fl GROUP BY 1),
+ta AS (SELECT unnest({GROUP_TARGETS}) AS "column", unnest([NULL, NULL, 'not a number column: string', 'no column of this name']) AS error),
+re AS (SELECT o_orderpriority, o_orderstatus, "column", row_count, coalesce(day_count, 0) AS day_count, CASE WHEN error IS NULL THEN coalesce(anomaly_count, 0) END AS anomaly_count,
+  first_anomaly, last_anomaly, error FROM gr CROSS JOIN ta LEFT JOIN fo ON metric = o_orderpriority || '/' || o_orderstatus || '/' || "column"),
+bg AS (SELECT o_orderpriority || '_' || o_orderstatus AS name, coalesce(sum(anomaly_count), 0) AS n FROM re GROUP BY 1)"""
+
 _STD = "stddev_samp(value)"
 QUERIES = [
+    Query("detect_groups", "o_orderpriority:s o_orderstatus:s column:s row_count:i day_count:i anomaly_count:i first_anomaly:d last_anomaly:d error:s",
+          lambda t: order_groups(t).results, f"{_GROUP_SQL} SELECT * FROM re"),
+    Query("detect_groups_summary", "fact:s name:s n:i", lambda t: order_groups(t).summary,
+          f"""{_GROUP_SQL} SELECT 'total_groups' AS fact, '' AS name, count(*) AS n FROM bg UNION ALL SELECT 'groups_with_anomalies', '', count(*) FILTER (WHERE n > 0) FROM bg
+ UNION ALL SELECT 'total_anomalies', '', sum(n) FROM bg UNION ALL SELECT 'anomalies_by_column', "column", sum(anomaly_count) FROM re WHERE error IS NULL GROUP BY 2
+ UNION ALL SELECT 'anomalies_by_group', name, n FROM bg"""),
     Query("stat_layer", "day:d metric:s value_anomaly:b trend_anomaly:b volatility_anomaly:b statistical_anomaly:b",
           lambda t: layers.statistical_layer(order_series(t), ["metric"], "day"),
           f"""WITH {_STAT} SELECT day, metric, coalesce(value_anomaly, false) AS value_anomaly, coalesce(trend_anomaly, false) AS trend_anomaly,
@@ -105,8 +130,8 @@ QUERIES = [
           f"""WITH a AS ({_acf_sql()}), m AS (SELECT * FROM a WHERE metric = 'price') SELECT bool_or(lag > 0 AND significant) AS has_seasonality,
  bool_or(lag = 7 AND significant) AS has_weekly, bool_or(lag = 30 AND significant) AS has_monthly, (SELECT count(*) > 1 AND coalesce(stddev_samp(v) / avg(v) > 0.1, false) FROM (SELECT avg(o_totalprice) AS v FROM orders GROUP BY hour(o_orderdate)) AS h) AS has_daily FROM m"""),
     Query("daily_pattern", "event_type:s has_daily:b",
-          lambda t: reduce(DataFrame.unionByName, [season.seasonality(t.events.where(F.col("event_type") == e), "ts", "value").select(F.lit(e).alias("event_type"), "has_daily") for e in EVENT_TYPES]),
-          f"""WITH h AS (SELECT event_type, hour(ts) AS h, avg(value) AS v FROM events WHERE event_type IN ({', '.join(f"'{e}'" for e in EVENT_TYPES)}) GROUP BY 1, 2)
+          lambda t: season.daily_variation(t.events, ["event_type"], "ts", "value"),
+          """WITH h AS (SELECT event_type, hour(ts) AS h, avg(value) AS v FROM events GROUP BY 1, 2)
  SELECT event_type, count(*) > 1 AND stddev_samp(v) / avg(v) > 0.1 AS has_daily FROM h GROUP BY 1"""),
     Query("weekday_pattern", "metric:s weekday:i offset:f", lambda t: season.weekday_pattern(order_series(t), ["metric"]),
           f"""WITH {_D}, g AS (SELECT metric, avg(value) AS g FROM d GROUP BY 1) SELECT d.metric, isodow(day) - 1 AS weekday, (avg(value) - any_value(g)) * 0.5 AS "offset"

@@ -93,6 +93,12 @@ def long_sql(src: str, keys: list[str], cols: list[str], cast: str = "DOUBLE") -
     return "\nUNION ALL\n".join(f"SELECT {k}'{c}' AS \"column\", CAST({c} AS {cast}) AS value FROM {src}" for c in cols)
 
 
+def metrics_sql(src: str, names, column: str | None = '"column"') -> str:
+    """(period, metric, value): one select per metric column, named after ``column``, or alone."""
+    return "\nUNION ALL\n".join(
+        f"SELECT period, {column + ' || ' if column else ''}'{'_' if column else ''}{n}' AS metric, CAST(\"{n}\" AS DOUBLE) AS value FROM {src}" for n in names)
+
+
 def bin_sql(v: str, lo: str, hi: str, bins: str) -> str:
     return (f"CASE WHEN {hi} > {lo} THEN least(floor(({v} - {lo}) * {bins} / nullif({hi} - {lo}, 0)), {bins} - 1) "
             f"ELSE floor({bins} * 0.5) END")

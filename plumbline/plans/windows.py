@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import period_profile as pp
+from plumbline.operators.profile_state import Metric, Registry, mean_of, share_where, weighted
 from plumbline.plans.registry import Query
-from plumbline.plans.sqltext import corr_sql, long_sql, numeric_window_sql
+from plumbline.plans.sqltext import corr_sql, long_sql, metrics_sql, numeric_window_sql
 
 ITEM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 EVENT_SQL = "SELECT ts, event_id, user_id, event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events"
@@ -78,7 +79,67 @@ def sparse_flags(t):
                              "l_linestatus")
 
 
+def whole_items(t):
+    """Line items with numbers, a sparse and a full text column, and a line number that orders rows of a day."""
+    return t.lineitem.select("l_shipdate", *ITEM_COLS, F.when(F.col("l_linenumber") != 3, F.col("l_returnflag")).alias("l_returnflag"), "l_linestatus",
+                             (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line"))
+
+
+def whole_profile(t):
+    return pp.period_profile(whole_items(t), "l_shipdate", "month", correlation=ITEM_COLS, business=_GROUPS, rate=["l_quantity"], skip=("line",), key="line")
+
+
+def own_registry() -> Registry:
+    """Metrics that the library does not have: a geometric mean, a share of whole numbers, the span in powers of ten, lengths and blanks of texts."""
+    positive = lambda v: F.when(v > 0, F.ln(v))
+    own = Registry({"whole_share": share_where(lambda v: v == F.floor(v)), "mean_length": mean_of(lambda v: F.length(v), "text")})
+    own.register("geometric_mean", Metric({"sum": weighted(positive), "n": lambda v, n: F.sum(F.when(v > 0, n))}, lambda p: F.exp(p["sum"] / p["n"])))
+    own.register("log_span", Metric({"lo": lambda v, n: F.min(positive(v)), "hi": lambda v, n: F.max(positive(v))}, lambda p: (p["hi"] - p["lo"]) / F.ln(F.lit(10.0)),
+                                    {"lo": F.min, "hi": F.max}))
+    own.register("top_share", Metric({"most": lambda v, n: F.max(F.when(v.isNotNull(), n)), "all": lambda v, n: F.sum(F.when(v.isNotNull(), n))}, lambda p: p["most"] / p["all"], kind="text"))
+    return own
+
+
+def own_profile(t):
+    """The profile with own metrics, of which only these are shown."""
+    own = own_registry()
+    found = pp.period_profile(whole_items(t), "l_shipdate", "month", skip=("line",), extra=own)
+    return found.where(F.col("metric").rlike("_(" + "|".join(own.names()) + ")$"))
+
+
+_NUMBERS = ("count missing_count missing_pct mean median std min max range p25 p75 p95 p99 iqr skew kurt mean_vs_global std_vs_global zscore outliers_count outliers_pct entropy "
+            "unique_count unique_pct zero_count zero_pct negative_count negative_pct cv").split()
+_TEXTS = "count missing_count missing_pct unique_count unique_pct most_common_count most_common_pct entropy".split()
+_CELLS = f"({', '.join(ITEM_COLS)}, CASE WHEN l_linenumber <> 3 THEN l_returnflag END, l_linestatus)"
+_TABLE_SQL = f"""SELECT date_trunc('month', l_shipdate) AS period, count(*) AS row_count, 6 AS column_count, count(*) FILTER (WHERE l_linenumber = 3) AS missing_values_total,
+ count(*) FILTER (WHERE l_linenumber = 3) * 100.0 / (6 * count(*)) AS missing_values_pct, count(*) - count(DISTINCT {_CELLS}) AS duplicate_rows,
+ (count(*) - count(DISTINCT {_CELLS})) * 100.0 / count(*) AS duplicate_rows_pct,
+ (arg_max(l_quantity, (l_shipdate, l_orderkey * 100 + l_linenumber)) - arg_min(l_quantity, (l_shipdate, l_orderkey * 100 + l_linenumber))) / count(l_quantity) AS l_quantity_velocity
+ FROM lineitem GROUP BY 1"""
+_TABLE = ("row_count", "column_count", "missing_values_total", "missing_values_pct", "duplicate_rows", "duplicate_rows_pct", "l_quantity_velocity")
+_CATEGORY_SQL = f"""{_CAT_SQL},
+ facts AS (SELECT period, "column", count(*) AS rows, count(value) AS count, count(DISTINCT value) AS unique_count FROM long GROUP BY 1, 2),
+ ent AS (SELECT period, "column", -sum((n / total) * ln(n / total)) AS entropy FROM ranked GROUP BY 1, 2)
+ SELECT f.period, f."column", f.count, rows - f.count AS missing_count, (rows - f.count) * 100.0 / rows AS missing_pct,
+   unique_count, unique_count * 100.0 / f.count AS unique_pct, r.value AS most_common, r.n AS most_common_count,
+   r.n * 100.0 / f.count AS most_common_pct, e.entropy
+ FROM facts f LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON f.period = r.period AND f."column" = r."column"
+ LEFT JOIN ent e ON f.period = e.period AND f."column" = e."column\""""
+_PROFILE_SQL = f"""WITH num AS MATERIALIZED ({_ITEM_SQL}), cat AS MATERIALIZED ({_CATEGORY_SQL}), tab AS MATERIALIZED ({_TABLE_SQL})
+{metrics_sql('num', _NUMBERS)} UNION ALL {metrics_sql('cat', _TEXTS)}
+UNION ALL {metrics_sql('tab', _TABLE, None)} UNION ALL SELECT * FROM ({_corr_window_sql()}) AS c UNION ALL SELECT * FROM ({_business_sql()}) AS b"""
+_OWN_SQL = f"""WITH base AS (SELECT date_trunc('month', l_shipdate) AS period, {', '.join(ITEM_COLS)}, CASE WHEN l_linenumber <> 3 THEN l_returnflag END AS l_returnflag, l_linestatus FROM lineitem),
+long AS ({long_sql('base', ['period'], ITEM_COLS)}), words AS ({long_sql('base', ['period'], ['l_returnflag', 'l_linestatus'], 'VARCHAR')}),
+a AS (SELECT period, "column", avg(CASE WHEN value = floor(value) THEN 1.0 ELSE 0 END) FILTER (WHERE value IS NOT NULL) AS whole_share, exp(avg(ln(positive))) AS geometric_mean,
+  (max(ln(positive)) - min(ln(positive))) / ln(10) AS log_span FROM (SELECT period, "column", CASE WHEN value > 0 THEN value END AS positive, value FROM long) AS l GROUP BY 1, 2),
+c AS (SELECT period, "column", value, count(*) AS n FROM words WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+b AS (SELECT period, "column", sum(length(value) * n) / sum(n) AS mean_length, max(n) / sum(n) AS top_share FROM c GROUP BY 1, 2)
+{metrics_sql('a', ('whole_share', 'geometric_mean', 'log_span'))} UNION ALL {metrics_sql('b', ('mean_length', 'top_share'))}"""
+
+
 QUERIES = [
+    Query("period_profile", "period:d metric:s value:f", whole_profile, _PROFILE_SQL),
+    Query("own_metrics", "period:d metric:s value:f", own_profile, _OWN_SQL),
     Query("daily_profile", BASIC, lambda t: pp.numeric_metrics(sparse_events(t), "ts", "day", ["value"]),
           numeric_window_sql(EVENT_SQL, "ts", "day", ["value"])),
     Query("win_table",
@@ -107,14 +168,7 @@ QUERIES = [
           "period:d column:s count:i missing_count:i missing_pct:f unique_count:i unique_pct:f most_common:s "
           "most_common_count:i most_common_pct:f entropy:f",
           lambda t: pp.category_metrics(sparse_flags(t), "l_shipdate", "month"),
-          f"""{_CAT_SQL},
- facts AS (SELECT period, "column", count(*) AS rows, count(value) AS count, count(DISTINCT value) AS unique_count FROM long GROUP BY 1, 2),
- ent AS (SELECT period, "column", -sum((n / total) * ln(n / total)) AS entropy FROM ranked GROUP BY 1, 2)
- SELECT f.period, f."column", f.count, rows - f.count AS missing_count, (rows - f.count) * 100.0 / rows AS missing_pct,
-   unique_count, unique_count * 100.0 / f.count AS unique_pct, r.value AS most_common, r.n AS most_common_count,
-   r.n * 100.0 / f.count AS most_common_pct, e.entropy
- FROM facts f LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON f.period = r.period AND f."column" = r."column"
- LEFT JOIN ent e ON f.period = e.period AND f."column" = e."column\""""),
+          _CATEGORY_SQL),
     Query("win_topk", "period:d column:s rank:i category:s pct:f",
           lambda t: pp.top_categories(sparse_flags(t), "l_shipdate", "month"),
           f'{_CAT_SQL} SELECT period, "column", rank, value AS category, n * 100.0 / total AS pct FROM ranked WHERE rank <= 5'),
