@@ -10,8 +10,8 @@ Documents are sets of hashed word shingles; two link when ``100 * intersection >
    the k-th hash. Two sets that link share a token among the first ``n - ceil(percent * n) + 1`` under every order, so a pair
    must come up under all orders. The orders differ, so chance pairs seldom do.
 4. *Stars.* Under a few fixed permutations the first member of a token's list is its centre, and every set is paired with the first
-   centre of all its lists: a few pairs per set, however long the lists. Pairs of all orders are intersected and compared exactly. After a
-   few rounds with fresh permutations most groups of near copies are one component.
+   centre of all its lists: a few pairs per set, however long the lists. Pairs of all orders are intersected and compared exactly. A second
+   round with more permutations goes over the lists that still hold several components.
 5. *Rest.* In lists that still hold several components, members outside the largest are paired with all members of other
    components, unless sizes or places in the prefix rule a link out. Pairs within a component cannot change it, so no link between
    components is lost.
@@ -27,7 +27,6 @@ are null; an empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark import TaskContext
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from plumbline.llm.common import written
+from plumbline.llm.common import release_memory, written
 from plumbline.llm.components import components
 from plumbline.operators.joins import checked_broadcast
 
@@ -43,12 +42,13 @@ WORDS = 5
 PERCENT = 80
 ORDERS = 3
 CENTRES = 6
-BLOCK_TOKENS = 1_000_000
+MORE_CENTRES = 18  # in the second round, among lists with more than one component
+BLOCK_TOKENS = 500_000
 SHARD_BYTES = 4 << 20  # of text for each shard
 COUNTERS = 1 << 23
 COUNTER_BLOCK = 1 << 17
-ROUNDS = 4
 CHUNK_TOKENS = 4_000_000
+CHUNK_PAIRS = 2_000
 MANY = 0xFFFF  # owner of a token that several documents of a block hold
 BROADCAST_IDS = 2_000_000
 SEED = 17
@@ -56,7 +56,7 @@ SEED = 17
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 17:
             self.clear()
         self[word] = out = xxh3_64_intdigest(word)
         return out
@@ -118,6 +118,7 @@ def shared_tokens(docs: DataFrame, size: int = WORDS, block_tokens: int = BLOCK_
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory()
         schema = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("sigs", pa.binary()),
                             ("hashes", pa.binary()), ("owners", pa.binary())])
         place, number = TaskContext.get().partitionId(), 0
@@ -160,6 +161,7 @@ def shared_tokens(docs: DataFrame, size: int = WORDS, block_tokens: int = BLOCK_
     def answer(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory()
         names = ["block", "kind", "ids", "sizes", "sigs", "owners", "counts"]
         types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -236,6 +238,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFr
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory()
         for batch in batches:
             sets = [shingles(t.as_py(), size) for t in batch.column("text")]
             sig = np.frombuffer(b"".join(map(signature, sets)), np.int64).reshape(-1, 2)
@@ -368,13 +371,14 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int = PERCENT, ord
     return _under_all_orders(made.select("k", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.greatest("nx", "ny").alias("n")), orders)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """The pairs (a, b) that link. Pairs of nodes with a common partner go to one chunk, until it holds ``chunk_tokens``."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk_tokens: int = CHUNK_TOKENS, chunk_pairs: int = CHUNK_PAIRS) -> DataFrame:
+    """The pairs (a, b) that link. Pairs of nodes with a common partner go to one chunk, until it holds ``chunk_tokens`` or ``chunk_pairs``."""
     pairs = written(pairs)
-    flipped = pairs.groupBy("b").agg(F.min("a").alias("home"), F.sum("n").alias("weight"))
-    homes = flipped.groupBy("home").agg(F.ceil(F.sum("weight") / chunk_tokens).alias("chunks"))
+    parts = lambda tokens, pairs: F.ceil(F.greatest(tokens / chunk_tokens, pairs / chunk_pairs))
+    flipped = pairs.groupBy("b").agg(F.min("a").alias("home"), F.sum("n").alias("weight"), F.count(F.lit(1)).alias("asked"))
+    homes = flipped.groupBy("home").agg(parts(F.sum("weight"), F.sum("asked")).alias("chunks"))
     dealt = flipped.join(homes, "home").select(
-        "b", "home", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.ceil(F.col("weight") / chunk_tokens).alias("more"))
+        "b", "home", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), parts(F.col("weight"), F.col("asked")).alias("more"))
     keyed = pairs.join(dealt, "b").select(F.xxhash64("home", "chunk", "more", F.pmod(F.xxhash64("a"), F.col("more"))).alias("chunk"), "a", "b")
     keyed = written(keyed)
     needed = keyed.select("chunk", F.col("a").alias("node")).union(keyed.select("chunk", F.col("b").alias("node"))).distinct()
@@ -385,6 +389,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk_to
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory()
         chunk, held = None, {}
         for batch in batches:
             tokens, ends = _tokens(batch)  # null lists are empty
@@ -411,7 +416,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, chunk_to
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, centres: int = CENTRES,
-                    rounds: int = ROUNDS) -> DataFrame:
+                    more_centres: int = MORE_CENTRES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = shared_tokens(docs, size)
     enough = (F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))
@@ -421,15 +426,13 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     classes = classes.join(again, ["sig_a", "sig_b"], "left_semi").select(F.col("sig_a").alias("node"), "sig_b", "rep")
     sets = class_sets(docs, written(classes), size)
     lists = _lists(prefixes(sets, percent, orders))
-    links, labels = [], None
-    for i in range(rounds):
-        links.append(verified(star_pairs(lists, labels, centres, orders, SEED + i), sets, percent))
-        if i and links[-1].isEmpty():
-            break
-        labels = written(components(reduce(DataFrame.union, links)))
-    links.append(verified(cross_pairs(lists, labels, percent, orders), sets, percent))
-    if not links[-1].isEmpty():
-        labels = written(components(reduce(DataFrame.union, links)))
+    links = verified(star_pairs(lists, None, centres, orders, SEED), sets, percent)
+    labels = written(components(links))
+    for pairs in (lambda: star_pairs(lists, labels, more_centres, orders, SEED + 1), lambda: cross_pairs(lists, labels, percent, orders)):
+        more = verified(pairs(), sets, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = written(components(links))
     named = rows.join(labels.withColumnRenamed("node", "sig_a"), "sig_a", "left")
     named = named.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sig_a")))
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -91,7 +91,7 @@ def test_small_blocks_and_chunks(spark, monkeypatch):
     sets = {i: sets_of(t) for i, t in rows}
     assert shared == {(i, len(s)): sum(any(t in o for j, o in sets.items() if j != i) for t in s) for i, s in sets.items()}
     verified = mo.verified
-    monkeypatch.setattr(mo, "verified", lambda pairs, sets, percent: verified(pairs, sets, percent, chunk_tokens=300))
+    monkeypatch.setattr(mo, "verified", lambda pairs, sets, percent: verified(pairs, sets, percent, chunk_tokens=300, chunk_pairs=7))
     assert run(spark, rows) == want
 
 
