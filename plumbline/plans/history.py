@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import flags, history, joins
+from plumbline.operators import flags, history, joins, profile_state, sketch_state
 from plumbline.plans import flags as flag_plans
 from plumbline.plans.registry import Query
-from plumbline.plans.windows import EVENT_SQL, sparse_events
+from plumbline.plans.sqltext import long_sql
+from plumbline.plans.windows import EVENT_SQL, ITEM_COLS, items, sparse_events
 
 _BASE = f"e AS (SELECT CAST(ts AS DATE) AS period, ts, event_id, event_type, value FROM ({EVENT_SQL}) AS s)"
 _BY_DATE = f"""{_BASE}, now AS (SELECT period, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std, min(value) AS min, max(value) AS max,
@@ -44,7 +45,41 @@ SELECT period, 'event_type' AS "column", w AS "window", count(*) FILTER (WHERE p
  sum(0.5 * (p * log2(p / (0.5 * (p + q) + 1e-10) + 1e-10) + q * log2(q / (0.5 * (p + q) + 1e-10) + 1e-10))) AS js_distance,
  count(*) FILTER (WHERE p > 0 AND q = 0) AS new_categories FROM j GROUP BY 1, 2, 3"""
 
+_SKETCHED = {"q10": 0.1, "median": 0.5, "q90": 0.9}
+RANK_ERROR, DISTINCT_ERROR = 0.02, 0.05
+
+
+def sketched_years(t):
+    """Years merged from the states of days, and whether their quantiles and distinct counts keep their bounds against the exact values."""
+    states = sketch_state.period_states(items(t), "l_shipdate", ITEM_COLS, "day").withColumn("period", F.date_trunc("year", "period"))
+    facts = sketch_state.finished_states(sketch_state.merged_states(states, ["period", "column"]), ["period", "column"], _SKETCHED)
+    months = profile_state.value_state(items(t), "l_shipdate", "month", ITEM_COLS).where("value is not null")
+    exact = months.withColumn("period", F.date_trunc("year", "period")).groupBy("period", "column", "value").agg(F.sum("n").alias("n"))
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
+    kept = [((share(F.col("value") < F.col(q)) <= p + RANK_ERROR) & (share(F.col("value") <= F.col(q)) >= p - RANK_ERROR)).alias(f"{q}_ok") for q, p in _SKETCHED.items()]
+    near = (F.abs(F.count(F.lit(1)) - F.max("unique_estimate")) <= DISTINCT_ERROR * F.count(F.lit(1)) + 1).alias("unique_ok")
+    checks = exact.join(facts, ["period", "column"]).groupBy("period", "column").agg(*kept, near)
+    return facts.join(checks, ["period", "column"], "left")
+
+
+def sketched_history(t):
+    """For each day of events the merged states of the seven days before it."""
+    states = sketch_state.period_states(sparse_events(t), "ts", ["value", "user_id"])
+    return sketch_state.finished_states(sketch_state.history_states(states, 7), ["period", "column"], {"median": 0.5})
+
+
+_LONG_ITEMS = f"base AS (SELECT date_trunc('year', l_shipdate) AS period, {', '.join(ITEM_COLS)} FROM lineitem), long AS ({long_sql('base', ['period'], ITEM_COLS)})"
+_FACT_COLUMNS = """count(value) AS count, count(*) - count(value) AS missing_count, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_samp(value) AS std,
+ count(*) FILTER (WHERE value = 0) AS zero_count, count(*) FILTER (WHERE value < 0) AS negative_count"""
+_STATE_LAYOUT = "period:d column:s count:i missing_count:i min:f max:f mean:f std:f zero_count:i negative_count:i"
+
 QUERIES = [
+    Query("sketch_years", _STATE_LAYOUT + " q10_ok:b median_ok:b q90_ok:b unique_ok:b", sketched_years,
+          f"""WITH {_LONG_ITEMS} SELECT period, "column", {_FACT_COLUMNS}, true AS q10_ok, true AS median_ok, true AS q90_ok, true AS unique_ok FROM long GROUP BY 1, 2"""),
+    Query("sketch_history", _STATE_LAYOUT, sketched_history,
+          f"""WITH base AS (SELECT date_trunc('day', ts) AS period, value, user_id FROM ({EVENT_SQL}) AS e), long AS ({long_sql('base', ['period'], ['value', 'user_id'])}),
+ d AS (SELECT DISTINCT period FROM base), h AS (SELECT d.period, "column", value FROM d JOIN long AS l ON l.period < d.period AND l.period >= d.period - INTERVAL 7 DAY)
+ SELECT period, "column", {_FACT_COLUMNS} FROM h GROUP BY 1, 2"""),
     Query("date_numeric", "period:d column:s mean:f median:f std:f min:f max:f range:f iqr:f skew:f kurtosis:f zeros_pct:f nulls_pct:f",
           lambda t: history.numeric_by_date(sparse_events(t), "ts", ["value"]), f"WITH {_BY_DATE} SELECT *, 'value' AS \"column\" FROM now"),
     Query("hist_numeric", "period:d column:s window:i mean_diff:f median_diff:f std_ratio:f range_ratio:f zscore:f",

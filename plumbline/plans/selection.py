@@ -59,7 +59,34 @@ _MANY_SQL = f"""own AS (SELECT CAST(o_orderdate AS DATE) AS period, printf('clas
 m AS (SELECT d.period, c.metric, coalesce(own.value, 0) AS value FROM (SELECT DISTINCT period FROM own) d CROSS JOIN (SELECT printf('class_%02d', CAST(i AS INTEGER)) AS metric FROM range({_MANY}) r(i)) c
   LEFT JOIN own ON own.period = d.period AND own.metric = c.metric)"""
 
+# Two standardised metrics with correlation r have the components (x +- y) / sqrt(2), which hold (1 + |r|) / 2 and (1 - |r|) / 2 of the variance.
+PAIR = ["price_mean", "quantity_mean"]
+_PAIR_SQL = f"""WITH {RICH}, x AS (SELECT a.value AS a, b.value AS b FROM m a JOIN m b ON a.period = b.period AND a.metric = '{PAIR[0]}' AND b.metric = '{PAIR[1]}'), r AS (SELECT abs(corr(a, b)) AS r FROM x),
+n AS (SELECT unnest({PAIR}) AS metric)"""
+
+
+def pair_components(t):
+    """How many components the pair needs, for three shares of the variance."""
+    m = rich_months(t)
+    counts = [(share, sel.component_count(m, PAIR, share=share)) for share in (0.5, 0.75, 0.99)]
+    return t.spark.createDataFrame(counts, "share double, components int")
+
+
+def forest_facts(t):
+    """Importances add up to 1 and never fall below 0; a metric that does not vary has none."""
+    m = rich_months(t)
+    flat = m.where("metric = 'row_count'").select("period", F.lit("flat").alias("metric"), F.lit(3.0).alias("value"))
+    found = sel.forest_importance(m.unionByName(flat))
+    return found.agg(F.count(F.lit(1)).alias("metrics"), F.sum("score").alias("total"), F.min("score").alias("least"), F.max(F.when(F.col("metric") == "flat", F.col("score"))).alias("flat"))
+
+
 QUERIES = [
+    Query("component_count_pair", "share:f components:i", pair_components,
+          f"{_PAIR_SQL} SELECT share, CASE WHEN (1 + r) / 2 >= share - 1e-12 THEN 1 ELSE 2 END AS components FROM r, (SELECT unnest([0.5, 0.75, 0.99]) AS share) AS s"),
+    Query("loading_rank_pair", "metric:s score:f", lambda t: sel.loading_rank(rich_months(t), PAIR, 2), f"{_PAIR_SQL} SELECT metric, sqrt(2) AS score FROM n"),
+    Query("reconstruction_rank_pair", "metric:s error:f", lambda t: sel.reconstruction_rank(rich_months(t), PAIR, 1), f"{_PAIR_SQL} SELECT metric, (1 - r) / 2 AS error FROM n, r"),
+    Query("forest_facts", "metrics:i total:f least:f flat:f", forest_facts,
+          f"WITH {RICH} SELECT count(DISTINCT metric) + 1 AS metrics, 1.0 AS total, 0.0 AS least, 0.0 AS flat FROM m"),
     Query("variance_filter", "metric:s variance:f keep:b", lambda t: sel.variance_filter(rich_months(t)),
           f"WITH {RICH} SELECT metric, var_pop(value) AS variance, var_pop(value) > 0.01 AS keep FROM m GROUP BY 1"),
     Query("variance_rank", "metric:s variance:f rank:i", lambda t: sel.variance_rank(rich_months(t)),

@@ -52,7 +52,23 @@ def reconstruction(t):
     return sequence.reconstruction_scores(errors, ["series"], "period")
 
 
+def pair_reconstruction(t):
+    """Pairs of neighbouring months, projected on their one main direction."""
+    wide = t.lineitem.groupBy(F.date_trunc("month", "l_shipdate").alias("period")).agg(F.avg("l_quantity").alias("q"))
+    pairs = sequence.sliding_sequences(wide.withColumn("series", F.lit("items")), ["series"], "period", ["q"], 2)
+    return sequence.reconstruction_errors(pairs, ["series", "period"], ["q"], 1)
+
+
+# What one component leaves of two centred values is their part along the other direction of the covariance (a b; b d).
+_PAIR_SQL = """WITH w AS (SELECT date_trunc('month', l_shipdate) AS period, avg(l_quantity) AS q FROM lineitem GROUP BY 1),
+p AS (SELECT period, lag(q) OVER (ORDER BY period) AS x, q AS y FROM w QUALIFY x IS NOT NULL),
+c AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM p),
+e AS (SELECT *, (a + d - sqrt((a - d) ** 2 + 4 * b * b)) / 2 AS low FROM c),
+v AS (SELECT *, b / sqrt(b * b + (low - a) ** 2) AS u, (low - a) / sqrt(b * b + (low - a) ** 2) AS w FROM e)
+SELECT period, (u * (x - mx) + w * (y - my)) ** 2 / 2 AS error FROM p, v"""
+
 QUERIES = [
+    Query("pca_recon_pair", "period:d error:f", pair_reconstruction, _PAIR_SQL),
     Query("sequences", "series:s period:d n:i first_q:f last_d:f",
           lambda t: month_sequences(t).select("series", "period", F.size("sequence").alias("n"), F.col("sequence")[0]["q"].alias("first_q"),
                                               F.col("sequence")[5]["d"].alias("last_d")),
