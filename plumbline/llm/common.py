@@ -61,10 +61,21 @@ def pieces_of(batches: Iterator, rows: int) -> Iterator:
             yield batch.slice(at, rows)
 
 
+_caches: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """A dictionary that lives as long as its worker; tasks of other operators may empty it."""
+    _caches.append(cache)
+    return cache
+
+
 def release_memory() -> None:
-    """Gives what earlier tasks of a reused worker have freed back to the system, where the C library can."""
+    """Empties the caches of a reused worker and gives what earlier tasks have freed back to the system, where the C library can."""
     import pyarrow as pa
 
+    for cache in _caches:
+        cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import worker_cache, written
 
 BUCKETS = 1 << 15
 DIM = 64
@@ -50,7 +50,7 @@ class _Buckets(dict):
         return out
 
 
-_buckets = _Buckets()
+_buckets = worker_cache(_Buckets())
 
 
 def token_ids(text: str | None) -> np.ndarray:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import open_folder, shared_folder, written
+from plumbline.llm.common import open_folder, shared_folder, worker_cache, written
 
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
@@ -134,7 +134,7 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             flat.astype(np.int16 if len(flat) and max(flat.max(), -flat.min()) < 1 << 15 else np.int32), batch.column("dim").to_numpy(zero_copy_only=False))
 
 
-_slabs: dict[str, dict[str, np.ndarray]] = {}
+_slabs: dict[str, dict[str, np.ndarray]] = worker_cache({})
 
 
 def _load(uri: str, cache_bytes: int = CACHE_BYTES) -> dict[str, np.ndarray]:

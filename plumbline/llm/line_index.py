@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from plumbline.llm.common import open_folder, pieces_of, shared_folder, written
+from plumbline.llm.common import open_folder, pieces_of, shared_folder, worker_cache, written
 
 LEAST_DOCUMENTS = 10
 KEYS_PER_SHARD = 65536
@@ -150,7 +150,7 @@ def build_index(lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tuple
     return [(r.shard, f"{folder}/{r.name}") for r in names.orderBy("shard").collect()], shards
 
 
-_decoded: dict[str, Shard] = {}
+_decoded: dict[str, Shard] = worker_cache({})
 
 
 def _load(uri: str, cache_bytes: int) -> Shard:

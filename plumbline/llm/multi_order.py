@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from plumbline.llm.common import release_memory, written
+from plumbline.llm.common import release_memory, worker_cache, written
 from plumbline.llm.components import components
 from plumbline.operators.joins import checked_broadcast
 
@@ -62,7 +62,7 @@ class _WordHashes(dict):
         return out
 
 
-_hashes = _WordHashes()
+_hashes = worker_cache(_WordHashes())
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:

@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import release_memory
+
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 KEPT_SEGMENTS = 3 << 18
@@ -258,6 +260,7 @@ def encode_documents(docs: DataFrame, model_file: str = PIECES) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory()
         t = transducer(model_file)
         is_byte = np.array([p[2] == BYTE for p in t.pieces])
         for batch in batches:
