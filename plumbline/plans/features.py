@@ -151,7 +151,7 @@ QUERIES = [
  SELECT period, metric, CASE WHEN value <= 0 THEN floor ELSE value END AS value FROM z, q"""),
     Query("rolling", f"{_ROLL} mean:f std:f min:f max:f zscore:f anomaly:i", lambda t: rolling.rolling_features(order_days(t)), _rolling_sql()),
     Query("rolling_slope", f"{_ROLL} trend:f diff:f ratio:f", lambda t: rolling.rolling_features(order_days(t)), _rolling_sql()),
-    Query("rolling_flat", "metric:s present:i total:g",
+    Query("rolling_flat_windows", "metric:s present:i total:g",
           lambda t: rolling.rolling_metrics(rolling.rolling_features(order_days(t))).groupBy("metric").agg(
               F.count("value").alias("present"), F.sum("value").alias("total")),
           "WITH x AS (" + _rolling_sql() + ") " + " UNION ALL ".join(
@@ -159,6 +159,14 @@ QUERIES = [
               for w in (7, 14, 30, 90)
               for n, c in [("rolling_{}d_mean", "mean"), ("rolling_{}d_std", "std"), ("rolling_{}d_min", "min"), ("rolling_{}d_max", "max"), ("zscore_{}d", "zscore"),
                            ("anomaly_{}d", "anomaly"), ("trend_{}d", "trend"), ("diff_{}d", "diff"), ("ratio_{}d", "ratio")])),
+    Query("rolling_flat", "metric:s present:i least:f most:f",
+          lambda t: rolling.rolling_metrics(rolling.rolling_features(order_days(t))).groupBy("metric").agg(
+              F.count("value").alias("present"), F.min("value").alias("least"), F.max("value").alias("most")),
+          "WITH x AS (" + _rolling_sql() + ") " + " UNION ALL ".join(
+              f"SELECT metric || '_{n.format(w)}' AS metric, count({c}) AS present, min({c}) AS least, max({c}) AS most FROM x WHERE \"window\" = {w} GROUP BY 1"
+              for w in (7, 14, 30, 90)
+              for n, c in [("rolling_{}d_mean", "mean"), ("rolling_{}d_std", "std"), ("rolling_{}d_min", "min"), ("rolling_{}d_max", "max"), ("zscore_{}d", "zscore"),
+                           ("anomaly_{}d", "anomaly"), ("trend_{}d", "trend"), ("diff_{}d", "diff"), ("ratio_{}d", "ratio")])),
     Query("lags", "period:d metric:s lag:i lagged:f diff:f", lambda t: rolling.lag_features(order_days(t)),
           f"WITH d AS ({ORDER_DAYS_SQL}) " + " UNION ALL ".join(
               f"""SELECT period, metric, {k} AS lag, coalesce(lag(value, {k}) OVER (PARTITION BY metric ORDER BY period), 0) AS lagged,
