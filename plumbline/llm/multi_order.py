@@ -13,8 +13,9 @@ Documents are sets of hashed word shingles; two link when ``100 * intersection >
    centre of all its lists: a few pairs per set, however long the lists. Pairs of all orders are intersected and compared exactly. A second
    round with more permutations goes over the lists that still hold several components.
 5. *Rest.* In lists that still hold several components, members outside the largest are paired with all members of other
-   components, unless sizes or places in the prefix rule a link out. Pairs within a component cannot change it, so no link between
-   components is lost.
+   components, unless sizes, places in the prefix or parities rule a link out. Parities are bits that tell whether an odd number of
+   a set's tokens falls into each of 1,024 hash classes: two sets differ in at least as many tokens as their parities differ in bits, so
+   no link is ruled out. Pairs within a component cannot change it, so no link between components is lost.
 
 Sets are compared in chunks of bounded size: a chunk gets each set it needs once. Counts and hashes are exact but for 64-bit
 collisions; the sketch and the orders affect speed alone.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from plumbline.llm.common import release_memory, worker_cache, written
+from plumbline.llm.common import pieces_of, release_memory, worker_cache, written
 from plumbline.llm.components import components
 from plumbline.operators.joins import checked_broadcast
 
@@ -49,6 +50,8 @@ COUNTERS = 1 << 23
 COUNTER_BLOCK = 1 << 17
 CHUNK_TOKENS = 4_000_000
 CHUNK_PAIRS = 2_000
+PARITY_LONGS = 16  # 64 hash classes each
+PARITY_ROWS = 500
 MANY = 0xFFFF  # owner of a token that several documents of a block hold
 BROADCAST_IDS = 2_000_000
 SEED = 17
@@ -355,18 +358,41 @@ def _under_all_orders(pairs: DataFrame, orders: int) -> DataFrame:
     return seen.filter(F.col("seen") == (1 << orders) - 1).select("a", "b", "n")
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+def parities(sets: DataFrame, longs: int = PARITY_LONGS) -> DataFrame:
+    """node, parity: per set the bits of its hash classes with an odd number of tokens, as ``longs`` numbers."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bits = 64 * longs
+        for batch in pieces_of(batches, PARITY_ROWS):
+            tokens, ends = _tokens(batch)
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            place = rows * bits + (_mix(tokens, SEED) % np.uint64(bits)).astype(np.int64)
+            odd = np.bincount(place, minlength=batch.num_rows * bits) & 1
+            packed = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            starts = pa.array(np.arange(0, len(packed) + 1, longs), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(starts, pa.array(packed, pa.int64()))], names=["node", "parity"])
+
+    return sets.select("node", "tokens").mapInArrow(run, "node bigint, parity array<bigint>")
+
+
+def cross_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """a, b, n: pairs across components within lists that hold more than one, intersected over the orders."""
     named = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     each = named.groupBy("k", "token", "label").agg(F.count(F.lit(1)).alias("members"))
     mixed = each.groupBy("k", "token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label"))["label"].alias("major")).filter("labels > 1").drop("labels")
-    rows = written(named.join(mixed, ["k", "token"]).withColumn("minor", F.col("label") != F.col("major")))
-    left = rows.filter("minor").select("k", "token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"))
-    right = rows.select("k", "token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), "minor")
+    bits = [F.get("parity", F.lit(i)).alias(f"w{i}") for i in range(PARITY_LONGS)]
+    rows = named.join(mixed, ["k", "token"]).join(parities(sets).select("node", *bits), "node")
+    rows = written(rows.withColumn("minor", F.col("label") != F.col("major")))
+    side = lambda c: [F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}"), F.col("label").alias(f"l{c}"),
+                      *[F.col(f"w{i}").alias(f"{c}{i}") for i in range(PARITY_LONGS)]]
+    left, right = rows.filter("minor").select("k", "token", *side("x")), rows.select("k", "token", *side("y"), "minor")
     # at the first token that two sets share, no more than what follows it in either prefix order can be common
     common = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(PARITY_LONGS)), F.lit(0))
+    both = F.col("nx") + F.col("ny")
     made = left.join(right, ["k", "token"]).filter(
-        ((100 + percent) * common >= percent * (F.col("nx") + F.col("ny"))) &
+        ((100 + percent) * common >= percent * both) & ((100 + percent) * apart <= (100 - percent) * both) &
         (F.col("lx") != F.col("ly")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
     return _under_all_orders(made.select("k", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.greatest("nx", "ny").alias("n")), orders)
 
@@ -428,7 +454,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     lists = _lists(prefixes(sets, percent, orders))
     links = verified(star_pairs(lists, None, centres, orders, SEED), sets, percent)
     labels = written(components(links))
-    for pairs in (lambda: star_pairs(lists, labels, more_centres, orders, SEED + 1), lambda: cross_pairs(lists, labels, percent, orders)):
+    for pairs in (lambda: star_pairs(lists, labels, more_centres, orders, SEED + 1), lambda: cross_pairs(lists, labels, sets, percent, orders)):
         more = verified(pairs(), sets, percent)
         if not more.isEmpty():
             links = links.union(more)

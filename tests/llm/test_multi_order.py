@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from plumbline.llm import components as cc
@@ -108,6 +109,37 @@ def test_single_copies_among_forms(spark):
     assert run(spark, rows) == want
 
 
+def test_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 40, 300, 3000)]
+    sets += [np.unique(np.concatenate((sets[3][: 300 - d], rng.integers(0, 1 << 63, d, dtype=np.uint64)))) for d in (1, 10, 60)]
+    df = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "node bigint, tokens array<bigint>")
+    found = {r.node: np.array(r.parity).view(np.uint64) for r in mo.parities(df).collect()}
+    apart = lambda a, b: sum(int(x).bit_count() for x in found[a] ^ found[b])
+    assert len(found) == len(sets) and apart(0, 0) == 0 and apart(0, 1) == 1
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            assert apart(a, b) <= len(np.setxor1d(sets[a], sets[b]))
+    assert apart(3, 5) >= 1 and apart(3, 7) > 60  # close to the true difference while it is small
+
+
+def test_forms_that_share_a_passage_make_few_pairs(spark):
+    """Forms with a common passage of most of their words, none of which link: the rest makes hardly any pair to compare."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    passage = [word() for _ in range(150)]
+    rows = [(i, " ".join(passage + [word() for _ in range(rng.randint(55, 75))])) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)
+    got = mo.near_duplicates(docs).collect()
+    assert all(r.doc_id == r.component_id for r in got) and len(got) == 300
+    shingles = {i: sets_of(t) for i, t in rows}
+    ordered = [(i, sorted(hash(x) & (1 << 62) - 1 for x in shingles[i])) for i in shingles]
+    sets = spark.createDataFrame(ordered, "node bigint, tokens array<bigint>")
+    common = sorted(set.intersection(*[set(s) for _, s in ordered]))[:2]
+    lists = spark.createDataFrame([(k, t, i, len(s), 1) for k in range(3) for t in common for i, s in ordered], "k int, token bigint, node bigint, n int, place int")
+    assert mo.cross_pairs(lists, spark.createDataFrame([], "node bigint, label bigint"), sets).count() <= 3 * len(rows)
+
+
 def test_pairs_of_a_list_grow_with_its_length(spark):
     made = []
     for members in (100, 400):
