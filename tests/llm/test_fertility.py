@@ -69,3 +69,22 @@ def test_junk_is_rejected_and_prose_kept(spark):
 
 def test_empty_table(spark):
     assert fe.judge(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_byte_level_vocabulary_and_pieces_of_a_batch(monkeypatch):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(fe.BYTE_LEVEL)
+    texts = [(t or "").encode() if t is not None else None for t in TEXTS] + ["Fluß 中文 \U0001f600 of a long day".encode()]
+    costs = fe.WordCosts(fe.PIECES, fe.BYTE_LEVEL)
+    whole = fe.measure_texts(texts, costs, (fe.BANDS, fe.BYTE_LEVEL_BANDS))
+    for i, t in enumerate(texts):
+        ids = [x for w in (t or b"").split() for x in model.encode(" " + w.decode(), add_special_tokens=False).ids]
+        p = np.array(list(Counter(ids).values())) / max(1, len(ids))
+        assert whole["byte_level_tokens"][i] == len(ids) and whole["byte_level_entropy"][i] == pytest.approx(-(p * np.log2(p)).sum())
+        partial = sum("\ufffd" in model.decode([x]) for x in ids)
+        assert whole["byte_level_partial_share"][i] == pytest.approx(partial / max(1, len(ids)))
+    monkeypatch.setattr(fe, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(fe, "CACHED_WORDS", 3)  # numbers start again with every text
+    one_by_one = [fe.measure_texts([t], costs, (fe.BANDS, fe.BYTE_LEVEL_BANDS)) for t in texts]
+    assert {k: [x[k][0] for x in one_by_one] for k in whole} == {k: pytest.approx(v) if isinstance(v[0], float) else v for k, v in whole.items()}
