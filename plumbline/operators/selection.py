@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from plumbline.sources.checkpoint import cut
 
 VARIANCE, CORRELATION, SHARE = 0.01, 0.95, 0.95
+DENSE = 512  # more metrics than this never meet in one matrix
+BLOCK_METRICS, BLOCK_VALUES = 256, 1 << 22
 
 
 def metric_names(metrics: DataFrame) -> list[str]:
@@ -60,12 +63,49 @@ def _correlated(metrics: DataFrame, names: list[str], threshold: float) -> list[
 
 
 def correlation_filter(metrics: DataFrame, names: list[str] | None = None, threshold: float = CORRELATION) -> DataFrame:
-    """(metric, keep): the later of two strongly correlated metrics goes; names are taken in the given order."""
+    """(metric, keep): the later of two strongly correlated metrics goes; names are taken in the given order, else sorted.
+
+    Without names, more than DENSE metrics are compared block by block, see :func:`wide_correlation_filter`.
+    """
+    if names is None and metrics.select("metric").distinct().limit(DENSE + 1).count() > DENSE:
+        return wide_correlation_filter(metrics, threshold)
     names = names or metric_names(metrics)
     gone = set(_correlated(metrics, names, threshold))
     return metrics.sparkSession.createDataFrame([(n, n not in gone) for n in names], "metric string, keep boolean")
 
 
+def wide_correlation_filter(metrics: DataFrame, threshold: float = CORRELATION) -> DataFrame:
+    """(metric, keep) for any number of metrics: the later name of two strongly correlated ones goes; missing is 0.
+
+    Metrics are dealt to blocks by a hash, every pair of blocks is one matrix product in one task. A block holds at most about
+    BLOCK_METRICS metrics and BLOCK_VALUES values, so long histories make smaller blocks. No matrix or list of names comes to the driver.
+    """
+    metrics = cut(metrics.select("period", "metric", F.coalesce("value", F.lit(0.0)).alias("value")))
+    periods = metrics.select("period").distinct().withColumn("_at", F.row_number().over(Window.orderBy("period")) - 1)
+    n_periods, n_metrics = metrics.agg(F.count_distinct("period"), F.count_distinct("metric")).first()
+    blocks = max(1, -(-n_metrics // max(1, min(BLOCK_METRICS, BLOCK_VALUES // max(1, n_periods)))))
+    block = F.pmod(F.xxhash64("metric"), F.lit(blocks)).cast("int")
+    series = metrics.join(periods, "period").groupBy("metric").agg(F.collect_list("_at").alias("at"), F.collect_list("value").alias("value"))
+    series = series.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keyed = series.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "metric", "at", "value")
+
+    def later(pdf):
+        z = np.zeros((len(pdf), n_periods))
+        for row, at, value in zip(z, pdf["at"], pdf["value"], strict=True):
+            row[at] = value
+        z -= z.mean(axis=1, keepdims=True)
+        length = np.sqrt((z * z).sum(axis=1, keepdims=True))
+        z = np.divide(z, length, out=np.zeros_like(z), where=length > 0)
+        names, first = pdf["metric"].to_numpy(), (pdf["block"] == pdf["low"]).to_numpy()
+        rows, cols = np.flatnonzero(first), np.arange(len(pdf)) if pdf["low"].iat[0] == pdf["high"].iat[0] else np.flatnonzero(~first)
+        a, b = np.nonzero(np.abs(z[rows] @ z[cols].T) > threshold)
+        pairs = ((names[rows[i]], names[cols[j]]) for i, j in zip(a, b, strict=True) if rows[i] != cols[j])
+        return pd.DataFrame({"metric": pd.Series(sorted({max(p) for p in pairs}), dtype=object)})
+
+    gone = keyed.groupBy("low", "high").applyInPandas(later, "metric string").distinct().withColumn("_gone", F.lit(True))
+    return metrics.select("metric").distinct().join(gone, "metric", "left").select("metric", F.col("_gone").isNull().alias("keep"))
+
+
 def _pca(metrics: DataFrame, names: list[str], k: int):
     rows = vectors(metrics, names, standardised=True).withColumn("v", array_to_vector("x"))
     return rows, PCA(k=k, inputCol="v", outputCol="p").fit(rows)

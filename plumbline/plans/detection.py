@@ -62,8 +62,8 @@ def quality_features(df: DataFrame, ts: str, period: str, columns: list[str], wi
     profile = quality_profile.quality_metrics(df, ts, period, columns)
     base = cut(profile.select("period", F.concat_ws("_", "column", "metric").alias("metric"), "value"))
     features = cut(rolling.feature_table(base, windows, lags))
-    varied = [r["metric"] for r in selection.variance_filter(features, variance).where("keep").orderBy("metric").collect()]
-    kept = selection.correlation_filter(features.where(F.col("metric").isin(*varied)), varied, threshold).where("keep").select("metric")
+    varied = cut(features.join(selection.variance_filter(features, variance).where("keep").select("metric"), "metric", "left_semi"))
+    kept = selection.correlation_filter(varied, threshold=threshold).where("keep").select("metric")
     return features.join(kept, "metric", "left_semi")
 
 

@@ -50,6 +50,14 @@ def impact_of_customers(t):
     return lineage.impact(edges(t), starts).groupBy("start").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
 
 
+def reach_of_customers(t):
+    """Sketched sizes of what each customer's data reaches, and whether they lie within a tenth of the exact numbers."""
+    exact = impact_of_customers(t).select(F.col("start").alias("node"), F.col("nodes").alias("exact"))
+    sketched = lineage.reach_sizes(edges(t))
+    close = F.abs(F.coalesce("nodes", F.lit(1)) - F.col("exact")) <= 0.1 * F.col("exact") + 1
+    return exact.join(sketched, "node", "left").select(F.col("node").alias("start"), "exact", close.alias("close"))
+
+
 def answers(t):
     """Model answers with column edges, made from orders; some are broken."""
     body = F.format_string('Sure: {"lineage": [{"source_columns": ["%s", "b"], "target_column": "t", "operation": "%s"}]}', F.col("o_orderstatus"), F.col("o_orderpriority"))
@@ -72,6 +80,11 @@ QUERIES = [
     Query("lineage_checked", "source:s known_source:b known_target:b n:i", checked_edges,
           f"""WITH {_LOG}, g AS (SELECT job, stage_no, list(col) FILTER (WHERE was IS NOT NULL) AS i, list(col) FILTER (WHERE now IS NOT NULL) AS o FROM j GROUP BY 1, 2),
  e AS (SELECT *, unnest(['p1', 's1']) AS source FROM g) SELECT source, coalesce(list_contains(i, source), false) AS known_source, coalesce(list_contains(o, 'p2'), false) AS known_target, count(*) AS n FROM e GROUP BY 1, 2, 3"""),
+    Query("lineage_reach", "start:s exact:i close:b", reach_of_customers,
+          """WITH l0 AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node FROM customer),
+ l1 AS (SELECT DISTINCT start, 'o' || o_orderkey AS node FROM l0 JOIN orders ON node = 'c' || o_custkey), l2 AS (SELECT DISTINCT start, 'p' || l_partkey AS node FROM l1 JOIN lineitem ON node = 'o' || l_orderkey),
+ ps AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), l3 AS (SELECT DISTINCT start, s AS node FROM l2 JOIN ps ON node = p)
+ SELECT start, count(*) AS exact, true AS close FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) AS u GROUP BY 1"""),
     Query("lineage_closure", "start:s nodes:i depth:i", impact_of_customers,
           """WITH l0 AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS depth FROM customer),
  l1 AS (SELECT DISTINCT start, 'o' || o_orderkey AS node, 1 AS depth FROM l0 JOIN orders ON node = 'c' || o_custkey),
