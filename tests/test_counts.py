@@ -47,6 +47,14 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert one == many
 
 
+def test_bucket_of_a_value_does_not_depend_on_partitioning(spark):
+    vc = spark.range(30_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 30_011).cast("double").alias("value"), F.lit(1).alias("n"))
+    one, many = [counts._bucketed(df, ["g"], "value", ("n",), 64)[0].orderBy("value").collect() for df in (vc.coalesce(1), vc.repartition(7))]
+    assert one == many
+    sizes = pd.Series([r["_bucket"] for r in one]).value_counts()
+    assert len(sizes) == 64 and sizes.max() < 4 * 30_000 / 64
+
+
 def test_top_values_break_ties_by_value(spark):
     df = frame(spark, pd.DataFrame({"g": ["a"] * 5, "value": [3.0, 3.0, 1.0, 1.0, 2.0]}))
     top = counts.top_values(counts.value_counts(df, ["g"]), ["g"], 2).orderBy("rank").collect()
