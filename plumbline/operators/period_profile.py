@@ -318,6 +318,22 @@ def period_profile(
     return out
 
 
+def registered_metrics(df: DataFrame, ts: str, extra: Registry, period: str = "day", skip: tuple[str, ...] = (), label: str = "start") -> DataFrame:
+    """(period, metric, value): only the metrics of the registry, as :func:`period_profile` gives them; each column is read once."""
+    use = df.drop(*skip)
+    kinds = columns_by_kind(use, (ts,))
+    out = None
+    for kind, numeric, texts in (("numeric", list(kinds.numeric), []), ("text", [], list(kinds.categorical))):
+        if (numeric or texts) and extra.names(kind):
+            state = value_state(use, ts, period, numeric, texts, label)
+            counts = numbers_of(state, numeric) if numeric else texts_of(state, texts)
+            part = to_metrics(extra.of(counts, PC, kind))
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no registered metric fits a column of the table")
+    return out
+
+
 def pivot_metrics(metrics: DataFrame, names: list[str], period: str = "period") -> DataFrame:
     """One row per period with one column per metric name."""
     return metrics.where(F.col("metric").isin(*names)).groupBy(period).pivot("metric", names).agg(F.first("value"))

@@ -44,6 +44,15 @@ def test_own_metrics_in_the_column_profile(spark):
     assert got["s"].mean_length == 2.0 and got["s"].top_share == pytest.approx(1 / 3) and got["x"].top_share is None
 
 
+def test_registered_metrics_alone_equal_those_of_the_whole_profile(spark):
+    own, items = own_registry(), whole_items(Tables(spark, FOLDER))
+    whole = period_profile.period_profile(items, "l_shipdate", "month", skip=("line",), extra=own).where(F.col("metric").rlike("_(" + "|".join(own.names()) + ")$"))
+    alone = period_profile.registered_metrics(items, "l_shipdate", own, "month", skip=("line",))
+    got, want = ({(r.period, r.metric): r.value for r in x.collect()} for x in (alone, whole))
+    assert len(got) > 100 and got == pytest.approx(want, nan_ok=True)
+    assert "Window" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
 def test_states_merge_to_the_state_of_the_whole(spark):
     own = own_registry()
     items = whole_items(Tables(spark, FOLDER))
