@@ -23,7 +23,8 @@ def schema_changes(snapshots: DataFrame) -> DataFrame:
     """(job, stage_no, input, output, new, dropped, kept, retyped columns) for each stage after the first of its job."""
     columns = F.array_sort(F.collect_set(F.struct("column", "type")))
     order = Window.partitionBy("job").orderBy("stage_no")
-    steps = snapshots.groupBy("job", "stage_no").agg(columns.alias("_new")).withColumn("_old", F.lag("_new").over(order)).where(F.col("_old").isNotNull())
+    # one shuffle by job serves the stages and their order
+    steps = snapshots.repartition("job").groupBy("job", "stage_no").agg(columns.alias("_new")).withColumn("_old", F.lag("_new").over(order)).where(F.col("_old").isNotNull())
     old, new = F.transform("_old", lambda x: x["column"]), F.transform("_new", lambda x: x["column"])
     changed = F.filter("_new", lambda x: F.array_contains(old, x["column"]) & ~F.array_contains(F.col("_old"), x))
     return steps.select(

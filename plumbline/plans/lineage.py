@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import lineage
 from plumbline.plans.features import order_days
 from plumbline.plans.registry import Query
+from plumbline.sources.checkpoint import stored
 
 
 def job_log(t):
@@ -66,7 +67,7 @@ def answers(t):
 
 
 def checked_edges(t):
-    changes = lineage.schema_changes(job_log(t))
+    changes = stored(lineage.schema_changes(job_log(t)).select("job", "stage_no", "input_columns", "output_columns"))  # read for edges and facts
     e = changes.select("job", "stage_no", F.explode(F.array(F.lit("p1"), F.lit("s1"))).alias("source"), F.lit("p2").alias("target"), F.lit("copy").alias("operation"))
     return lineage.check_edges(e, changes).groupBy("source", "known_source", "known_target").agg(F.count(F.lit(1)).alias("n"))
 

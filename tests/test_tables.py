@@ -20,6 +20,12 @@ def test_schema_diff(spark):
     assert (c.stage_no, c.kept_columns, c.retyped_columns) == (5, ["id", "v"], ["id"])
 
 
+def test_schema_changes_move_snapshots_once(spark):
+    rows = spark.range(10).select(F.col("id").cast("string").alias("job"), F.lit(1).alias("stage_no"), F.lit("s").alias("stage"), F.lit("a").alias("column"), F.lit("t").alias("type"))
+    plan = lineage.schema_changes(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_impact_with_a_cycle_and_a_hub(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")] + [("d", f"x{i}") for i in range(50)], "source string, target string")
     got = {(r.start, r.node): r.depth for r in lineage.impact(edges, spark.createDataFrame([("a",), ("x1",)], "start string")).collect()}
