@@ -117,6 +117,13 @@ def test_a_long_chain_is_followed_to_its_end(spark):
         lineage.impact(edges, spark.createDataFrame([("n0",)], "start string"), max_rounds=5)
 
 
+def test_reached_pairs_are_stored_by_start(spark):
+    edges = spark.createDataFrame([("a", f"b{i}") for i in range(50)], "source string, target string")
+    out = lineage.impact(edges, spark.createDataFrame([("a",)], "start string"))
+    files = out.inputFiles()
+    assert out.count() == 51 and files and all(f.endswith(".parquet") for f in files) and len(files) <= lineage.SLICES + 1
+
+
 def test_null_policy_and_type_repair(spark):
     df = spark.createDataFrame([(i, None, "1,2" if i else None, str(i), "k") for i in range(12)], "i int, gone string, l string, n string, few string")
     assert cleaning.repair_types(df).dtypes == [("i", "int"), ("l", "double"), ("n", "double")]
