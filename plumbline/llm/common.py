@@ -70,12 +70,13 @@ def worker_cache(cache: dict) -> dict:
     return cache
 
 
-def release_memory() -> None:
-    """Empties the caches of a reused worker and gives what earlier tasks have freed back to the system, where the C library can."""
+def release_memory(kept: dict | None = None) -> None:
+    """Empties the caches of a reused worker, all but ``kept``, and gives what earlier tasks have freed back to the system, where the C library can."""
     import pyarrow as pa
 
     for cache in _caches:
-        cache.clear()
+        if cache is not kept:
+            cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

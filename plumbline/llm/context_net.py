@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import worker_cache, written
+from plumbline.llm.common import release_memory, worker_cache, written
 
 BUCKETS = 1 << 15
 DIM = 64
@@ -82,6 +82,7 @@ def context_sums(docs: DataFrame, seed: int = SEED) -> np.ndarray:
     def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory(_buckets)
         places, signs = index_vectors(seed)
         sums = np.zeros(BUCKETS * DIM, np.int64)
         for batch in batches:
@@ -203,6 +204,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED, hidden: int = HIDDEN,
 def features(docs: DataFrame, vectors, keep: list[str]) -> DataFrame:
     """``keep`` and the pooled features; ``vectors`` is a broadcast variable."""
     def pool(batches: Iterator) -> Iterator:
+        release_memory(_buckets)
         for f in batches:
             f["features"] = [pooled(t, vectors.value) for t in f.pop("text")]
             yield f
@@ -235,6 +237,7 @@ def score(docs: DataFrame, vectors, network: Network, threshold: float = 0.7) ->
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory(_buckets)
         for batch in batches:
             x = np.array([pooled(t.as_py(), vectors.value) for t in batch.column("text")]).reshape(-1, 2 * DIM)
             scores = network.scores(x)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from plumbline.llm.common import open_folder, pieces_of, shared_folder, worker_cache, written
+from plumbline.llm.common import open_folder, pieces_of, release_memory, shared_folder, worker_cache, written
 
 LEAST_DOCUMENTS = 10
 KEYS_PER_SHARD = 65536
@@ -114,6 +114,7 @@ def frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> D
     def hashes(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory()
         for batch in pieces_of(batches, 512):
             each = [np.unique(hash_lines(t.as_py()), axis=0) for t in batch.column("text")]
             both = np.concatenate(each) if each else np.empty((0, 2), np.uint64)
@@ -177,6 +178,7 @@ def drop_lines(docs: DataFrame, index: tuple[list[str], int], least_documents: i
     def probe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory(_decoded)
         for batch in pieces_of(batches, batch_rows):
             each = [hash_lines(t.as_py()) for t in batch.column("text")]
             both = np.concatenate(each) if each else np.empty((0, 2), np.uint64)

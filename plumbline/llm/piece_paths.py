@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import release_memory
+from plumbline.llm.common import release_memory, worker_cache
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -242,11 +242,11 @@ def compile_model(model_file: str = PIECES) -> PieceTransducer:
     return PieceTransducer([(p.piece, p.score, p.type) for p in model.pieces], normaliser, model.trainer_spec.model_type == 2)
 
 
-_compiled: dict[str, PieceTransducer] = {}
+_compiled: dict[str, PieceTransducer] = worker_cache({})  # with the paths and verdicts that a model has gathered
 
 
 def transducer(model_file: str = PIECES) -> PieceTransducer:
-    """Compiled once per worker."""
+    """Compiled once per worker, and again after another operator's tasks emptied it."""
     if model_file not in _compiled:
         _compiled[model_file] = compile_model(model_file)
     return _compiled[model_file]
@@ -260,7 +260,7 @@ def encode_documents(docs: DataFrame, model_file: str = PIECES) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        release_memory()
+        release_memory(_compiled)
         t = transducer(model_file)
         is_byte = np.array([p[2] == BYTE for p in t.pieces])
         for batch in batches:
