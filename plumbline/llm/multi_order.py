@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -323,24 +323,25 @@ def prefixes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS, seed
 
 
 def _lists(rows: DataFrame) -> DataFrame:
-    """The rows of tokens that more than one set has in its prefix; one shuffle serves the count and the join."""
-    dealt = rows.repartition("k", "token")
-    several = dealt.groupBy("k", "token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("k", "token")
-    return written(dealt.join(several, ["k", "token"], "left_semi"))
+    """The rows of tokens that more than one set has in its prefix, in one shuffle."""
+    members = F.count(F.lit(1)).over(Window.partitionBy("k", "token"))
+    return written(rows.withColumn("members", members).filter("members > 1").drop("members"))
 
 
 def star_pairs(lists: DataFrame, labels: DataFrame | None = None, centres: int = CENTRES, orders: int = ORDERS, seed: int = SEED) -> DataFrame:
     """a, b, n: each node with, per fixed permutation, the first centre of all its lists; pairs that come up under every order.
 
     The centre of a list is its node nearest to a constant by xor, so one constant makes one permutation. Lists and pairs within
-    one component of ``labels`` (node, label) are left out. There are at most ``centres`` pairs per node.
+    one component of ``labels`` (node, label) are left out. There are at most ``centres`` pairs per node. A list's rows are
+    shuffled once and get its centres from a window, so that no table of lists x centres is shuffled beside them.
     """
     marks = [int(x) for x in np.random.default_rng(seed).integers(-(1 << 62), 1 << 62, centres)]
     near = lambda m: F.col("node").bitwiseXOR(F.lit(m))
     rows = lists if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = F.count(F.lit(1)) > 1 if labels is None else F.min("label") != F.max("label")
-    best = rows.groupBy("k", "token").agg(apart.alias("apart"), *[F.min(near(m)).alias(f"c{i}") for i, m in enumerate(marks)]).filter("apart")
-    met = lists.join(best.drop("apart"), ["k", "token"])
+    whole = Window.partitionBy("k", "token")
+    rows = rows.repartition("k", "token")  # so that what the window works on is made behind the shuffle
+    apart = F.count(F.lit(1)).over(whole) > 1 if labels is None else F.min("label").over(whole) != F.max("label").over(whole)
+    met = rows.select("k", "node", "n", apart.alias("apart"), *[F.min(near(m)).over(whole).alias(f"c{i}") for i, m in enumerate(marks)]).filter("apart")
     first = met.groupBy("k", "node").agg(F.max("n").alias("n"), *[F.min(F.when(F.col(f"c{i}") != near(m), F.col(f"c{i}"))).alias(f"c{i}") for i, m in enumerate(marks)])
     own = F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(marks)]))
     made = first.select("k", "node", "n", F.explode(F.filter(own, lambda c: c.isNotNull())).alias("centre"))
@@ -379,10 +380,12 @@ def parities(sets: DataFrame, longs: int = PARITY_LONGS) -> DataFrame:
 def cross_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """a, b, n: pairs across components within lists that hold more than one, intersected over the orders."""
     named = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    each = named.groupBy("k", "token", "label").agg(F.count(F.lit(1)).alias("members"))
-    mixed = each.groupBy("k", "token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label"))["label"].alias("major")).filter("labels > 1").drop("labels")
+    whole = Window.partitionBy("k", "token")
+    sized = named.repartition("k", "token").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("k", "token", "label")))
+    mixed = sized.withColumns({"mixed": F.min("label").over(whole) != F.max("label").over(whole), "major": F.max(F.struct("members", "label")).over(whole)["label"]})
+    mixed = mixed.filter("mixed").drop("members", "mixed")
     bits = [F.get("parity", F.lit(i)).alias(f"w{i}") for i in range(PARITY_LONGS)]
-    rows = named.join(mixed, ["k", "token"]).join(parities(sets).select("node", *bits), "node")
+    rows = mixed.join(parities(sets).select("node", *bits), "node")
     rows = written(rows.withColumn("minor", F.col("label") != F.col("major")))
     side = lambda c: [F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}"), F.col("label").alias(f"l{c}"),
                       *[F.col(f"w{i}").alias(f"{c}{i}") for i in range(PARITY_LONGS)]]

@@ -168,3 +168,16 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.label for r in cc.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {n: find(n) for e in edges for n in e if e[0] != e[1] or n in got}
+
+
+def test_lists_are_shuffled_once(spark, tmp_path):
+    spark.range(400).selectExpr("explode(array(0, 1, 2)) as k", "id % 7 as token", "xxhash64(id) as node", "10 as n", "1 as place").write.parquet(f"{tmp_path}/lists")
+    lists = spark.read.parquet(f"{tmp_path}/lists")
+    labels = spark.createDataFrame([(1, 1)], "node bigint, label bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large lists
+    try:
+        for pairs in (mo.star_pairs(lists), mo.star_pairs(lists, labels, mo.MORE_CENTRES)):
+            plan = pairs._jdf.queryExecution().executedPlan().toString().split("\n")
+            assert sum("Exchange hashpartitioning(k" in line and "token" in line for line in plan) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
