@@ -1,7 +1,7 @@
-"""Nearest neighbours by inner product with randomly rotated one-bit codes.
+"""Nearest neighbours by inner product with randomly rotated codes of few bits.
 
-Each vector is scaled to length 1, rotated by one random orthogonal matrix and reduced to the signs of its components, packed
-eight to a byte, with two scalars: its length and its inner product with its own code. From these the inner product with a
+Each vector is scaled to length 1, rotated by one random orthogonal matrix and reduced to one byte per component (or to the signs,
+packed eight to a byte), with two scalars: its length and its inner product with its own code, scaled to length 1. From these the inner product with a
 rotated query is estimated without bias, with an error of about ``sqrt((1 - f^2) / f^2 / (d - 1))`` times both lengths, f being
 the second scalar. Candidates whose upper bound (``sigmas`` times that error) reaches the k-th best exact score are scored on
 the original vectors in double precision; the others are passed over.
@@ -26,6 +26,7 @@ from plumbline.llm.common import written
 
 SEED = 7
 SIGMAS = 4.5
+BITS = 8  # per component; with signs alone nearly every candidate of 64 dimensions stays within the bound
 QUERY_BLOCK = 4096
 ROW_BLOCK = 8192
 SLACK = 1e-5  # rounding of the single-precision estimates, relative to both lengths
@@ -37,20 +38,28 @@ def rotation(d: int, seed: int = SEED) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, lengths, and inner products of each rotated unit vector with its own code."""
+def encode(vectors: np.ndarray, turn: np.ndarray, bits: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (packed signs, or bytes for 8 bits), lengths, and inner products of each rotated unit vector with its own code."""
     lengths = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
     turned = (vectors / lengths[:, None]).astype(np.float32) @ turn
+    if bits == 8:
+        levels = np.clip(np.floor(turned / np.abs(turned).max(axis=1, keepdims=True) * 127.5), -128, 127).astype(np.int8)
+        places = levels + 0.5
+        return levels.view(np.uint8), lengths, (places * turned).sum(axis=1) / np.sqrt((places**2).sum(axis=1)) / np.sqrt((turned.astype(np.float64) ** 2).sum(axis=1))
     own = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
     return np.packbits(turned > 0, axis=1), lengths, own
 
 
-def estimate(codes: np.ndarray, own: np.ndarray, queries: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines (queries x vectors) from packed signs, and one standard error per vector."""
+def estimate(codes: np.ndarray, own: np.ndarray, queries: np.ndarray, turn: np.ndarray, bits: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines (queries x vectors) from the codes, and one standard error per vector."""
     d = turn.shape[0]
-    signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
+    if bits == 8:
+        places = codes.view(np.int8).astype(np.float32) + np.float32(0.5)
+        places /= np.sqrt((places**2).sum(axis=1, keepdims=True))
+    else:
+        places = (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.sqrt(np.float32(d))
     unit = queries / np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))[:, None]
-    got = (unit.astype(np.float32) @ turn) @ signs.T / np.sqrt(np.float32(d)) / own
+    got = (unit.astype(np.float32) @ turn) @ places.T / own
     return got, np.sqrt(np.maximum(0, 1 - own**2) / own**2 / max(1, d - 1))
 
 
@@ -69,7 +78,7 @@ def search_block(rows, queries, k: int, sigmas: float, seed: int = SEED, step: i
     asked, names, askers = stack(queries), queries["vec_id"].to_numpy(), queries["row"].to_numpy()
     for at in range(0, len(asked), step):
         part = asked[at : at + step]
-        cosines, error = estimate(codes, own, part, turn)
+        cosines, error = estimate(codes, own, part, turn, BITS)
         for i, q in enumerate(part):
             size = np.sqrt((q.astype(np.float64) ** 2).sum())
             open_ = marks != askers[at + i]
@@ -95,19 +104,24 @@ def usable(table: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), "vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.size("embedding").alias("dim"))
 
 
-def with_codes(vectors: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds code, length, own; every row is indexed."""
+def coder(seed: int = SEED):
+    """Adds code, length, own to frames of rows."""
     def code(batches: Iterator) -> Iterator:
         for f in batches:
             f["code"], f["length"], f["own"] = None, 0.0, 0.0
             for d in f["dim"].unique():
                 here = np.flatnonzero(f["dim"] == d)
-                packed, lengths, own = encode(np.stack(f["vector"].iloc[here].to_numpy()), rotation(int(d), seed))
+                packed, lengths, own = encode(np.stack(f["vector"].iloc[here].to_numpy()), rotation(int(d), seed), BITS)
                 f.loc[f.index[here], "code"] = [c.tobytes() for c in packed]
                 f.loc[f.index[here], "length"], f.loc[f.index[here], "own"] = lengths, own
             yield f
 
-    return vectors.mapInPandas(code, "row bigint, vec_id bigint, vector array<double>, dim int, code binary, length double, own double")
+    return code
+
+
+def with_codes(vectors: DataFrame, seed: int = SEED) -> DataFrame:
+    """Adds code, length, own; every row is indexed."""
+    return vectors.mapInPandas(coder(seed), "row bigint, vec_id bigint, vector array<double>, dim int, code binary, length double, own double")
 
 
 def nearest(table: DataFrame, is_query, k: int = 20, sigmas: float = SIGMAS, seed: int = SEED, query_block: int = QUERY_BLOCK,

@@ -63,3 +63,18 @@ def test_bounds_hold_and_spare_work():
     off = np.abs(got - truth) / error
     off[np.arange(50), np.arange(50)] = 0
     assert (off > rc.SIGMAS).mean() < 1e-4 and 0.5 < off.mean() < 1.1
+
+
+def test_few_candidates_are_scored_exactly(monkeypatch):
+    import pandas as pd
+
+    v = np.random.default_rng(5).standard_normal((3000, 64))
+    rows = pd.DataFrame({"row": range(3000), "vec_id": range(3000), "vector": list(v), "dim": 64})
+    rows = next(rc.coder(rc.SEED)(iter([rows])))
+    scored, exact = [], rc.exact
+    monkeypatch.setattr(rc, "exact", lambda vectors, q: scored.append(len(vectors)) or exact(vectors, q))
+    found = list(rc.search_block(rows, rows.iloc[:50], 20, rc.SIGMAS))
+    assert sum(scored) < 50 * 100
+    truth = v[:50] @ v.T
+    truth[np.arange(50), np.arange(50)] = -np.inf
+    assert [f[2] for f in found] == np.argsort(-truth, axis=1)[:, :20].reshape(-1).tolist()
