@@ -7,10 +7,11 @@ minimum wins) gives the ids.
 
 Weights. Unigram models: the negative log probability of a piece. BPE models: 0 for two neighbouring pieces that merging their
 joined text gives back, infinity for others. Merging is local, so a segmentation whose neighbours all agree is the one that
-merging the whole text gives; exactly one path has a finite weight. Each verdict on a pair is kept.
+merging the whole text gives; exactly one path has a finite weight. Verdicts on pairs are kept.
 
 No piece of such vocabularies holds a blank after another character, so texts are cut before blanks that follow something
-else (checked when the model is compiled), and the paths of such segments are kept in the worker.
+else, and between letters and other characters where no piece joins them (both checked when the model is compiled). The paths of
+such segments are kept in the worker, the latest ones.
 
 Defined cases: null and empty texts have no ids; every row is encoded on its own; NUL and other control characters fall back
 to bytes; decoding replaces bytes that are not UTF-8 by U+FFFD. Other columns are passed on unless named like a new one.
@@ -20,17 +21,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import release_memory, worker_cache
+from plumbline.llm.common import pieces_of, release_memory, worker_cache
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-KEPT_SEGMENTS = 3 << 18
+KEPT_SEGMENTS = 1 << 17  # twice as many with the older half
+KEPT_PAIRS = 1 << 18
 INFINITE = float("inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -56,15 +58,19 @@ class Normaliser:
 
 
 class _Segments(dict):
-    """Paths of the segments seen so far; emptied when there are too many."""
+    """Paths of the segments seen lately, as bytes of int32. When there are too many they become the older half, which gives back what is asked for again."""
 
     def __init__(self, owner):
         self.owner = owner
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        got = tuple(self.owner.shortest(part))
+    def __missing__(self, part: str) -> bytes:
+        got = self.older.pop(part, None)
+        if got is None:
+            got = np.array(self.owner.shortest(part), np.int32).tobytes()
         if len(part) <= 64:  # longer ones hardly come again
             if len(self) >= KEPT_SEGMENTS:
+                self.older = dict(self)
                 self.clear()
             self[part] = got
         return got
@@ -93,7 +99,12 @@ class PieceTransducer:
         lone = "".join(c for c in "\n\t\r" if c not in inside)  # in no piece, so paths may be cut around them
         blanks_lead = not any(BLANK in piece.lstrip(BLANK) for piece in self.ids)
         rest = f"[^{BLANK}{lone}]"
-        self.segment = re.compile(f"{BLANK}+{rest}*|{rest}+|[{lone or BLANK}]") if blanks_lead else None
+        odd = re.escape("".join(sorted(c for c in inside if c.isalnum() and not c.isalpha())))  # digits and the like are no letters
+        letter, other = rf"[^\W\d_{odd}]", rf"(?:[^\w{BLANK}{lone}]|[\d_{odd}])"
+        is_letter = re.compile(letter).match
+        apart = not any(bool(is_letter(a)) != bool(is_letter(b)) for piece in self.ids for a, b in pairwise(piece.lstrip(BLANK)))
+        run = f"{letter}+|{other}+" if apart else f"{rest}+"  # no merge joins letters with others
+        self.segment = re.compile(f"{BLANK}+(?:{run})?|{run}|[{lone or BLANK}]") if blanks_lead else None
         self.kept = _Segments(self)
         text_of = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: " ⁇ ".encode()}
         self.surface = [text_of.get(kind, str.encode)(piece) for piece, _, kind in pieces]
@@ -153,6 +164,8 @@ class PieceTransducer:
                     i += 1
                 else:
                     j += 1
+            if len(self.agreed) >= KEPT_PAIRS:
+                self.agreed.clear()
             self.agreed[key] = got
         return got
 
@@ -214,11 +227,14 @@ class PieceTransducer:
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def encoded(self, text: str | None) -> np.ndarray:
         normal = self.normaliser.apply(text or "")
         if self.segment is None:
-            return self.shortest(normal)
-        return list(chain.from_iterable(map(self.kept.__getitem__, self.segment.findall(normal))))
+            return np.array(self.shortest(normal), np.int32)
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, self.segment.findall(normal))), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encoded(text).tolist()
 
     def decode(self, ids) -> str:
         """The inverse: pieces give their text, runs of byte pieces are joined first."""
@@ -263,13 +279,12 @@ def encode_documents(docs: DataFrame, model_file: str = PIECES) -> DataFrame:
         release_memory(_compiled)
         t = transducer(model_file)
         is_byte = np.array([p[2] == BYTE for p in t.pieces])
-        for batch in batches:
+        for batch in pieces_of(batches, 1024):
             ids, counts, spelled, same = [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
-                got = t.encode(text)
-                same.append(t.decode(got) == (text or ""))
-                got = np.array(got, np.int32)
+                got = t.encoded(text)
+                same.append(t.decode(got.tolist()) == (text or ""))
                 ids.append(got)
                 counts.append(len(got))
                 spelled.append(int(is_byte[got].sum()) if len(got) else 0)

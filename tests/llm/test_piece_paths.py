@@ -31,6 +31,17 @@ def test_random_texts(text):
         assert t.decode(t.encode(text)) == text
 
 
+def test_kept_paths_are_few(monkeypatch):
+    monkeypatch.setattr(pp, "KEPT_SEGMENTS", 8)
+    monkeypatch.setattr(pp, "KEPT_PAIRS", 16)
+    t = pp.compile_model()
+    assert t.segment.findall("▁word.▁(x12)\n²é▁▁") == ["▁word", ".", "▁(", "x", "12)", "\n", "²", "é", "▁▁"]
+    for n in range(200):
+        text = f"word{n}, {'abcdefgh'[n % 8] * n}tion again ({n}²)."
+        assert t.encode(text) == LIBRARY.encode(text)
+        assert len(t.kept) <= 8 and len(t.kept.older) <= 8 and len(t.agreed) <= 16
+
+
 def test_unigram_takes_the_cheapest_path():
     pieces = [("<unk>", 0.0, pp.UNKNOWN), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.0, 1), ("ba", -3.2, 1), ("aab", -4.5, 1), ("▁", -1.0, 1), ("▁a", -2.2, 1)]
     t = pp.PieceTransducer(pieces, pp.Normaliser(True, True, False), bpe=False)
