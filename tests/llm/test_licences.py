@@ -59,3 +59,23 @@ def test_corpus(spark, model):
 def test_plan_is_native(spark, model):
     plan = li.scan(spark.read.parquet(f"{FOLDER}/documents.parquet"), model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_plain_paragraph_counts(spark, monkeypatch):
+    """More paragraphs than the class weighs, one of them close to a template: all are counted, and none that is left out passes the bar."""
+    rows = [(i, "it was a plain day in the town\nwith the sea") for i in range(3000)] + [(9000 + i, "you may not use this file except in\nyou may obtain a copy of the code") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    monkeypatch.setattr(li, "written", lambda df: seen.append(df) or df.cache())
+    model = li.train(docs)
+    assert [df.agg({"n": "sum"}).first()[0] for df in seen if df.columns == ["grams", "left_out", "n"]] == [6040]
+    left = li.told_apart(docs).filter("left_out").select("hit", li.grams(li.F.concat(li.F.split(li.F.lit("you may not use this file except in"), " "))).alias("grams")).limit(1)
+    assert li.probabilities(left, ["hit"], li.F.col("grams"), model.weights, model.biases).first()["probability"] <= model.bar
+
+
+def test_plain_grams(spark):
+    texts = ["This work is in the, you may obtain A COPY of 2.0 or", "use v 2.0 v 2", "nothing here", "the the the free of charge to"]
+    rows = li.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    known = li.vocabulary()
+    for r in rows.select("words", li.plain_grams(li.F.col("words")).alias("got"), li.grams(li.F.col("words")).alias("all")).collect():
+        assert r.got == sorted(set(r["all"]) & set(known))
