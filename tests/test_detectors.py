@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -176,6 +178,19 @@ def test_detection_finds_the_odd_day_and_explains_it(spark):
     assert len(rows) == 4 and all(r.severity == "CRITICAL" and "went up far" in r.explanation for r in rows)
 
 
+def test_detection_when_rows_arrive_in_another_order_each_time(spark):
+    def mixed(batches):  # as shuffles over several machines do
+        for b in batches:
+            yield b.take(random.SystemRandom().sample(range(b.num_rows), b.num_rows))
+
+    days = metrics(spark).withColumn("value", F.col("value") / 3).coalesce(1)
+    want = {r.period: r for r in detection.detect_periods(days).collect()}
+    got = detection.detect_periods(days.mapInArrow(mixed, days.schema)).collect()
+    assert len(got) == len(want) == 40
+    for r in got:
+        assert r.density_score == pytest.approx(want[r.period].density_score) and r.sequence_score == pytest.approx(want[r.period].sequence_score)
+
+
 def test_first_period_has_no_history(spark):
     m = metrics(spark)
     first = m.select("period").distinct().orderBy("period").limit(1)
