@@ -20,6 +20,7 @@ to bytes; decoding replaces bytes that are not UTF-8 by U+FFFD. Other columns ar
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -67,7 +68,7 @@ class _Segments(dict):
     def __missing__(self, part: str) -> bytes:
         got = self.older.pop(part, None)
         if got is None:
-            got = np.array(self.owner.shortest(part), np.int32).tobytes()
+            got = array("i", self.owner.shortest(part)).tobytes()
         if len(part) <= 64:  # longer ones hardly come again
             if len(self) >= KEPT_SEGMENTS:
                 self.older = dict(self)
@@ -85,15 +86,15 @@ class PieceTransducer:
         self.bytes = {int(p[0][3:5], 16): i for i, p in enumerate(pieces) if p[2] == BYTE}
         if not bpe and len(self.bytes) not in (0, 256):
             raise ValueError("the byte pieces are not complete")
-        self.trie: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for i, (piece, _, kind) in enumerate(pieces):
-            if kind in (NORMAL, USER):
-                self._add(piece, i)
+        self.trie: dict = {"": ((1, -1),)}  # a node leads from a character to the next node, and from the empty text to the arcs that end on the way
+        for piece, i in sorted((p[0], i) for i, p in enumerate(pieces) if p[2] in (NORMAL, USER)):
+            self._add(piece, i)
         worst = min((s for _, s, k in pieces if k == NORMAL), default=0.0)
         self.unknown_weight = 10.0 - worst
         self.ids = {p[0]: i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER)}
-        self.agreed: dict[tuple[int, int], bool] = {}
+        self.longest = max(map(len, self.ids), default=0)
+        self.width = len(pieces) + 1
+        self.agreed: dict[int, bool] = {}  # by (left + 1) * width + right
         self.grown: dict[int, list[tuple[str, str, float]]] = {}
         inside = {c for p in self.ids for c in p}
         lone = "".join(c for c in "\n\t\r" if c not in inside)  # in no piece, so paths may be cut around them
@@ -103,22 +104,20 @@ class PieceTransducer:
         letter, other = rf"[^\W\d_{odd}]", rf"(?:[^\w{BLANK}{lone}]|[\d_{odd}])"
         is_letter = re.compile(letter).match
         apart = not any(bool(is_letter(a)) != bool(is_letter(b)) for piece in self.ids for a, b in pairwise(piece.lstrip(BLANK)))
-        run = f"{letter}+|{other}+" if apart else f"{rest}+"  # no merge joins letters with others
-        self.segment = re.compile(f"{BLANK}+(?:{run})?|{run}|[{lone or BLANK}]") if blanks_lead else None
+        run = f"{BLANK}*{letter}+|{BLANK}+(?:{other}+)?|{other}+" if apart else f"{BLANK}+{rest}*|{rest}+"  # no merge joins letters with others
+        self.segment = re.compile(f"{run}|[{lone or BLANK}]") if blanks_lead else None
         self.kept = _Segments(self)
         text_of = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: " ⁇ ".encode()}
         self.surface = [text_of.get(kind, str.encode)(piece) for piece, _, kind in pieces]
 
     def _add(self, piece: str, number: int) -> None:
-        at = 0
+        """Pieces come in order, so the arcs of a place on the way are complete."""
+        node = self.trie
         for c in piece:
-            nxt = self.trie[at].get(c)
-            if nxt is None:
-                nxt = self.trie[at][c] = len(self.trie)
-                self.trie.append({})
-                self.ends.append(-1)
-            at = nxt
-        self.ends[at] = number
+            before, node = node[""], node.setdefault(c, {})
+            if "" not in node:
+                node[""] = before
+        node[""] = ((len(piece), number), *(before if len(piece) > 1 else ()))
 
     def growth(self, piece: int) -> list[tuple[str, str, float]]:
         """How merging builds a piece, always by the best pair, the leftmost of equals: (first symbol, last symbol, score of the next merge).
@@ -146,14 +145,12 @@ class PieceTransducer:
 
         Both pieces grow side by side, the better merge first; they stay apart if no merge across their border ever is the best.
         """
-        if left < 0 or right < 0:
-            return max(left, right) < 0 or bool(self.growth(max(left, right)))
-        key = (left, right)
+        key = (left + 1) * self.width + right
         got = self.agreed.get(key)
         if got is None:
-            a, b, i, j = self.growth(left), self.growth(right), 0, 0
-            got = bool(a and b)
-            while got:
+            a, b = [self.growth(p) if p >= 0 else None for p in (left, right)]
+            got, i, j = a != [] and b != [], 0, 0
+            while got and a and b:
                 (_, last, mine), (first, _, theirs) = a[i], b[j]
                 n = self.ids.get(last + first)
                 if n is not None and (score := self.pieces[n][1]) > mine and score >= theirs:
@@ -169,62 +166,71 @@ class PieceTransducer:
             self.agreed[key] = got
         return got
 
-    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the pieces that start at a place, shortest first; a character outside the vocabulary is piece -1."""
-        trie, ends, node, end, out, n = self.trie, self.ends, 0, at, [], len(text)
-        while end < n and (node := trie[node].get(text[end], -1)) >= 0:
-            end += 1
-            if (piece := ends[node]) >= 0:
-                out.append((end, piece))
-        if not out or out[0][0] > at + 1:
-            out.insert(0, (at + 1, -1))
-        return out
+    def arcs(self, text: str, at: int) -> tuple[tuple[int, int], ...]:
+        """(length, piece) of the pieces that start at a place, longest first; a character outside the vocabulary is piece -1."""
+        node = self.trie
+        for c in text[at : at + self.longest]:
+            if c not in node:
+                break
+            node = node[c]
+        return node[""]
 
-    def _agreeing(self, text: str) -> list[tuple[int, int]]:
-        """Back arcs where arcs weigh 0 or infinity: each place has one finite arrival, so the first path found is the cheapest."""
-        n = len(text)
-        back = [(-2, -1)] * (n + 1)
-        back[0] = (-1, -1)
-        agreed, open_ = self.agreed, [0]
-        while open_ and back[n][0] == -2:
-            at = open_.pop()
-            left = back[at][1]
-            for end, piece in self.arcs(text, at):  # the longest is looked at next
-                if back[end][0] == -2:
-                    got = agreed.get((left, piece))
+    def _agreeing(self, text: str) -> list[int]:
+        """Pieces of the path where arcs weigh 0 or infinity: each place has one finite arrival, so the first path found is the cheapest.
+
+        The longest arc is tried first, a shorter one when the path stops behind it.
+        """
+        agreed, arcs, width, n = self.agreed, self.arcs, self.width, len(text)
+        path, behind, stopped = [], [], set()
+        at, left, open_ = 0, -1, iter(arcs(text, 0))
+        while at < n:
+            key = (left + 1) * width
+            for length, piece in open_:
+                if at + length not in stopped:
+                    got = agreed.get(key + piece)
                     if self.agree(left, piece) if got is None else got:
-                        back[end] = (at, piece)
-                        open_.append(end)
-        return back
+                        behind.append((at, left, open_))
+                        path.append(piece)
+                        at, left = at + length, piece
+                        open_ = iter(arcs(text, at))
+                        break
+            else:
+                stopped.add(at)
+                at, left, open_ = behind.pop()
+                path.pop()
+        return path
 
-    def _weighted(self, text: str) -> list[tuple[int, int]]:
-        """Back arcs of the cheapest arrivals, place by place."""
+    def _weighted(self, text: str) -> list[int]:
+        """Pieces of the cheapest path, from the cheapest arrivals place by place."""
         n = len(text)
         weight, back = [INFINITE] * (n + 1), [(-1, -1)] * (n + 1)
         weight[0] = 0.0
         for at in range(n):
-            for end, piece in self.arcs(text, at):
+            for length, piece in self.arcs(text, at):
+                end = at + length
                 step = weight[at] + (self.unknown_weight if piece < 0 else -self.pieces[piece][1])
                 if step < weight[end]:
                     weight[end], back[end] = step, (at, piece)
-        return back
+        path, at = [], n
+        while at:
+            at, piece = back[at]
+            path.append(piece)
+        return path[::-1]
 
     def shortest(self, text: str) -> list[int]:
         """Ids of the cheapest path through normalised text."""
-        back = self._agreeing(text) if self.bpe else self._weighted(text)
-        path, at = [], len(text)
-        while at:
-            start, piece = back[at]
-            path.append((piece, start, at))
-            at = start
-        out: list[int] = []
-        for piece, start, end in reversed(path):
+        path = self._agreeing(text) if self.bpe else self._weighted(text)
+        if -1 not in path:
+            return path
+        out, at = [], 0
+        for piece in path:
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
-                out += [self.bytes[b] for b in text[start:end].encode()]
+                out += [self.bytes[b] for b in text[at].encode()]
             else:
                 out.append(self.unknown)
+            at += 1 if piece < 0 else len(self.pieces[piece][0])
         return out
 
     def encoded(self, text: str | None) -> np.ndarray:

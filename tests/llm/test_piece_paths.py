@@ -42,6 +42,30 @@ def test_kept_paths_are_few(monkeypatch):
         assert len(t.kept) <= 8 and len(t.kept.older) <= 8 and len(t.agreed) <= 16
 
 
+def test_few_arcs_are_tried():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    t = pp.compile_model()
+    words = ["▁ontiorea", "▁reingwher", "▁dieenteungte", "▁Esciónllmi", "▁viéauxiertion", "▁international", "▁understanding", "Theaenly"]
+    n = sum(len(t.shortest(w)) for w in words)
+    t.agreed = Counted(t.agreed)
+    assert sum(len(t.shortest(w)) for w in words) == n
+    assert n <= Counted.asked <= 3 * n  # every arc of every place that is reached: 93 for 27 pieces here
+
+
+def test_arcs_are_the_pieces_on_the_way():
+    t = pp.compile_model()
+    for text in ("▁international", "Hello", "\x00a", "é1", "日本語"):
+        for at in range(len(text)):
+            want = [(n, t.ids[text[at : at + n]]) for n in range(len(text) - at, 0, -1) if text[at : at + n] in t.ids]
+            assert list(t.arcs(text, at)) == (want if want and want[-1][0] == 1 else [*want, (1, -1)])
+
+
 def test_unigram_takes_the_cheapest_path():
     pieces = [("<unk>", 0.0, pp.UNKNOWN), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.0, 1), ("ba", -3.2, 1), ("aab", -4.5, 1), ("▁", -1.0, 1), ("▁a", -2.2, 1)]
     t = pp.PieceTransducer(pieces, pp.Normaliser(True, True, False), bpe=False)
