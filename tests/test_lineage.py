@@ -55,3 +55,20 @@ def test_pairs_in_parts_and_slices(spark, monkeypatch, row):
     got = lineage.impact(edges, spark.createDataFrame([(s,) for s in starts], "start string")).collect()
     want = searched(pairs, starts)
     assert {(r.start, r.node): r.depth for r in got} == want and len(got) == len(want)
+
+
+def test_sketches_in_parts(spark, monkeypatch):
+    for name, value in {"ROW": 16, "SKETCHED": 30}.items():
+        monkeypatch.setattr(lineage, name, value)
+    pairs = graph()
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    nodes = sorted({n for p in pairs for n in p if n is not None})
+    want = searched([p for p in pairs if None not in p], nodes)
+    before, files = tables(spark), shuffle_files(spark)
+    out = lineage.reach_sizes(edges, precision=14)
+    got = {r.node: (r.nodes, r.rounds) for r in out.collect()}
+    exact = {n: sum(s == n for s, _ in want) for n in nodes}
+    assert set(got) == set(nodes) and all(abs(got[n][0] - exact[n]) <= 0.05 * exact[n] for n in nodes)
+    assert all(got[n][1] == max(d for (s, _), d in want.items() if s == n) for n in nodes)
+    assert {os.path.basename(os.path.dirname(f)) for f in out.inputFiles()} == tables(spark) - before
+    assert not any(f.endswith(".data") for f in shuffle_files(spark) - files)
